@@ -37,19 +37,17 @@ _PY_PARTS = [
     r"[\s\S]",
 ]
 _FSTRING_PIECES = r"(?:[^{}]|\{\{|\}\})++|\{(?:[^{}]|\{[^{}]*+\})*+\}|[\s\S]"
+SQL_TRIVIA = r"^(?:[ \t\f\r\n]|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
 _SQL_PARTS = [
-    r"--[^\n]*+",
-    r"/\*(?:[^*]|\*(?!/))*+\*/",
     r"'\\'(?!')",
     r"'(?:[^'\\]|\\[\s\S]|'')*+'",
     r'"(?:[^"]|"")*+"',
     r"`[^`]*+`",
     r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_$\x{80}-\x{10FFFF}]*+",
     r"(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?",
-    r"\n",
-    r"[ \t\f\r]++",
     r"<=>|<>|!=|>=|<=|==|\|\||::|->>?|=>|:=",
-    r"[\s\S]",
+    r"\S",
+    r"\z",
 ]
 _SCALA_PARTS = [
     r'"""(?:[^"]|"(?!""))*+"""',
@@ -72,7 +70,8 @@ SQL_KEYWORDS = [
 # --- End of fixed values ----------------------------------------------------------------------
 
 PY_TOKEN = "|".join(_PY_PARTS)
-SQL_TOKEN = "|".join(_SQL_PARTS)
+SQL_TOKEN = SQL_TRIVIA[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"  # a token carries the blanks and comments before it
+SCALA_SINGLE = r'^"(?:[^"\\]|\\[\s\S])*+"$'
 SCALA_TOKEN = "|".join(_SCALA_PARTS)
 FSTRING_MARK = "\u0001"  # put before the literal pieces of a split f-string
 
