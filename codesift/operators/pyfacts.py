@@ -423,8 +423,8 @@ def name_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def resolved_uses(rows: DataFrame) -> DataFrame:
-    """Uses of names with what the name means at that position.
+def names_per_file(rows: DataFrame) -> DataFrame:
+    """Names as of their position: one row per file with its assignments, their tags and the uses to judge.
 
     Adds module / qualified (last import of the name before the use), tag (string, pandas, spark, file or ''
     from the last assignment visible in the enclosing scopes), as_param (a Spark session parameter is the latest
@@ -496,7 +496,7 @@ def resolved_uses(rows: DataFrame) -> DataFrame:
         })
         .drop("around", "l_bind", "l_param", "l_handle")
     )
-    bind_fields = F.struct("pos", "bound_at", "is_string", "is_open", "of_pandas", "of_spark", "near")
+    bind_fields = F.struct("pos", "bound_at", "is_string", "is_open", "of_pandas", "of_spark", "near", "name", "line")
     use_cols = [c for c in seen.columns if c not in ("file_id", "is_string", "is_open")]
     per_file = (
         seen.groupBy("file_id")
@@ -504,7 +504,6 @@ def resolved_uses(rows: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(is_bind, bind_fields))).alias("binds"),
             F.collect_list(F.when(~is_bind, F.struct(*use_cols))).alias("uses"),
         )
-        .where(F.size("uses") > 0)
         .withColumn("at", F.transform("binds", lambda b: b["pos"]))
     )
 
@@ -519,8 +518,22 @@ def resolved_uses(rows: DataFrame) -> DataFrame:
             .otherwise("")))
 
     tags = F.aggregate("binds", F.array().cast("array<string>"), spread)
+    return per_file.withColumn("tags", tags)
+
+
+def tagged_bindings(names: DataFrame) -> DataFrame:
+    """Assignments that give a name a tag: file_id, name, line, tag."""
+    return (
+        names.select("file_id", F.explode(F.arrays_zip("binds", "tags")).alias("b"))
+        .select("file_id", "b.binds.name", F.col("b.binds.line").cast("int").alias("line"), F.col("b.tags").alias("tag"))
+        .where(F.col("tag") != "")
+    )
+
+
+def resolved_uses(names: DataFrame) -> DataFrame:
+    """The uses with the tag of the name they ask about."""
     return (
-        per_file.withColumn("tags", tags).withColumn("u", F.explode("uses"))
+        names.where(F.size("uses") > 0).withColumn("u", F.explode("uses"))
         .select("file_id", "u.*", F.coalesce(
             F.get("tags", (F.array_position("at", F.col("u.bound_at")) - 1).cast("int")), F.lit("")).alias("tag"))
         .withColumns({

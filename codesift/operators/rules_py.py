@@ -62,16 +62,16 @@ def python_lines(files: DataFrame) -> DataFrame:
     return P.enclosing_blocks(P.line_events(P.call_chains(tokens)))
 
 
+def python_names(files: DataFrame) -> DataFrame:
+    return P.names_per_file(P.name_rows(P.nested_pairs(python_lines(files))))
+
+
 def python_hits(files: DataFrame) -> DataFrame:
     """Raw hits of the Python and Spark rules: file_id, unit_no (0), rule_id, start_line, end_line, pos."""
-    lines = python_lines(files)
-    # Loops and names come from the same line rows: tag the loop pairs as extra rows instead of a second scan.
-    pairs = P.nested_pairs(lines)
-    uses = P.resolved_uses(P.name_rows(pairs))
     rule = F.when(F.col("etype") == "nested", F.lit("py.nested_same_iterable")).when(
         F.col("etype") == "method", method_rule()).otherwise(name_rule())
     return (
-        uses.withColumn("rule_id", rule)
+        P.resolved_uses(python_names(files)).withColumn("rule_id", rule)
         .where(F.col("rule_id").isNotNull())
         .select("file_id", F.lit(0).alias("unit_no"), "rule_id",
                 F.col("line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "pos")

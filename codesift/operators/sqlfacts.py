@@ -215,7 +215,7 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
         F.when(mark, "mark").when(F.col("role") == 2, "close")
         .when(here & (F.col("kind") == "end"), "close").when(here & F.col("ends"), "close")
         .when(here & word & u.isin(CLAUSES + ["TOP"]), "clause")
-        .when(F.col("side").isNotNull(), "pred").when(ref, "ref").when(alias, "alias")
+        .when(here & u.isin(COMPARISONS) & (F.col("clause") != "SET"), "pred").when(ref, "ref").when(alias, "alias")
     )
     flagged = grouped.withColumns({"hit": hit, "side": side}).withColumn("rtype", rtype)
     return flagged.where(F.col("rtype").isNotNull() | F.col("hit").isNotNull()).select(
@@ -234,8 +234,8 @@ def sql_hits(units: DataFrame) -> DataFrame:
     return rule_hits(sql_rows(bracket_groups(tokens)))
 
 
-def rule_hits(rows: DataFrame) -> DataFrame:
-    """Finish the rules that need an enclosing group: filters, sorting without a limit, correlation."""
+def token_context(rows: DataFrame) -> DataFrame:
+    """One row per kept token with the bracket levels around it (inside out) and whether it is in a filter."""
     in_group = Window.partitionBy(*UNIT, "glvl", "group_id")
     ordered = in_group.orderBy("pos", "role")
     clause = F.col("rtype") == "clause"
@@ -272,19 +272,29 @@ def rule_hits(rows: DataFrame) -> DataFrame:
     # one row per token again, with the groups around it from the inside out
     around = F.struct((-F.col("at")).alias("depth"), "in_clause", "in_group", "in_merge")
     per_token = (
-        at_level.where(~F.col("rtype").isin("mark", "clause") | F.col("rtype").isNull() | F.col("hit").isNotNull()
-                       | (F.col("rtype") == "mark"))
-        .groupBy(*UNIT, "pos", "role")
+        at_level.groupBy(*UNIT, "pos", "role")
         .agg(
-            F.first("rtype").alias("rtype"), F.first("hit").alias("hit"), F.first("side").alias("side"),
-            F.first("name").alias("name"), F.first("group_id").alias("group_id"), F.first("line").alias("line"),
-            F.first("span_line").alias("span_line"), F.first("derived").alias("derived"),
+            *[F.first(c).alias(c) for c in ("rtype", "hit", "side", "u", "name", "group_id", "line", "span_line")],
             F.array_sort(F.collect_list(F.when(inside, around))).alias("around"),
         )
+        .where(F.col("rtype").isNull() | ~F.col("rtype").isin("mark", "clause") | F.col("hit").isNotNull())
     )
     context = F.get(F.filter("around", lambda a: a["in_clause"] != ""), F.lit(0))
-    filtered = F.coalesce(context["in_clause"].isin(FILTER_CLAUSES) & ~((context["in_clause"] == "ON")
-                          & context["in_merge"]), F.lit(False))
+    in_filter = context["in_clause"].isin(FILTER_CLAUSES) & ~((context["in_clause"] == "ON") & context["in_merge"])
+    return per_token.withColumn("in_filter", F.coalesce(in_filter, F.lit(False)))
+
+
+def clause_context(units: DataFrame) -> DataFrame:
+    """Every comparison with whether it stands in a WHERE, HAVING or join condition."""
+    tokens = sql_tokens(units).where(~F.col("broken"))
+    context = token_context(sql_rows(bracket_groups(tokens)))
+    return context.where(F.col("rtype") == "pred").select(
+        *UNIT, F.col("line").cast("int").alias("line"), F.col("u").alias("op"), "in_filter")
+
+
+def rule_hits(rows: DataFrame) -> DataFrame:
+    """Finish the rules that need an enclosing group: filters, sorting without a limit, correlation."""
+    per_token = token_context(rows)
     scopes = F.filter("around", lambda a: a["in_group"]["select_group"])
     # rows per (group, name): aliases and the references that may resolve to them
     none = F.array().cast("array<struct<gid:int,depth:bigint>>")
@@ -296,7 +306,7 @@ def rule_hits(rows: DataFrame) -> DataFrame:
     named = (
         per_token.withColumns({
             "hit": F.when(
-                (F.col("rtype") == "pred") & filtered,
+                (F.col("rtype") == "pred") & F.col("side").isNotNull() & F.col("in_filter"),
                 F.struct(F.lit("sql.function_on_column").alias("rule_id"), F.col("side.start").alias("start"),
                          F.col("side.end").alias("end")),
             ).otherwise(F.col("hit")),

@@ -231,3 +231,20 @@ def python_tokens(files: DataFrame) -> DataFrame:
         })
         .drop("base_colons", "colons", "nth", "unbalanced", "misplaced", "sep")
     )
+
+
+def lexical_problems(texts: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
+    """Texts (keys, text) whose brackets or quotes do not add up: keys, open_brackets, bad_quote."""
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tok = F.regexp_replace("tok", SQL_TRIVIA, "") if pattern == SQL_TOKEN else F.col("tok")
+    return (
+        texts.select(*keys, F.posexplode(_matches(F.col("text"), pattern)).alias("pos", "tok"))
+        .select(*keys, "pos", tok.alias("tok"))
+        .withColumn("step", F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0))
+        .withColumn("depth", F.sum("step").over(order))
+        .groupBy(*keys)
+        .agg(F.sum("step").alias("open_brackets"), F.max(F.col("tok").isin('"', "'")).alias("bad_quote"),
+             F.min("depth").alias("lowest"))
+        .where((F.col("open_brackets") != 0) | F.col("bad_quote") | (F.col("lowest") < 0))
+        .drop("lowest")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import schemas as S
 from codesift.functions import text as X
-from codesift.operators import rank, rules_py, sqlfacts, units
+from codesift.operators import rank, rules_py, sqlfacts, units, views
 from codesift.operators import tokens as TK
 
 # The rule plans are long chains of projections. Deriving constraints through every alias takes minutes on
@@ -60,3 +60,34 @@ def candidates(source_files: DataFrame, num_partitions: int | None = None) -> Da
     """All rules over all supported files: the candidates table."""
     files = scannable(source_files, num_partitions)
     return enrich(rank.ranked(raw_hits(files)), files)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """Files and SQL units whose brackets or quotes do not add up: file_id, unit_no, open_brackets, bad_quote."""
+    python = files.where(F.col("suffix") == ".py").select("file_id", F.lit(0).alias("unit_no"), F.col("content").alias("text"))
+    sql = units.sql_units(files).select("file_id", "unit_no", F.col("sql").alias("text"))
+    keys = ["file_id", "unit_no"]
+    return TK.lexical_problems(python, TK.PY_TOKEN, keys).unionByName(TK.lexical_problems(sql, TK.SQL_TOKEN, keys))
+
+
+def scan_report(source_files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """One row per scanned file: repo, ref, path, position, total, engine, n_candidates, detail.
+
+    position is the place of the file in its repository, ordered by the parts of its path.
+    """
+    files = scannable(source_files, num_partitions)
+    counts = rank.ranked(raw_hits(files)).groupBy("file_id").agg(
+        F.count("*").cast("int").alias("n"), F.max(F.col("unit_no") > 0).alias("embedded"))
+    problems = unreadable(files).select("file_id").distinct().withColumn("unreadable", F.lit(True))
+    n = F.coalesce("n", F.lit(0))
+    report = (
+        files.select("file_id", "repo", "ref", "path", "suffix").join(counts, "file_id", "left").join(problems, "file_id", "left")
+        .select(
+            "repo", "ref", "path",
+            F.when((F.col("suffix") == ".py") & F.col("embedded"), "tokens+sql").otherwise("tokens").alias("engine"),
+            n.alias("n_candidates"),
+            F.when((n == 0) & F.col("unreadable"), "unreadable: unbalanced brackets or quotes")
+            .when(n == 0, "no issues").otherwise("").alias("detail"),
+        )
+    )
+    return views.numbered(report, ["repo", "ref"], [F.split("path", "/")])
