@@ -3,7 +3,7 @@
 The stages run one after the other on the same rows and all group by file_id first, so they stay inside the
 partitions made by tokens.partition_files:
 
-  tokens -> chains (window per bracket level) -> events per logical line (group by line)
+  tokens -> events -> chains (window per bracket level) -> events per logical line (group by line)
          -> enclosing blocks (window per indent level) -> names resolved as of their position (window per name)
          -> tags spread along assignments (one fold per file)
 """
@@ -31,51 +31,6 @@ def _is(name: str, *values: str) -> Column:
     return F.col(name).isin(*values)
 
 
-def call_chains(tokens: DataFrame) -> DataFrame:
-    """Give each token the postfix chain (a.b(...)[c].d) it belongs to.
-
-    A chain is a run of tokens at one bracket level without a break. Opening brackets appear twice: once at
-    their own level and once as the first row (role 1) of the group they open.
-    """
-    closer = _is("p1", ")", "]", "}")
-    # written without NULLs: lag columns are NULL on the first token
-    follows_value = F.coalesce(_is("p_kind", "name", "str", "fstr", "number") | closer, F.lit(False))
-    goes_on = (
-        ((F.col("tok") == ".") & (F.col("kind") == "op") & (follows_value | F.coalesce(_is("p1", "None", "True", "False"), F.lit(False))))
-        | ((F.col("kind").isin("name", "keyword")) & (F.coalesce(F.col("p1"), F.lit("")) == "."))
-        | (_is("tok", "(", "[") & (F.col("kind") == "op")
-           & F.coalesce(_is("p_kind", "name", "str", "fstr") | closer, F.lit(False)))
-        | (_is("tok", ")", "]", "}") & (F.col("kind") == "op"))
-        | ((F.col("kind") == "str") & F.coalesce(F.col("p_kind") == "str", F.lit(False)))
-    )
-    opener = (F.col("kind") == "op") & _is("tok", "(", "[", "{")
-    rows = (
-        tokens.withColumn("starts", F.col("first") | ~goes_on)
-        .withColumn("role", F.explode(F.when(opener, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        .withColumn("glvl", F.col("lvl") + F.col("role"))
-    )
-    order = Window.partitionBy("file_id", "glvl").orderBy("pos", "role")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begins = (F.col("role") == 1) | F.col("starts")
-    hop = (F.col("role") == 0) & ~F.col("starts") & (_is("tok", ".", "(", "["))
-    head = F.struct(
-        "pos", "tok", "kind", "line", F.coalesce("p1", F.lit("")).alias("before"),
-        F.coalesce("p_pos", F.lit(-1)).alias("before_pos"),
-    )
-    return (
-        rows.withColumns({
-            "group": F.last(F.when(F.col("role") == 1, F.struct("pos", "tok", "starts")), True).over(upto),
-            "chain": F.last(F.when(begins, head), True).over(upto),
-            "hops_run": F.sum(hop.cast("int")).over(upto),
-            "call_end": F.lead("eline", 2).over(order),
-            "callee": F.lag("tok", 2).over(order),
-        })
-        .withColumn("hops", F.col("hops_run") - F.last(F.when(begins, F.col("hops_run")), True).over(upto))
-        .where(F.col("role") == 0)
-        .drop("role", "glvl", "starts", "hops_run")
-    )
-
-
 def _integer(tok: Column) -> Column:
     digits = F.replace(tok, F.lit("_"), F.lit(""))
     return (
@@ -86,96 +41,135 @@ def _integer(tok: Column) -> Column:
     )
 
 
-def line_events(chained: DataFrame) -> DataFrame:
-    """One row per logical line with the events found on it.
+def token_events(tokens: DataFrame) -> DataFrame:
+    """Mark the tokens the rules ask about and keep only what the later stages need of each token.
 
     Event types: method (x.name(...) a rule looks at), call (name(...)), deco (decorator), bind (assignment
-    target), value (a statement that ends in one chain), import (a token of an import statement), param (a Spark
-    session parameter), handle (with open(...) as name), concat (name += ...), iter (iterated expression of a for),
-    paren (a bracket that holds exactly one chain).
+    target), import (a token of an import statement), param (a Spark session parameter), handle (as name in a
+    with), concat (name += ...), bad (the file cannot be read).
     """
-    order = Window.partitionBy("file_id").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_name = F.col("kind") == "name"
-    top = F.col("lvl") == 0
-    p1, n1, n2 = F.coalesce("p1", F.lit("")), F.coalesce("n1", F.lit("")), F.coalesce("n2", F.lit(""))
-    in_def = F.col("in_hdr") & ((F.col("ftok") == "def") | ((F.col("ftok") == "async") & (F.col("f2") == "def")))
-    is_param = in_def & (F.col("lvl") == 1) & is_name & p1.isin("(", ",") & (F.col("group.tok") == "(")
-    def latest(cond: Column, value: Column) -> Column:
-        return F.last(F.when(cond, value), True).over(upto)
-
-    rows = chained.withColumns({
-        "s1": latest(F.col("sstart"), F.col("tok")),
-        "s1_kind": latest(F.col("sstart"), F.col("kind")),
-        "s2": latest(F.col("sstart"), n1),
-        "after_in": latest(top & (F.col("tok") == "in"), F.col("stmt")),
-        "arrow": latest(top & (F.col("tok") == "->"), F.col("lline")),
-        "param": latest(is_param, F.col("tok")),
-        # for `open(...) as f` the callee belongs to the closing bracket just before `as`
-        "with_callee": F.lag("callee").over(order),
-    })
-    visited = ~in_def & (F.col("ftok") != "@")
-    in_import = F.coalesce(_is("s1", "import", "from") & (F.col("s1_kind") == "keyword"), F.lit(False))
-    stmt_end = (F.col("last") & (F.col("tok") != ";")) | (top & (n1 == ";"))
-    named = F.coalesce(F.col("p1") == ".", F.lit(False))
-    last_of_paren = (n1 == ")") & (F.col("group.tok") == "(") & F.col("group.starts") & (
-        F.col("chain.before_pos") == F.col("group.pos")
-    )
-    annotated_target = top & (F.col("tok") == "=") & (F.col("s2") == ":") & (F.col("s1_kind") == "name") & ~F.col("hdr")
+    tok, kind, n1, n2, p1 = F.col("tok"), F.col("kind"), F.col("n1"), F.col("n2"), F.col("p1")
+    is_name, top = kind == "name", F.col("lvl") == 0
+    visited = ~F.col("in_def") & (F.col("ftok") != "@")
+    in_import = F.col("s1").isin("import", "from") & (F.col("s1_kind") == "keyword") & (kind != "end")
+    named = p1 == "."
+    annotated = top & (tok == "=") & (F.col("s2") == ":") & (F.col("s1_kind") == "name") & ~F.col("hdr")
     etype = (
-        F.when(in_import, "import")
-        .when(is_name & named & (n1 == "(") & visited & F.col("tok").isin(RULE_METHODS), "method")
+        F.when(F.col("bad"), "bad")
+        .when(in_import, "import")
+        .when(is_name & named & (n1 == "(") & visited & tok.isin(RULE_METHODS), "method")
         .when(is_name & ~named & (n1 == "(") & visited & ~p1.isin("def", "class", "@"), "call")
         .when(is_name & (p1 == "@") & top & (F.col("ftok") == "@") & (F.col("p_pos") == F.col("first_pos"))
               & ((n1 == "(") | F.col("last")), "deco")
-        .when(is_name & named & top & (F.col("ftok") == "@") & F.col("tok").isin(UDF_NAMES)
+        .when(is_name & named & top & (F.col("ftok") == "@") & tok.isin(UDF_NAMES)
               & ((n1 == "(") | F.col("last")), "deco")
         .when(is_name & top & (n1 == "=") & (F.col("sstart") | (p1 == "=")) & ~F.col("in_hdr"), "bind")
-        .when(annotated_target, "bind")
-        .when(in_def & (F.col("tok") == "spark") & is_param, "param")
-        .when(in_def & (F.col("tok") == "SparkSession") & is_name & ~named & (F.col("lvl") > 0) & (p1 != "=")
+        .when(annotated, "bind")
+        .when(F.col("is_param") & (tok == "spark"), "param")
+        .when(F.col("in_def") & (tok == "SparkSession") & is_name & ~named & (F.col("lvl") > 0) & (p1 != "=")
               & (F.coalesce("arrow", F.lit(-1)) != F.col("lline")), "param")
-        .when((F.col("tok") == "as") & (F.col("s1") == "with") & (p1 == ")") & n2.isin(":", ",", ")"), "handle")
+        .when((tok == "as") & (F.col("s1") == "with") & (p1 == ")") & n2.isin(":", ",", ")"), "handle")
         .when(is_name & F.col("sstart") & (n1 == "+="), "concat")
     )
-    is_value = stmt_end & top & ~in_import & (
-        (F.col("chain.before") == "=") | F.coalesce(F.col("s2") == "+=", F.lit(False))
+    name = (
+        F.when(F.col("etype") == "bind", F.when(tok == "=", F.col("s1")).otherwise(tok))
+        .when(F.col("etype") == "param", F.when(tok == "spark", tok).otherwise(F.col("param")))
+        .when(F.col("etype") == "handle", n1)
+        .when(F.col("etype").isNotNull(), tok)
     )
+    single = (F.col("n2_kind") == "number") & ((F.col("n3") == ")") | ((F.col("n3") == ",") & (F.col("n4") == ")")))
+    no_positional = (n2 == ")") | (n2 == "**") | ((F.col("n2_kind") == "name") & (F.col("n3") == "="))
     in_iter = (
-        F.col("in_hdr") & top & ~F.col("hcolon") & (F.col("tok") != "in")
+        F.col("in_hdr") & top & ~F.col("hcolon") & (tok != "in")
         & ((F.col("ftok") == "for") | ((F.col("ftok") == "async") & (F.col("f2") == "for")))
-        & F.coalesce(F.col("after_in") == F.col("stmt"), F.lit(False))
-    )
+        & F.coalesce(F.col("after_in") == F.col("lline"), F.lit(False))
+    )
+    is_method = F.col("etype") == "method"
+    closer = p1.isin(")", "]", "}") & (F.col("p_kind") == "op")
+    value_before = F.col("p_kind").isin("name", "str", "fstr", "number") | closer
+    goes_on = ~F.col("first") & (
+        ((tok == ".") & (kind == "op") & (value_before | p1.isin("None", "True", "False")))
+        | (kind.isin("name", "keyword") & named)
+        | (tok.isin("(", "[") & (kind == "op") & (F.col("p_kind").isin("name", "str", "fstr") | closer))
+        | (tok.isin(")", "]", "}") & (kind == "op"))
+        | ((kind == "str") & (F.col("p_kind") == "str"))
+    )
+    return tokens.withColumn("etype", etype).select(
+        "file_id", "is_spark", "pos", "tok", "kind", "line", "eline", "lvl", "lline", "stmt", "etype",
+        name.alias("name"),
+        F.when(F.col("first"), F.struct("indent", "ftok", "f2", "hdr", "line")).alias("own"), "last",
+        (~goes_on).alias("starts"), p1.alias("before"), "p_pos",
+        (n1 == ")").alias("closes"), (n1 == "(").alias("called"), named.alias("dotted"),
+        F.when(is_method, F.struct(
+            (n2 == ")").alias("zero_args"), no_positional.alias("no_positional"),
+            F.when(single, _integer(n2)).alias("int_arg"), ((F.col("p2") == "rdd") & (F.col("p3") == ".")).alias("on_rdd"),
+        )).alias("args"),
+        in_iter.alias("in_iter"),
+        (((F.col("last") & (tok != ";")) | (top & (n1 == ";"))) & top & ~in_import).alias("ends_stmt"),
+        (F.col("s2") == "+=").alias("adds"),
+    )
+
+
+def call_chains(events: DataFrame) -> DataFrame:
+    """Give each token the postfix chain (a.b(...)[c].d) it belongs to.
 
-    # cheap flags first; the wide event struct is built for the few kept tokens only
-    kept = (
+    A chain is a run of tokens at one bracket level without a break. Opening brackets appear twice: once at
+    their own level and once as the first row (role 1) of the group they open.
+    """
+    opener = (F.col("kind") == "op") & _is("tok", "(", "[", "{")
+    rows = events.withColumn(
+        "role", F.explode(F.when(opener, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    ).withColumn("glvl", F.col("lvl") + F.col("role"))
+    order = Window.partitionBy("file_id", "glvl").orderBy("pos", "role")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = (F.col("role") == 1) | F.col("starts")
+    hop = (F.col("role") == 0) & ~F.col("starts") & (_is("tok", ".", "(", "["))
+    head = F.struct("pos", "tok", "kind", "line", "before", F.coalesce("p_pos", F.lit(-1)).alias("before_pos"))
+    return (
         rows.withColumns({
-            "etype": F.when((etype == "handle") & ~F.coalesce(F.col("with_callee") == "open", F.lit(False)), None)
-            .otherwise(etype),
-            "is_value": F.coalesce(is_value, F.lit(False)),
-            "in_iter": F.coalesce(in_iter, F.lit(False)),
-            "in_paren": F.coalesce(last_of_paren, F.lit(False)),
+            "group": F.last(F.when(F.col("role") == 1, F.struct("pos", "tok", "starts")), True).over(upto),
+            "chain": F.last(F.when(begins, head), True).over(upto),
+            "hops_run": F.sum(hop.cast("int")).over(upto),
+            "call_end": F.lead("eline", 2).over(order),
+            "l2": F.lag("tok", 2).over(order), "l3": F.lag("tok", 3).over(order),
         })
-        .where(F.col("first") | F.col("last") | F.col("etype").isNotNull() | F.col("is_value") | F.col("in_iter")
-               | F.col("in_paren"))
+        .withColumn("hops", F.col("hops_run") - F.last(F.when(begins, F.col("hops_run")), True).over(upto))
+        .where(F.col("role") == 0)
     )
+
+
+def line_events(chained: DataFrame) -> DataFrame:
+    """One row per logical line with its events. Besides those of token_events: value (the last token of a
+    statement that ends in one chain), iter (iterated expression of a for), paren (a bracket around one chain)."""
+    # `open(...) as f`: three rows back at the same level stands the callee
+    etype = F.when((F.col("etype") == "handle") & (F.coalesce("l3", F.lit("")) != "open"), None).otherwise(F.col("etype"))
+    is_value = F.col("ends_stmt") & ((F.col("chain.before") == "=") | F.col("adds"))
+    in_paren = F.col("closes") & (F.col("group.tok") == "(") & F.col("group.starts") & (
+        F.col("chain.before_pos") == F.col("group.pos"))
+    event = F.struct(
+        "pos", "stmt", F.coalesce("name", "tok").alias("name"), F.col("chain.line").alias("line"), "eline", "call_end",
+        F.col("chain.tok").alias("root"), F.col("chain.kind").alias("root_kind"), F.col("chain.pos").alias("root_pos"),
+        "hops", "dotted", "called", "args", F.col("group.pos").alias("group_pos"), F.col("kind").alias("end_kind"),
+        F.col("l2").alias("callee"), "tok", F.col("before"),
+    )
+    any_kind = F.col("etype").isNotNull() | F.col("is_value") | F.col("in_iter") | F.col("in_paren")
     kinds = F.array("etype", F.when(F.col("is_value"), "value"), F.when(F.col("in_iter"), "iter"),
                     F.when(F.col("in_paren"), "paren"))
-    line_start = F.struct(_indent(F.col("before")).alias("indent"), "ftok", "f2", "hdr", "line")
-    any_kind = F.col("etype").isNotNull() | F.col("is_value") | F.col("in_iter") | F.col("in_paren")
     return (
-        kept.select(
-            "file_id", "lline", "is_spark", "eline",
-            F.when(F.col("first"), line_start).alias("own"),
-            F.when(any_kind, F.struct(kinds.alias("kinds"), _event().alias("e"))).alias("event"),
-        )
+        # cheap flags first; the wide event struct is built for the few kept tokens only
+        chained.withColumns({"etype": etype, "is_value": is_value, "in_paren": F.coalesce(in_paren, F.lit(False))})
+        .where(F.col("own").isNotNull() | F.col("last") | any_kind)
+        .select("file_id", "lline", "is_spark", "eline", "own",
+                F.when(any_kind, F.struct(kinds.alias("kinds"), event.alias("e"))).alias("event"),
+                (F.col("kind") != "end").alias("real"), F.coalesce(F.col("etype") == "bad", F.lit(False)).alias("bad"))
         .groupBy("file_id", "lline")
         .agg(
             F.first("is_spark").alias("is_spark"), F.first("own", ignorenulls=True).alias("own"),
-            F.max("eline").alias("eline"), F.collect_list("event").alias("events"),
+            F.max(F.when(F.col("real"), F.col("eline"))).alias("eline"), F.max("bad").alias("bad"),
+            F.max("real").alias("real"), F.collect_list("event").alias("events"),
         )
         .select(
-            "file_id", "lline", "is_spark", "own.indent", "own.line", "own.hdr", "eline",
+            "file_id", "lline", "is_spark", "own.indent", "own.line", "own.hdr", "eline", "bad", "real",
             F.flatten(F.transform("events", lambda x: F.transform(
                 F.filter(x["kinds"], lambda k: k.isNotNull()),
                 lambda k: F.struct(k.alias("etype"), x["e"].alias("e"))))).alias("events"),
@@ -185,36 +179,6 @@ def line_events(chained: DataFrame) -> DataFrame:
     )
 
 
-def _event() -> Column:
-    """What later stages need to know about a kept token."""
-    etype, n1, n2 = F.col("etype"), F.coalesce("n1", F.lit("")), F.coalesce("n2", F.lit(""))
-    single = (F.col("n2_kind") == "number") & (
-        (F.col("n3") == ")") | ((F.col("n3") == ",") & (F.col("n4") == ")"))
-    )
-    zero_args = n2 == ")"
-    keywords_only = zero_args | (n2 == "**") | ((F.col("n2_kind") == "name") & (F.col("n3") == "="))
-    return F.struct(
-        F.col("pos"), F.col("stmt"),
-        F.when(etype == "bind", F.when(F.col("tok") == "=", F.col("s1")).otherwise(F.col("tok")))
-        .when(etype == "param", F.when(F.col("tok") == "spark", F.col("tok")).otherwise(F.col("param")))
-        .when(etype == "handle", n1)
-        .otherwise(F.col("tok")).alias("name"),
-        F.col("chain.line").alias("line"), F.col("eline"), F.col("call_end"),
-        F.col("chain.tok").alias("root"), F.col("chain.kind").alias("root_kind"), F.col("chain.pos").alias("root_pos"),
-        F.col("hops"), F.col("p2").alias("before_dot"), F.col("p3"),
-        F.coalesce(F.col("p1") == ".", F.lit(False)).alias("dotted"), (n1 == "(").alias("called"),
-        zero_args.alias("zero_args"), keywords_only.alias("no_positional"),
-        F.when(single, _integer(F.col("n2"))).alias("int_arg"),
-        F.col("group.pos").alias("group_pos"), F.col("kind").alias("end_kind"), F.col("callee"), F.col("tok"),
-    )
-
-
-def _indent(before: Column) -> Column:
-    """Indent width of a line from the token in front of its first one."""
-    spaces = F.replace(before, F.lit("\t"), F.lit(" " * 8))
-    return F.coalesce(F.when(F.substring(before, 1, 1).isin(" ", "\t", "\f"), F.length(spaces)), F.lit(0))
-
-
 def _iter_key(events: Column) -> Column:
     """The dotted name a for loop runs over, or NULL when it is anything else."""
     toks = F.filter(events, lambda x: x["etype"] == "iter")
@@ -234,10 +198,11 @@ def enclosing_blocks(lines: DataFrame) -> DataFrame:
     per_file = Window.partitionBy("file_id")
     levels = F.collect_set(F.when(F.col("hdr"), F.col("indent"))).over(per_file)
     spread = (
-        lines.withColumn("levels", levels)
+        lines.withColumns({"levels": levels, "broken": F.max("bad").over(per_file)})
+        .where(~F.col("broken") & F.col("real"))
         .withColumn("level", F.explode(F.concat(F.array(F.lit(-1)), F.col("levels"))))
         .withColumn("events", F.when(F.col("level") == -1, F.col("events")))
-        .drop("levels")
+        .drop("levels", "broken", "bad", "real")
     )
     order = Window.partitionBy("file_id", "level").orderBy("lline").rowsBetween(Window.unboundedPreceding, 0)
     outer = F.col("indent") <= F.col("level")
@@ -417,9 +382,7 @@ def name_rows(lines: DataFrame) -> DataFrame:
         .when(F.col("etype") == "concat", F.col("value.eline"))
         .when((F.col("etype") == "deco") & ~F.col("e.called"), F.col("e.eline"))
         .otherwise(F.col("e.call_end")).alias("end_line"),
-        F.col("e.dotted").alias("dotted"), F.col("e.before_dot").alias("before_dot"), F.col("e.p3").alias("p3"),
-        F.col("e.zero_args").alias("zero_args"), F.col("e.no_positional").alias("no_positional"),
-        F.col("e.int_arg").alias("int_arg"),
+        F.col("e.dotted").alias("dotted"), "e.args.*",
     )
 
 

@@ -32,7 +32,7 @@ def method_rule() -> Column:
         .when(name.isin("crossJoin", "cartesian"), "spark.cartesian")
         .when((name == "repartition") & F.col("int_arg").isNotNull() & spark, "spark.repartition_no_key")
         .when((name == "take") & (F.col("int_arg") >= LARGE_TAKE) & spark, "spark.large_take")
-        .when(name.isin(P.RDD_ACTIONS) & (F.col("before_dot") == "rdd") & (F.col("p3") == "."), "spark.rdd_action")
+        .when(name.isin(P.RDD_ACTIONS) & F.col("on_rdd"), "spark.rdd_action")
     )
 
 
@@ -58,8 +58,7 @@ def name_rule() -> Column:
 
 def python_lines(files: DataFrame) -> DataFrame:
     """Logical lines of readable Python files with their events and enclosing blocks."""
-    tokens = TK.python_tokens(files).where(~F.col("broken"))
-    return P.enclosing_blocks(P.line_events(P.call_chains(tokens)))
+    return P.enclosing_blocks(P.line_events(P.call_chains(P.token_events(TK.python_tokens(files)))))
 
 
 def python_names(files: DataFrame) -> DataFrame:

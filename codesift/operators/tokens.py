@@ -19,8 +19,8 @@ _FSTRING_BODY_1 = (
     r"(?:[^{q}\\{{\r\n]|\\[\s\S]|\{{\{{|\{{(?:[^{{}}\"'\r\n]|\"[^\"\r\n]*+\"|'[^'\r\n]*+'|\{{[^{{}}]*+\}})*+\}})*+"
 )
 _PREFIX = r"(?i:[rbuft]|[rbft][rbft])?+"
+PY_TRIVIA = r"^(?:[ \t\f\n\x{FEFF}]|\\\n|#[^\n]*+)*+"
 _PY_PARTS = [
-    r"#[^\n]*+",
     _PREFIX + r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""',
     _PREFIX + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''",
     r"(?i:f|fr|rf)\"" + _FSTRING_BODY_1.format(q=r"\"") + r"\"",
@@ -30,11 +30,9 @@ _PY_PARTS = [
     r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*+",
     r"0[xXoObB][0-9a-fA-F_]++",
     r"(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9_]++)?[jJ]?",
-    r"\\\n",
-    r"\n",
-    r"[ \t\f]++",
     r"\*\*=?|//=?|>>=?|<<=?|[-+*/%&|^@=<>!:]=|->|\.\.\.",
-    r"[\s\S]",
+    r"\S",
+    r"\z",
 ]
 _FSTRING_PIECES = r"(?:[^{}]|\{\{|\}\})++|\{(?:[^{}]|\{[^{}]*+\})*+\}|[\s\S]"
 SQL_TRIVIA = r"^(?:[ \t\f\r\n]|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
@@ -69,8 +67,9 @@ SQL_KEYWORDS = [
 ]
 # --- End of fixed values ----------------------------------------------------------------------
 
-PY_TOKEN = "|".join(_PY_PARTS)
-SQL_TOKEN = SQL_TRIVIA[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"  # a token carries the blanks and comments before it
+# a token carries the blanks, line breaks and comments before it; an empty token ends the text
+PY_TOKEN = PY_TRIVIA[1:] + "(?:" + "|".join(_PY_PARTS) + ")"
+SQL_TOKEN = SQL_TRIVIA[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"
 SCALA_SINGLE = r'^"(?:[^"\\]|\\[\s\S])*+"$'
 SCALA_TOKEN = "|".join(_SCALA_PARTS)
 FSTRING_MARK = "\u0001"  # put before the literal pieces of a split f-string
@@ -105,17 +104,17 @@ def _newlines(tok: Column) -> Column:
 def _py_split(content: Column) -> Column:
     """Token texts of a Python file; f-strings are split so that the code in their fields is tokens too."""
     tokens = _matches(content, PY_TOKEN)
-    f_string = r"^(?i:f|fr|rf)[\"']"
+    f_string = PY_TRIVIA + r"(?i:f|fr|rf)[\"']"
+
+    def piece(p: Column) -> Column:
+        inside = F.filter(_matches(p, PY_TOKEN), lambda t: t != "")
+        return F.when(p.startswith("{") & ~p.startswith("{{"), inside).otherwise(
+            F.array(F.concat(F.lit(FSTRING_MARK), p)))
 
     def pieces(tok: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                _matches(tok, _FSTRING_PIECES),
-                lambda p: F.when(
-                    p.startswith("{") & ~p.startswith("{{"), _matches(p, PY_TOKEN)
-                ).otherwise(F.array(F.concat(F.lit(FSTRING_MARK), p))),
-            )
-        )
+        found = F.flatten(F.transform(_matches(F.regexp_replace(tok, PY_TRIVIA, ""), _FSTRING_PIECES), piece))
+        lead = F.regexp_extract(tok, "(" + PY_TRIVIA + ")", 0)
+        return F.concat(F.array(F.concat(lead, F.get(found, F.lit(0)))), F.slice(found, 2, F.size(found)))
 
     split = F.flatten(
         F.transform(tokens, lambda t: F.when(t.rlike(f_string), pieces(t)).otherwise(F.array(t)))
@@ -123,19 +122,27 @@ def _py_split(content: Column) -> Column:
     return F.when(content.rlike(r"(?i)\b(?:f|fr|rf)[\"']"), split).otherwise(tokens)
 
 
+def _without_lead(raw: Column, pattern: str) -> Column:
+    """The token without the blanks and comments in front; the regex only runs where one blank is not all."""
+    plain = F.substring(raw, 1, 1) > "#"
+    one_blank = (F.substring(raw, 1, 1) == " ") & (F.substring(raw, 2, 1) > "#") & (F.substring(raw, 2, 1) != "\\")
+    return (
+        F.when(plain & ~F.substring(raw, 1, 1).isin("\\", "\ufeff", "-", "/"), raw)
+        .when(one_blank & ~F.substring(raw, 2, 1).isin("-", "/"), F.substring(raw, 2, 1 << 30))
+        .otherwise(F.regexp_replace(raw, pattern, ""))
+    )
+
+
 def _py_kind(tok: Column) -> Column:
     first, last = F.substring(tok, 1, 1), F.substring(tok, -1, 1)
     quoted = last.isin('"', "'") & (F.length(tok) > 1)
-    is_f = F.lower(F.regexp_extract(tok, "^([A-Za-z]{1,2})[\"']", 1)).contains("f")
-    is_bytes = F.lower(F.regexp_extract(tok, "^([A-Za-z]{1,2})[\"']", 1)).contains("b")
+    prefix = F.lower(F.regexp_extract(tok, "^([A-Za-z]{1,2})[\"']", 1))
     return (
-        F.when(first == "#", "comment")
-        .when(tok == "\n", "newline")
-        .when(first.isin(" ", "\t", "\f") | (tok == "\\\n") | (tok == "﻿"), "space")
+        F.when(tok == "", "end")
         .when(first == FSTRING_MARK, "fstr")
         .when(quoted & first.isin('"', "'"), "str")
-        .when(quoted & is_f, "fstr")
-        .when(quoted & is_bytes, "bytes")
+        .when(quoted & F.contains(prefix, F.lit("f")), "fstr")
+        .when(quoted & F.contains(prefix, F.lit("b")), "bytes")
         .when(quoted, "str")
         .when(first.between("0", "9") | ((first == ".") & (F.length(tok) > 1) & (tok != "...")), "number")
         .when(tok.isin(keyword.kwlist), "keyword")
@@ -149,94 +156,115 @@ def python_tokens(files: DataFrame) -> DataFrame:
     """Significant tokens of Python files (partitioned by file_id) with lines, bracket level and statement.
 
     lvl is the bracket depth around a token (both brackets of a pair carry the outer depth), lline numbers the
-    logical lines, stmt the statements; broken marks files whose brackets or quotes do not add up.
+    logical lines, stmt the statements; p* and n* are the neighbours, empty across logical lines; s1 and s2 are
+    the first tokens of the statement. bad marks tokens that show the file cannot be read: see readable().
     """
     order = Window.partitionBy("file_id").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("file_id")
-    tok, kind, lvl = F.col("tok"), F.col("kind"), F.col("lvl")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    tok, kind, lvl, lead = F.col("tok"), F.col("kind"), F.col("lvl"), F.col("lead")
 
     def latest(cond: Column, value: Column) -> Column:
         return F.last(F.when(cond, value), True).over(upto)
 
+    # a break after a backslash joins lines, but not one at the end of a comment
+    joined = F.replace(F.regexp_replace(lead, r"#[^\n]*", ""), F.lit("\\\n"), F.lit(""))
+    margin = F.replace(F.replace(F.substring_index(lead, "\n", -1), F.lit("\ufeff"), F.lit("")), F.lit("\t"), F.lit(" " * 8))
     raw = (
         files.select(
-            "file_id",
-            (F.col("language") == "spark").alias("is_spark"),
-            F.posexplode(_py_split(F.col("content"))).alias("pos", "tok"),
+            "file_id", (F.col("language") == "spark").alias("is_spark"),
+            F.posexplode(_py_split(F.col("content"))).alias("pos", "raw"),
         )
-        .withColumns({
-            "kind": _py_kind(tok),
-            "nl": F.when(F.contains(tok, F.lit("\n")), _newlines(tok)).otherwise(0),
-        })
-        .withColumn(
-            "step",
-            F.when(kind != "op", 0).when(tok.isin("(", "[", "{"), 1).when(tok.isin(")", "]", "}"), -1).otherwise(0),
+        .withColumn("tok", _without_lead(F.col("raw"), PY_TRIVIA))
+        .withColumns({"kind": _py_kind(tok), "lead": F.expr("substring(raw, 1, length(raw) - length(tok))")})
+        .select(
+            "file_id", "is_spark", "pos", "kind",
+            # f-string literal pieces lose their mark here
+            F.when(kind == "fstr", F.ltrim(tok, F.lit(FSTRING_MARK))).otherwise(tok).alias("tok"),
+            F.when(F.contains("raw", F.lit("\n")), _newlines(F.col("raw"))).otherwise(0).alias("nl"),
+            F.when(kind.isin("str", "fstr", "bytes"), _newlines(tok)).otherwise(0).alias("tok_nl"),
+            F.when(F.contains(lead, F.lit("\\\n")), F.contains(joined, F.lit("\n")))
+            .otherwise(F.contains(lead, F.lit("\n"))).alias("breaks"),
+            F.when(F.contains(lead, F.lit("\n")) | (F.col("pos") == 0), F.length(margin)).otherwise(0).alias("indent"),
+            F.when(kind != "op", 0).when(tok.isin("(", "[", "{"), 1).when(tok.isin(")", "]", "}"), -1).otherwise(0)
+            .alias("step"),
         )
+    )
+    depth, step = F.col("depth"), F.col("step")
+    first, last = F.col("first"), F.col("last")
+    near = lambda name: F.when(last, "").otherwise(F.coalesce(name, F.lit("")))
+    toks = (
+        raw.withColumns({
+            "eline": 1 + F.sum("nl").over(upto), "depth": F.sum("step").over(upto),
+            **{f"p{i}": F.lag("tok", i).over(order) for i in (1, 2, 3)},
+            **{f"n{i}": F.lead("tok", i).over(order) for i in (1, 2, 3, 4)},
+            "p_kind": F.lag("kind").over(order), "p_pos": F.lag("pos").over(order),
+            "n1_kind": F.lead("kind").over(order), "n2_kind": F.lead("kind", 2).over(order),
+            "n_breaks": F.coalesce(F.lead("breaks").over(order), F.lit(True)),
+        })
         .withColumns({
-            "eline": 1 + F.sum("nl").over(upto),
-            "depth": F.sum("step").over(upto),
-            "before": F.lag("tok").over(order),
+            "first": (F.col("pos") == 0) | (F.col("breaks") & (depth - step == 0)),
+            "last": (F.col("n_breaks") & (depth == 0)) | (F.col("n1_kind") == "end"),
+            "line": F.col("eline") - F.col("tok_nl"),
+            "lvl": F.when(step == 1, depth - 1).otherwise(depth),
+            "bad": (kind == "bad") | (depth < 0) | ((kind == "end") & (depth != 0)),
         })
+        .drop("nl", "tok_nl", "breaks", "n_breaks", "step", "depth")
         .withColumns({
-            "lline": F.sum(F.when((kind == "newline") & (F.col("depth") == 0), 1).otherwise(0)).over(upto),
-            "unbalanced": F.max((kind == "bad") | (F.col("depth") < 0)).over(whole) | (F.sum("step").over(whole) != 0),
+            "p1": F.when(first, "").otherwise(F.col("p1")), "p_kind": F.when(first, "").otherwise(F.col("p_kind")),
+            "p2": F.coalesce("p2", F.lit("")), "p3": F.coalesce("p3", F.lit("")),
+            "n1": near("n1"), "n2": near("n2"), "n3": F.coalesce("n3", F.lit("")), "n4": F.coalesce("n4", F.lit("")),
         })
-        .where(~kind.isin("space", "newline", "comment"))
-        .select(
-            "file_id", "is_spark", "pos", "kind", "eline", "before", "lline", "unbalanced",
-            # f-string literal pieces lose their mark here
-            F.when(kind == "fstr", F.ltrim(tok, F.lit(FSTRING_MARK))).otherwise(tok).alias("tok"),
-            (F.col("eline") - F.col("nl")).alias("line"),
-            F.when(F.col("step") == 1, F.col("depth") - 1).otherwise(F.col("depth")).alias("lvl"),
-        )
     )
-    own_colon = F.when((lvl == 0) & (tok == ":"), 1).when((lvl == 0) & (tok == "lambda"), -1).otherwise(0)
-    p_lline, n_lline = F.lag("lline").over(order), F.lead("lline").over(order)
-    toks = raw.withColumns({
-        "p1": F.lag("tok", 1).over(order), "p2": F.lag("tok", 2).over(order), "p3": F.lag("tok", 3).over(order),
-        "p_kind": F.lag("kind").over(order), "p_pos": F.lag("pos").over(order),
-        "n1": F.lead("tok", 1).over(order), "n2": F.lead("tok", 2).over(order),
-        "n3": F.lead("tok", 3).over(order), "n4": F.lead("tok", 4).over(order),
-        "n2_kind": F.lead("kind", 2).over(order),
-        "first": p_lline.isNull() | (p_lline != F.col("lline")),
-        "last": n_lline.isNull() | (n_lline != F.col("lline")),
-        "colons": F.sum(own_colon).over(upto),
-    })
+    top = lvl == 0
+    mark = F.when(first, "first").when(top & tok.isin(":", "lambda") & kind.isin("op", "keyword"), tok)
     heads = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async"]
-    soft = F.col("ftok").isin("match", "case") & ~F.col("f2").isin("=", ".", ":", ",", ")", "+=", "[")
+    soft = F.col("ftok").isin("match", "case") & ~F.col("f2").isin("=", ".", ":", ",", ")", "+=", "[", "")
     # two operands in a row at the start of a line: not Python 3
     misplaced = (
-        ~F.col("first") & F.lag("first").over(order) & (F.col("p_kind") == "name")
-        & kind.isin("name", "number", "str", "fstr") & ~F.col("p1").isin("match", "case", "type")
+        ~first & F.lag("first").over(order) & (F.col("p_kind") == "name") & kind.isin("name", "number", "str", "fstr")
+        & ~F.col("p1").isin("match", "case", "type")
     )
+    is_def = (F.col("ftok") == "def") | ((F.col("ftok") == "async") & (F.col("f2") == "def"))
+    is_param = is_def & F.col("in_hdr") & (lvl == 1) & (kind == "name") & F.col("p1").isin("(", ",")
     return (
         toks.withColumns({
-            "base_colons": latest(F.col("first"), F.col("colons") - own_colon),
-            "ftok": latest(F.col("first"), tok),
-            "f2": latest(F.col("first"), F.coalesce("n1", F.lit(""))),
-            "first_pos": latest(F.col("first"), F.col("pos")),
-            "misplaced": misplaced,
+            "lline": F.sum(first.cast("int")).over(upto),
+            "ftok": latest(first, tok), "f2": latest(first, F.col("n1")), "first_pos": latest(first, F.col("pos")),
+            "marked": F.last(mark, True).over(earlier), "misplaced": F.coalesce(misplaced, F.lit(False)),
         })
-        .withColumns({"hdr": F.col("ftok").isin(heads) | soft, "nth": F.col("colons") - F.col("base_colons")})
-        .withColumn("hcolon", F.col("hdr") & (tok == ":") & (lvl == 0) & (F.col("nth") == 1))
+        .withColumn("hdr", F.col("ftok").isin(heads) | soft)
+        .withColumn("hcolon", F.col("hdr") & top & (tok == ":") & ~first & (F.col("marked") == "first"))
         .withColumns({
-            "in_hdr": F.col("hdr") & ((F.col("nth") < 1) | F.col("hcolon")),
-            "sep": F.col("hcolon") | ((tok == ";") & (lvl == 0)),
+            "in_hdr": F.col("hdr") & (F.col("hcolon") | first | F.col("marked").isin("first", "lambda")),
+            "sep": F.col("hcolon") | (top & (tok == ";")),
+            "bad": F.col("bad") | F.col("misplaced"),
         })
         .withColumns({
             "stmt": F.col("lline") + F.sum(F.col("sep").cast("int")).over(upto) - F.col("sep").cast("int"),
-            "sstart": F.col("first") | F.coalesce(F.lag("sep").over(order), F.lit(False)),
-            "broken": F.col("unbalanced") | F.max(F.coalesce("misplaced", F.lit(False))).over(whole),
+            "sstart": first | F.coalesce(F.lag("sep").over(order), F.lit(False)),
+            "s1": F.last(F.when(F.col("sep"), F.col("n1")).when(first, tok), True).over(upto),
+            "s1_kind": F.last(F.when(F.col("sep"), F.col("n1_kind")).when(first, kind), True).over(upto),
+            "s2": F.last(F.when(F.col("sep"), F.col("n2")).when(first, F.col("n1")), True).over(upto),
+            "after_in": latest(top & (tok == "in"), F.col("lline")),
+            "arrow": latest(top & (tok == "->"), F.col("lline")),
+            "is_param": is_param, "param": latest(is_param, tok),
+            "in_def": is_def & F.col("in_hdr"),
         })
-        .drop("base_colons", "colons", "nth", "unbalanced", "misplaced", "sep")
+        .drop("marked", "misplaced", "sep")
     )
 
 
+def readable(tokens: DataFrame) -> DataFrame:
+    """Tokens of the files without a bad token."""
+    return tokens.withColumn("broken", F.max("bad").over(Window.partitionBy("file_id"))).where(
+        ~F.col("broken") & (F.col("kind") != "end"))
+
+
 def lexical_problems(texts: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
     """Texts (keys, text) whose brackets or quotes do not add up: keys, open_brackets, bad_quote."""
     order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok = F.regexp_replace("tok", SQL_TRIVIA, "") if pattern == SQL_TOKEN else F.col("tok")
+    tok = F.regexp_replace("tok", SQL_TRIVIA if pattern == SQL_TOKEN else PY_TRIVIA, "")
     return (
         texts.select(*keys, F.posexplode(_matches(F.col("text"), pattern)).alias("pos", "tok"))
         .select(*keys, "pos", tok.alias("tok"))

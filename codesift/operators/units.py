@@ -37,12 +37,11 @@ def _literal_text(tok: Column, kind: Column, p1: Column, n1: Column) -> Column:
 def python_literals(files: DataFrame) -> DataFrame:
     """String literals of Python files: file_id, unit_no, start_line, text. Adjacent literals are one."""
     order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = TK.python_tokens(files)
     strings = (
-        tokens.where(~F.col("broken"))
+        TK.readable(TK.python_tokens(files))
         .select("file_id", "pos", "tok", "kind", "line", "first", "p_kind", "p1", "n1")
         .where(F.col("kind").isin("str", "fstr"))
-        .withColumn("opens", F.col("first") | ~F.coalesce(F.col("p_kind").isin("str", "fstr"), F.lit(False)))
+        .withColumn("opens", F.col("first") | ~F.col("p_kind").isin("str", "fstr"))
         .withColumn("literal", F.last(F.when(F.col("opens"), F.col("pos")), True).over(order))
         .withColumn("text", _literal_text(F.col("tok"), F.col("kind"), F.col("p1"), F.col("n1")))
     )

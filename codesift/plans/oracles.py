@@ -180,7 +180,7 @@ ORACLES |= {
         (8, 6, "collect", "spark"), (14, 8, "apply", "box"), (15, 8, "collect", "df"),
     ], "path AS file_path, line, m AS method, r AS root"),
     "py_calls": by_template("tid, line, m, a", [
-        (6, 13, "read", 10), (7, 15, "coalesce", 1), (7, 16, "repartition", 8), (7, 18, "take", 999), (7, 19, "take", 1000),
+        (6, 9, "sleep", 1), (6, 13, "read", 10), (7, 15, "coalesce", 1), (7, 16, "repartition", 8), (7, 18, "take", 999), (7, 19, "take", 1000),
     ], "path AS file_path, line, m AS method, a::BIGINT AS int_arg"),
     "lex_status": by_template("tid, n", [(13, 1)], "path AS file_path, 0 AS unit_no, n::BIGINT AS open_brackets, false AS bad_quote"),
     # --- candidates, findings, summaries on the corpus

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift import schemas as S
-from codesift.corpus import SKIPPED_TEMPLATE, code_corpus  # noqa: F401
+from codesift.corpus import code_corpus
 from codesift.functions import text as X
 from codesift.operators import findings as N
 from codesift.operators import patch, rank, rules_py, sqlfacts, state, units, views
@@ -100,8 +100,8 @@ def comment_mask(t):
     """Words seen by the rules: those in comments and strings are not counted."""
     f = files(t)
     sql = sqlfacts.sql_tokens(units.sql_units(f)).where(F.col("u") == "SELECT").select("file_id", F.col("u").alias("word"))
-    py = TK.python_tokens(f.where(F.col("suffix") == ".py")).where(
-        ~F.col("broken") & (F.col("kind") == "name") & F.col("tok").isin("collect", "toPandas") & (F.col("p1") == ".")
+    py = TK.readable(TK.python_tokens(f.where(F.col("suffix") == ".py"))).where(
+        (F.col("kind") == "name") & F.col("tok").isin("collect", "toPandas") & (F.col("p1") == ".")
     ).select("file_id", F.col("tok").alias("word"))
     n = sql.unionByName(py).groupBy("file_id", "word").agg(F.count("*").alias("n"))
     return with_path(n, f).select("file_path", "word", "n")
