@@ -159,7 +159,8 @@ def code_corpus(orders: DataFrame) -> DataFrame:
     path = F.when(
         template == SKIPPED_TEMPLATE, F.concat(F.lit("node_modules/f"), key, F.lit(".py"))
     ).otherwise(F.concat(F.lit("src/m"), key % 100, F.lit("/f"), key, suffix))
-    return orders.select(
+    # the keys are spread before the texts are made, as the table may be one small file
+    return orders.select("o_orderkey", "o_custkey").repartition("o_orderkey").select(
         F.concat(F.lit("repo_"), F.col("o_custkey") % 10).alias("repo"),
         F.lit("main").alias("ref"),
         path.alias("path"),

@@ -59,10 +59,7 @@ def is_supported(path: Column) -> Column:
 def classify(path: Column, content: Column) -> Column:
     """sql / python / spark, or NULL for a suffix the audit does not read."""
     suffix = path_suffix(path)
-    lowered = F.lower(content)
-    marked = F.lit(False)
-    for marker in S.SPARK_MARKERS:
-        marked = marked | F.contains(lowered, F.lit(marker))
+    marked = content.rlike("(?i)" + "|".join(m.replace(".", r"\.") for m in S.SPARK_MARKERS))
     return (
         F.when(suffix == ".sql", "sql")
         .when(suffix == ".scala", "spark")

@@ -83,14 +83,13 @@ def partition_files(files: DataFrame, num_partitions: int | None = None) -> Data
     the default is the session's spark.sql.shuffle.partitions.
     """
     num_partitions = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = files.select(
-        X.file_id(F.col("repo"), F.col("ref"), F.col("path")).alias("file_id"),
-        "repo", "ref", "path",
+    # computed below the exchange, so that no later stage repeats it per token
+    return files.select(
+        X.file_id(F.col("repo"), F.col("ref"), F.col("path")).alias("file_id"), "repo", "ref", "path",
         X.path_suffix(F.col("path")).alias("suffix"),
         X.classify(F.col("path"), F.col("content")).alias("language"),
         X.unify_newlines(F.col("content")).alias("content"),
-    )
-    return keyed.repartition(num_partitions, "file_id")
+    ).repartition(num_partitions, "file_id")
 
 
 def _matches(text: Column, pattern: str) -> Column:

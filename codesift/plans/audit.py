@@ -12,7 +12,13 @@ from codesift.operators import tokens as TK
 
 # The rule plans are long chains of projections. Deriving constraints through every alias takes minutes on
 # them and finds nothing (there is no outer filter to infer), so it is switched off for the session.
-SESSION_SETTINGS = {"spark.sql.constraintPropagation.enabled": "false"}
+# Generated methods above 8000 bytes are never compiled by the JVM; below that limit Spark splits them up.
+# Case mapping through ICU is many times slower per token and gives the same for the words the rules look at.
+SESSION_SETTINGS = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.icu.caseMappings.enabled": "false",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
