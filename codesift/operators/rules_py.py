@@ -10,6 +10,11 @@ from codesift.operators import tokens as TK
 
 LARGE_TAKE = 1000  # fixed value
 
+# Every hit needs one of these in the text: a rule's method name, an imported name that ends in udf or sleep,
+# a string +=, or two for loops.
+TRIGGERS = "|".join(
+    [m for m in P.RULE_METHODS if m not in P.RDD_ACTIONS] + ["rdd", "udf", r"\+=", r"\bfor\b[\s\S]*?\bfor\b"])
+
 
 def method_rule() -> Column:
     """Rule of a method call x.name(...). The names are disjoint, so a call gives at most one rule."""

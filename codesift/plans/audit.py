@@ -34,7 +34,8 @@ def scannable(source_files: DataFrame, num_partitions: int | None = None) -> Dat
 
 
 def python_hits(files: DataFrame) -> DataFrame:
-    return rules_py.python_hits(files.where(F.col("suffix") == ".py"))
+    """Hits of the Python and Spark rules. Files without any word a rule needs are not tokenized."""
+    return rules_py.python_hits(files.where((F.col("suffix") == ".py") & F.col("content").rlike(rules_py.TRIGGERS)))
 
 
 def sql_hits(files: DataFrame) -> DataFrame:
