@@ -80,9 +80,12 @@ def partition_files(files: DataFrame, num_partitions: int | None = None) -> Data
 
     The count is explicit so that AQE does not merge partitions by their text size: the token rows made from it
     take roughly ten times as much. Give num_partitions as about (bytes of text / 32 MB) for a large corpus;
-    the default is the session's spark.sql.shuffle.partitions.
+    the default is the session's spark.sql.shuffle.partitions, or one per core where that was left as it is.
     """
-    num_partitions = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = files.sparkSession
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    untouched = setting == 200  # Spark's default says nothing about this cluster
+    num_partitions = num_partitions or (spark.sparkContext.defaultParallelism if untouched else setting)
     # computed below the exchange, so that no later stage repeats it per token
     return files.select(
         X.file_id(F.col("repo"), F.col("ref"), F.col("path")).alias("file_id"), "repo", "ref", "path",

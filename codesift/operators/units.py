@@ -35,11 +35,11 @@ def _literal_text(tok: Column, kind: Column, p1: Column, n1: Column) -> Column:
 
 
 def python_literals(files: DataFrame) -> DataFrame:
-    """String literals of Python files: file_id, unit_no, start_line, text. Adjacent literals are one."""
+    """String literals of Python files: file_id, unit_no, start_line, text, is_spark. Adjacent literals are one."""
     order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strings = (
         TK.readable(TK.python_tokens(files))
-        .select("file_id", "pos", "tok", "kind", "line", "first", "p_kind", "p1", "n1")
+        .select("file_id", "is_spark", "pos", "tok", "kind", "line", "first", "p_kind", "p1", "n1")
         .where(F.col("kind").isin("str", "fstr"))
         .withColumn("opens", F.col("first") | ~F.col("p_kind").isin("str", "fstr"))
         .withColumn("literal", F.last(F.when(F.col("opens"), F.col("pos")), True).over(order))
@@ -49,9 +49,9 @@ def python_literals(files: DataFrame) -> DataFrame:
     return (
         strings.groupBy("file_id", "literal")
         .agg(F.min("line").cast("int").alias("start_line"), parts.alias("parts"),
-             F.min(F.col("kind") == "fstr").alias("in_fstring"))
+             F.first("is_spark").alias("is_spark"), F.min(F.col("kind") == "fstr").alias("in_fstring"))
         .select("file_id", (F.col("literal") + 1).cast("int").alias("unit_no"), "start_line",
-                F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "in_fstring")
+                F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "is_spark", "in_fstring")
         .where(~F.col("in_fstring") | (F.col("text") != ""))
         .drop("in_fstring")
     )
@@ -93,12 +93,8 @@ def sql_units(files: DataFrame) -> DataFrame:
     # the cheap test on the whole file keeps most Python files out of the second tokenizing
     verbs = r"(?i)[\"'](?:[\s(]|\\[nrt\n])*(?:select|with|insert|update|delete|merge)\b"
     python = files.where((F.col("suffix") == ".py") & F.col("content").rlike(verbs))
-    spark_files = (F.col("language") == "spark")
-    in_python = (
-        looking_like_sql(python_literals(python))
-        .join(python.select("file_id", F.when(spark_files, "spark").otherwise("sql").alias("dialect")), "file_id")
-        .select(*columns)
-    )
+    in_python = looking_like_sql(python_literals(python)).withColumn(
+        "dialect", F.when(F.col("is_spark"), "spark").otherwise("sql")).select(*columns)
     in_scala = looking_like_sql(scala_literals(files.where(F.col("suffix") == ".scala"))).withColumn(
         "dialect", F.lit("spark")).select(*columns)
     return whole.unionByName(in_python).unionByName(in_scala)
