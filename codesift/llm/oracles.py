@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codesift.llm.quality_rules import STOP_WORDS
+from codesift.llm.secret_scan import ALLOWED, ASSIGN, CLASSES
 
 QUALITY_RULES = f"""
 WITH d AS (
@@ -43,3 +44,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules
 FROM f
 """
+
+
+def _spans(kind: str, place: int, pattern: str, keep: str) -> str:
+    """Rows (r, start, place, kind, end, word) of the matches of a pattern; starts are sums over the pieces before."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT r, start, {place} AS place, '{kind}' AS kind, start + length(word) AS "end", word FROM (
+    SELECT r, unnest(m) AS word,
+           unnest(list_transform(range(1, len(m) + 1), lambda k: list_sum(list_transform(gap[1:k], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)))::BIGINT AS start
+    FROM (SELECT r, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS gap FROM d
+          WHERE regexp_matches(t, '{pattern}'))) WHERE {keep}"""
+
+
+def _windows(kind: str) -> str:
+    """Spans of an entropy class: every window's counts are taken anew."""
+    c = next(x for x in CLASSES if x.kind == kind)
+    needs = " AND ".join(f"regexp_matches(word, '{x}')" for x in c.needs)
+    # one character over and over: written out, as there are no back references here
+    allowed = ALLOWED.replace(r"|(.)\1{5}", "")
+    runs = "|".join(x + "{6}" for x in [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/_=-", r"\+"])
+    found = _spans(kind, 3 + CLASSES.index(c), f"[{c.characters}]{{{c.window},}}",
+                   f"{needs} AND NOT regexp_matches(word, '{allowed}') AND NOT regexp_matches(word, '{runs}')")
+    window = f"substring(word, (i + 1)::BIGINT, {c.window})"
+    return f"""
+  SELECT r, start + min(i) AS start, place, kind, start + max(i) + {c.window} AS "end", word FROM (
+    SELECT *, unnest(range(0, length(word) - {c.window - 1})) AS i FROM ({found}))
+  WHERE list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c:
+          list_transform([len(list_filter(string_split({window}, ''), lambda x: x = c))],
+                         lambda n: round(n * log2(n) * 1000000))[1]))
+        <= floor((log2({c.window}) - {c.bits}) * {c.window} * 1000000)
+  GROUP BY r, start, place, kind, word"""
+
+
+SECRET_SCAN = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_spans("assign", 0, ASSIGN, "length(regexp_extract(word, '" + ASSIGN.replace("'", "''") + "', 2)) >= 6")}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(word) >= 20")}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]+", "length(word) >= 24")}),
+spans AS (SELECT * FROM base UNION ALL {_windows("entropy_hex")} UNION ALL {_windows("entropy_mixed")}),
+b AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) AS base
+  FROM base GROUP BY r
+), s AS (
+  SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (r) LEFT JOIN s USING (r)
+"""

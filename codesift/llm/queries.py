@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import oracles, quality_rules
+from codesift.llm import oracles, quality_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base kinds, and all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[secret_scan.n_spans("base", kind).alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
+
+
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES = {
+    "op3_secret_scan": oracles.SECRET_SCAN,
     "op7_quality_rules": oracles.QUALITY_RULES,
 }
