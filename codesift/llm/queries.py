@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import oracles, quality_rules, secret_scan
+from codesift.llm import decontamination, oracles, quality_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES = {
+    "op5_decontamination": oracles.DECONTAMINATION,
     "op3_secret_scan": oracles.SECRET_SCAN,
     "op7_quality_rules": oracles.QUALITY_RULES,
 }
