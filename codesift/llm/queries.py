@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import decontamination, oracles, quality_rules, secret_scan
+from codesift.llm import decontamination, oracles, quality_rules, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document it reaches over links of two bits or fewer."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op8_simhash": op8_simhash,
     "op5_decontamination": op5_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op7_quality_rules": op7_quality_rules,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +48,30 @@ def map_texts(
                 [batch.column("row"), *[pa.array(x, kind) for x, kind in zip(found, arrow, strict=True)]],
                 names=["row", *[c.name for c in columns]])
 
-    return with_text(docs, text).mapInArrow(run, T.StructType(types))
+    return map_arrow(with_text(docs, text), run, T.StructType(types))
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors, which need no copy of their own."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
+_SHIPPED: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(os.path.join(tempfile.mkdtemp(), "codesift_llm.zip"), "w") as out:
+        out.write(os.path.join(here, "..", "__init__.py"), "codesift/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                out.write(os.path.join(here, name), f"codesift/llm/{name}")
+    context.addPyFile(out.filename)
+    _SHIPPED.add(context.applicationId)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -66,3 +92,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """df written as Parquet into a new folder below the shared checkpoint folder, and read from there.
+
+    Unlike checkpoint() it keeps the columns apart and compressed. The folder goes when the session's file system closes.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
