@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import decontamination, oracles, quality_rules, secret_scan, simhash
+from codesift.llm import (
+    decontamination, oracles, packing, quality_rules, rows, secret_scan, simhash, token_counts, token_files,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +46,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files of directly addressable codes, read back."""
+    path = rows.shared_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.packed(packing.pieces(_table(spark, sf_dir, "documents")).drop("ids"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counts = token_counts.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counts.select(
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_packing": op4_packing,
+    "op10_token_counts": op10_token_counts,
     "op8_simhash": op8_simhash,
     "op5_decontamination": op5_decontamination,
     "op3_secret_scan": op3_secret_scan,

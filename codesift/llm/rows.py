@@ -94,16 +94,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """df written as Parquet into a new folder below the shared checkpoint folder, and read from there.
-
-    Unlike checkpoint() it keeps the columns apart and compressed. The folder goes when the session's file system closes.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder; it goes when the session's file system closes."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path.toString())
+    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    return path.toString()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """df written as Parquet below the shared folder and read from there: unlike checkpoint() in columns, compressed."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
