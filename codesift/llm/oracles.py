@@ -35,7 +35,7 @@ WITH d AS (
     CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_words' END,
     CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 'word_length' END,
     CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END,
-    CASE WHEN 100 * n_stop_words < 2 * n_words THEN 'stop_words' END,
+    CASE WHEN 100 * n_stop_words < 1 * n_words THEN 'stop_words' END,
     CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 'repeated_lines' END], lambda x: x IS NOT NULL) AS failed
   FROM s
 )

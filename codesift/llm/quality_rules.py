@@ -39,7 +39,7 @@ RULES = (
     Rule("repeated_words", "n_repeat_words", "n_words", at_most=50, scale=100, base=True),
     Rule("word_length", "word_chars", "n_words", at_least=2, at_most=12),
     Rule("symbols", "n_symbols", "n_words", at_most=10, scale=100),
-    Rule("stop_words", "n_stop_words", "n_words", at_least=2, scale=100),
+    Rule("stop_words", "n_stop_words", "n_words", at_least=1, scale=100),
     Rule("repeated_lines", "n_dup_lines", "n_lines", at_most=40, scale=100),
 )
 

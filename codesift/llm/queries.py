@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import (
-    decontamination, oracles, packing, quality_rules, rows, secret_scan, simhash, token_counts, token_files,
+    decontamination, language, oracles, packing, quality_qda, quality_rules, rows, secret_scan, simhash, token_counts,
+    token_files,
 )
 
 
@@ -65,7 +66,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    found = quality_qda.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~held_out))
+    return language.predicted(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op6_quality_qda": op6_quality_qda,
+    "op9_language": op9_language,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
     "op10_token_counts": op10_token_counts,
