@@ -84,7 +84,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(F.split("t", f"[{SYMBOLS}]", -1)) - 1).cast("long").alias("n_symbols"),
             F.size("l").cast("long").alias("n_lines"),
             (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+            # the condition is always true and keeps filters above this projection: pushed below, they would carry the
+            # expressions of whole columns into the lambdas, to be computed anew for each word
+            F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0))).cast("long").alias("n_repeat_words"),
             F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
     )

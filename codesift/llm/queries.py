@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import (
-    decontamination, language, oracles, packing, quality_qda, quality_rules, rows, secret_scan, simhash, token_counts,
-    token_files,
+    decontamination, html_text, language, oracles, packing, quality_qda, quality_rules, rows, secret_scan, simhash,
+    token_counts, token_files,
 )
 
 
@@ -81,7 +81,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extracted(_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op6_quality_qda": op6_quality_qda,
     "op9_language": op9_language,
     "op2_token_files": op2_token_files,

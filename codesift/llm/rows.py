@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,16 @@ def landed(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df and pos: its rows numbered from 0 in the order of columns, which must tell rows apart; df is written once.
+
+    Rows are dealt out by ranges and sorted there; the sizes of the ranges, one row for each, give where each starts.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"))
+    placed = checkpointed(placed)
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("pid").count().select("pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    return placed.join(F.broadcast(bases), "pid").select(*df.columns, (F.col("base") + F.col("seq")).alias("pos"))
