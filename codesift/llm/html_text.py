@@ -372,7 +372,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
 
     small = rows.map_arrow(
         keyed.select("digest", "u", "t"), signature, "digest binary, host string, path string, lines array<long>")
-    one = small.groupBy("digest").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
+    one = small.filter(F.size("lines") > 0).groupBy("digest").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
     numbered = rows.numbered(one, "host", "path", "digest")
     cell = F.floor(F.col("pos") / _GROUP)
     spread = numbered.select("*", F.explode(F.array_distinct(F.array(
