@@ -14,6 +14,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The one string that the vocabulary treats as a token by itself.
 SPECIAL = "<|endoftext|>"
 
+_MARK = 0x10FFFF  # no character; put between pre-tokens to have them split at once
+
 _OTHER, _SPACE, _LETTER, _NUMBER, _UNSURE = range(5)
 #: White space of the pattern that cuts pre-tokens, and the endings it cuts off after an apostrophe.
 _BLANKS = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(9, 14), 32)
@@ -74,8 +76,14 @@ def cut(text: str) -> list[str]:
     kind = _classes()[points]
     if (kind == _UNSURE).any():
         return [text[a:b] for _, (a, b) in tokenizer().pre_tokenizer.pre_tokenize_str(text)]
-    at = _starts(points, kind).tolist()
-    return list(map(text.__getitem__, map(slice, at, [*at[1:], None])))
+    starts = _starts(points, kind)
+    if (points == _MARK).any():
+        at = starts.tolist()
+        return list(map(text.__getitem__, map(slice, at, [*at[1:], None])))
+    marked = np.empty(len(points) + len(starts) - 1, np.uint32)
+    marked[starts[1:] + np.arange(len(starts) - 1)] = _MARK
+    marked[np.arange(len(points)) + np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(points)]))] = points
+    return marked.tobytes().decode("utf-32-le").split(chr(_MARK))
 
 
 class Encoder:
@@ -85,7 +93,7 @@ class Encoder:
     fewer than room of them. A text with a special string goes to the library as it is.
     """
 
-    def __init__(self, room: int = 300_000) -> None:
+    def __init__(self, room: int = 1_000_000) -> None:
         self.known: dict[str, bytes] = {}
         self.room = room
         vocabulary = tokenizer().get_vocab()
@@ -94,15 +102,21 @@ class Encoder:
             self.width[number] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if SPECIAL in x else cut(x) for x in texts]
         if len(self.known) > self.room:
             self.known.clear()
-        self._learn(list({p for x in pieces if x for p in x if p not in self.known}))
-        known = self.known.__getitem__
-        return [
-            b"".join(map(known, x)) if x is not None
-            else np.array(tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for x, text in zip(pieces, texts, strict=True)]
+        pieces = [None if SPECIAL in x else cut(x) for x in texts]
+        found = [x and list(map(self.known.get, x)) for x in pieces]
+        gaps = [x and [k for k, ids in enumerate(x) if ids is None] for x in found]
+        self._learn(list({x[k] for x, g in zip(pieces, gaps, strict=True) if g for k in g}))
+        out = []
+        for text, x, ids, gap in zip(texts, pieces, found, gaps, strict=True):
+            if x is None:
+                out.append(np.array(tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            for k in gap:
+                ids[k] = self.known[x[k]]
+            out.append(b"".join(ids))
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Pre-tokens of one blank and letters stay apart when joined; the others are encoded one by one."""
