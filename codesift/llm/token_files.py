@@ -97,22 +97,26 @@ class Codes:
         return out
 
 
-_SEGMENT = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
+_SEGMENT = "part int, segment int, inside long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
     encode, part = pretokens.encoder().encode, TaskContext.get().partitionId()
     end = np.array([end_id], "<u4").tobytes()
     held: list[tuple[int | None, bytes]] = []
-    number = size = 0
+    number = size = inside = 0
 
     def closed() -> pa.RecordBatch:
+        nonlocal inside, number, size
         ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+        before, this = inside, number
+        inside, number, size = inside + len(ids), number + 1, 0
         return pa.RecordBatch.from_arrays([
-            pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()),
+            pa.array([part], pa.int32()), pa.array([this], pa.int32()), pa.array([before], pa.int64()),
+            pa.array([len(ids)], pa.int64()),
             pa.array([[k for k, _ in held]], pa.list_(pa.int64())),
             pa.array([[len(x) // 4 for _, x in held]], pa.list_(pa.int64())), pa.array([Codes.image(ids)], pa.binary()),
-        ], names=["part", "segment", "n_tokens", "doc_ids", "lengths", "codes"])
+        ], names=["part", "segment", "inside", "n_tokens", "doc_ids", "lengths", "codes"])
 
     for batch in rows.pieces(batches):
         ids = encode([x.decode() for x in rows.texts(batch)])
@@ -122,7 +126,6 @@ def _segments(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.Rec
             if size >= SEGMENT_TOKENS:
                 yield closed()
                 held.clear()
-                number, size = number + 1, 0
     if held:
         yield closed()
 
@@ -155,15 +158,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The table of write() and start: the ids before each segment, from the sums of the parts and those within a part."""
+    """The table of write() and start: the ids before each segment, those inside its part and those of earlier parts."""
     table = spark.read.schema(_SEGMENT).parquet(path)
     sizes = table.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside")).join(
-        parts, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
-    return table.join(starts, ["part", "segment"])
+    # one row for each task that wrote: no more than tasks, whatever the data
+    return table.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("inside"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
