@@ -1,6 +1,6 @@
 """A corpus of source files derived from the orders table: one file per order.
 
-The text of a file is one of sixteen templates, chosen by the order key; repository and path come from the
+The text of a file is one of twenty templates, chosen by the order key; repository and path come from the
 keys too. It grows with the table and is used to exercise and measure the audit.
 """
 
@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 
 # (suffix, text); @K@ stands for the order key.
 TEMPLATES = [
-    (".sql", """SELECT *
-FROM t@K@ a
-CROSS JOIN u b
-WHERE LOWER(a.s) = 'x'
-  AND b.m LIKE '%y'
-ORDER BY a.d
+    (".sql", """SELECT k.*, ROUND(k.load) AS r
+FROM kiosk@K@ k
+WHERE k.town LIKE '%ford'
+   OR 7 < ROUND(k.load)
+ORDER BY 2
 """),
-    (".sql", """-- SELECT * FROM hidden
-SELECT DISTINCT id
-FROM t@K@
-WHERE s = LOWER('OPEN')
-  AND id NOT IN (SELECT id FROM v)
-  AND g IN (SELECT g FROM w)
-ORDER BY id
-LIMIT 10
+    (".sql", """/* WITH x AS (SELECT * FROM y) */
+SELECT DISTINCT p.kind
+FROM parcel@K@ p
+WHERE p.depot IN (
+    SELECT d.id FROM depot d
+  )
+  AND NOT p.lane IN (SELECT r.lane FROM ramp r)
+  AND 3 = LENGTH('abc')
+FETCH FIRST 5 ROWS ONLY
 """),
     (".sql", """SELECT a.id, COUNT(*) AS n
 FROM t@K@ a
@@ -37,7 +37,7 @@ GROUP BY a.id
 HAVING COUNT(*) > 1
 """),
     (".sql", "SELECT * FROM a@K@;\n" * 9),
-    (".sql", "SELECT * FROM (SELECT * FROM t@K@) q LIMIT 5\n"),
+    (".sql", "SELECT * FROM (SELECT * FROM t@K@) q CROSS JOIN u LIMIT 5\n"),
     (".py", """import pandas as pd
 
 def f(path):
@@ -99,13 +99,13 @@ def h(spark, q):
     # q.toPandas()
     return rows
 """),
-    (".py", '''def load():
-    return """
-    SELECT *
-    FROM w.e@K@
-    ORDER BY id
-    """
-'''),
+    (".py", """def report(db):
+    query = '''
+      SELECT r.*
+      FROM ramp@K@ r ORDER BY r.seen
+    '''
+    return db.run(query)
+"""),
     (".scala", '''object A {
   val q = """
     SELECT DISTINCT a.id
@@ -124,15 +124,12 @@ def h(spark, q):
 """),
     (".py", """import pandas as pd
 
-class Box:
-    def apply(self, fn):
-        return fn(1)
-
-def run(box, paths):
-    box.apply(str)
-    for path in paths:
-        for line in path:
-            print(line)
+def tally(grid, seen):
+    seen.apply(max)
+    for row in grid:
+        for cell in row:
+            seen.add(cell)
+    return len(seen)
 """),
     (".py", """from pyspark.sql import SparkSession
 spark = SparkSession.builder.getOrCreate()
@@ -145,6 +142,24 @@ rows = (
     .collect()
 )
 print(rows)
+"""),
+    (".py", """def q(h):
+    return f"{h} SELECT * FROM t@K@ ORDER BY x"
+"""),
+    (".sql", """SELECT a FROM t@K@ WHERE LEFT(name, 3) = 'abc';
+SELECT a FROM t WHERE REPLACE(name, '-', '') = 'abc';
+SELECT a FROM t WHERE LOWER(a) NOT LIKE 'x%';
+SELECT a FROM t WHERE CASE WHEN a > 1 THEN b ELSE c END = 'x';
+SELECT a FROM t WHERE doc ->> 'k' = 'x';
+SELECT a FROM t WHERE a LIKE (('%x'));
+SELECT REPLACE(a, 'b', 'c') FROM t LEFT JOIN u ON t.k = u.k GROUP BY a HAVING MAX(a) = 1;
+"""),
+    (".sql", """SELECT *
+FROM t@K@
+WHERE p = 'C:\\dir\\' AND q LIKE '%y'
+"""),
+    (".py", """x = = 1
+df.iterrows()
 """),
 ]
 SKIPPED_TEMPLATE = 11  # lives under node_modules

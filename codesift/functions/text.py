@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +31,10 @@ def split_lines(text: Column) -> Column:
 
 def snippet(content: Column, start_line: Column, end_line: Column, radius: int = S.SNIPPET_RADIUS) -> Column:
     """Lines start-radius .. end+radius of the file, clamped to the file."""
-    lines = split_lines(content)
+    return snippet_of(split_lines(content), start_line, end_line, radius)
+
+
+def snippet_of(lines: Column, start_line: Column, end_line: Column, radius: int = S.SNIPPET_RADIUS) -> Column:
     lo = F.greatest(F.lit(0), start_line - 1 - radius)
     hi = F.least(F.size(lines), F.greatest(end_line, start_line) + radius)
     return F.array_join(F.slice(lines, lo + 1, F.greatest(hi - lo, F.lit(0))), "\n")
@@ -42,6 +47,12 @@ def looks_like_sql(text: Column) -> Column:
     return (F.length(body) >= S.MIN_SQL_LENGTH) & verb.isin(S.SQL_VERBS)
 
 
+def filled(text: str, **columns: Column) -> Column:
+    """A text with the columns it names in braces: those given, else those of that name."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[columns.get(p, F.col(p)) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
 def path_suffix(path: Column) -> Column:
     """Lower-cased last suffix of the file name; a name with only a leading dot has none."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))

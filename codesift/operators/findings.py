@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift import schemas as S
 from codesift.functions import text as X
 
 
+# --- Fixed values: the text of a review request ------------------------------------------------
+REQUEST = (
+    "Repository: {repo}@{ref}\nFile: {file_path}\nLanguage: {language}\nHeuristic: {rule_id} ({title})\nHint: {hint}\n"
+    "Lines: {start_line}-{end_line}\n\nSnippet:\n```\n{snippet}\n```\n"
+)
+# --- End of fixed values ----------------------------------------------------------------------
+
+
 def utc_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
@@ -31,12 +39,7 @@ def default_findings(candidates: DataFrame) -> DataFrame:
 
 def review_requests(candidates: DataFrame) -> DataFrame:
     """The request text sent out for each candidate."""
-    text = F.concat(
-        F.lit("Repository: "), "repo", F.lit("@"), "ref", F.lit("\nFile: "), "file_path",
-        F.lit("\nLanguage: "), "language", F.lit("\nHeuristic: "), "rule_id", F.lit(" ("), "title", F.lit(")\nHint: "),
-        "hint", F.lit("\nLines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
-        F.lit("\n\nSnippet:\n```\n"), "snippet", F.lit("\n```\n"),
-    )
+    text = X.filled(REQUEST, start_line=F.col("start_line").cast("string"), end_line=F.col("end_line").cast("string"))
     return candidates.select("id", text.alias("request"))
 
 
@@ -46,40 +49,42 @@ def severity(value: Column) -> Column:
     return F.when(cleaned.isin(S.SEVERITIES), cleaned).otherwise(S.DEFAULT_SEVERITY)
 
 
+def _is_empty(name: str) -> Column:
+    """Whether a JSON field is there and false, null, 0, "", [] or {}; null where it is missing."""
+    value = F.try_variant_get("variant", f"$.{name}", "variant")
+    text = F.get_json_object("raw_text", f"$.{name}")
+    kind = F.schema_of_variant(value)
+    return F.when(value.isNotNull(), F.when(kind == "VOID", True)
+                  .when(kind == "BOOLEAN", text == "false").when(kind == "STRING", text == "")
+                  .when(kind.startswith("ARRAY"), text == "[]").when(kind.startswith("OBJECT"), text == "{}")
+                  .otherwise(F.expr(f"try_cast(get_json_object(raw_text, '$.{name}') as double)") == 0))
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Read review answers (finding_id, raw, error) field by field, as text.
+    """Read review answers (finding_id, raw, error and perhaps seq) field by field, as text; empty values are null.
 
+    One answer for each finding_id: the one with the highest seq where there is such a column, else the last by text.
     Empty text counts as {}. is_bad marks an answer that cannot be used: an error, text that is not a JSON object,
     or a confidence that is not a number. is_real is false only for the JSON values false, null, 0, "", [] and {}.
     """
+    latest = [F.desc("seq")] if "seq" in answers.columns else []
+    order = Window.partitionBy("finding_id").orderBy(*latest, F.desc_nulls_last("raw"), F.desc_nulls_last("error"))
     raw = F.coalesce(F.nullif(F.col("raw"), F.lit("")), F.lit("{}"))
-    # get_json_object gives the text of a field; to keep "0" apart from 0, the flag is read from the variant
-    variant = F.try_parse_json("raw_text")
-    field = lambda name: F.get_json_object("raw_text", f"$.{name}")
     is_object = F.coalesce(F.schema_of_variant("variant").startswith("OBJECT"), F.lit(False))
-    flag = F.try_variant_get("variant", "$.is_real_issue", "variant")
-    kind = F.schema_of_variant("flag")
-    empty_text = field("is_real_issue") == ""
+    fields = [n for n in S.REVIEW_FIELDS if n != "is_real_issue"]
+    confidence = F.expr("try_cast(confidence as double)").isNotNull() | F.col("confidence").isin("true", "false")
     return (
-        answers.withColumn("raw_text", raw)
-        .withColumn("variant", variant)
-        .withColumn("flag", flag)
+        answers.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+        .select("finding_id", "error", raw.alias("raw_text"))
+        .withColumn("variant", F.try_parse_json("raw_text"))
+        .select(
+            "finding_id", "error", is_object.alias("is_object"),
+            *[F.when(~F.coalesce(_is_empty(n), F.lit(False)), F.get_json_object("raw_text", f"$.{n}")).alias(n) for n in fields],
+            (~F.coalesce(_is_empty("is_real_issue"), F.lit(False))).alias("is_real"))
         .select(
-            "finding_id",
-            *[field(name).alias(name) for name in S.REVIEW_FIELDS if name != "is_real_issue"],
-            (F.col("error").isNotNull() | ~is_object
-             | (F.coalesce(F.nullif(field("confidence"), F.lit("")), F.lit("0")).isNotNull()
-                & F.expr("try_cast(coalesce(nullif(get_json_object(raw_text, '$.confidence'), ''), '0') as double)").isNull()
-                & ~F.coalesce(field("confidence").isin("true", "false"), F.lit(False)))).alias("is_bad"),
-            F.when(F.col("flag").isNull(), F.lit(True))
-            .when(kind == "VOID", F.lit(False))
-            .when(kind == "BOOLEAN", field("is_real_issue") == "true")
-            .when(kind == "STRING", ~empty_text)
-            .when(kind.startswith("ARRAY"), field("is_real_issue") != "[]")
-            .when(kind.startswith("OBJECT"), field("is_real_issue") != "{}")
-            .otherwise(F.expr("try_cast(get_json_object(raw_text, '$.is_real_issue') as double)") != 0)
-            .alias("is_real"),
-        )
+            "finding_id", *fields,
+            (F.col("error").isNotNull() | ~F.col("is_object") | (F.col("confidence").isNotNull() & ~confidence)).alias("is_bad"),
+            "is_real")
     )
 
 

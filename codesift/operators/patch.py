@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.functions import text as X
-from codesift.operators.views import checkpoint_dir
 
 # --- Fixed values: report text ----------------------------------------------------------------
 REPORT_INTRO = [
@@ -18,13 +17,20 @@ REPORT_INTRO = [
     "| Severity | File | Finding |",
     "| --- | --- | --- |",
 ]
+REPORT_ROW = "| {severity} | `{file_path}:{start_line}` | {title} |"
+REPORT_SECTION = [
+    "### {title} (`{file_path}`)",
+    "",
+    "- Severity: `{severity}` (confidence {confidence})",
+    "- Impact: {impact}",
+    "- Why: {reasoning}",
+    "- Fix: {proposed_fix}",
+    "",
+]
 REPORT_MIDDLE = ["", "## Reasoning", ""]
 REPORT_END = ["Please still treat this as a suggested patch and run tests before merge."]
 # --- End of fixed values ----------------------------------------------------------------------
 
-ROUND = 500  # findings folded into one file per pass
-
-
 def replace_first(content: Column, snippet: Column, rewrite: Column) -> Column:
     """Replace the first occurrence; an empty snippet matches at the start."""
     at = F.position(snippet, content)
@@ -55,35 +61,20 @@ def apply_snippet(content: Column, f: Column) -> Column:
 def patched_files(approved: DataFrame, source_files: DataFrame) -> DataFrame:
     """Each file with approved findings once: repo, ref, path, content, n_applied, overlap.
 
-    Findings are applied from the bottom up (ties by id). A file is a chain of edits and takes one row, but
-    its findings are folded ROUND at a time: nearly always one pass, and never an unbounded group in memory.
+    Findings are applied from the bottom up (ties by id). A file is a chain of edits: they are collected beside its text
+    and folded in one pass. The group is bounded by the file: two findings of a rule never start in the same line.
     """
     keys = ["repo", "ref", "path"]
     order = Window.partitionBy(*keys).orderBy(F.desc("start_line"), "id")
-    ranked = approved.withColumnRenamed("file_path", "path").select(
-        *keys, "id", "start_line", "end_line", "snippet", "proposed_snippet",
-        F.row_number().over(order).alias("nth"),
+    edits = approved.withColumnRenamed("file_path", "path").select(
+        *keys, "start_line", "end_line", "snippet", "proposed_snippet", F.row_number().over(order).alias("nth"),
         F.coalesce(F.lag("start_line").over(order) <= F.col("end_line"), F.lit(False)).alias("overlap"),
-    )
-    most = (
-        approved.groupBy("repo", "ref", "file_path").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    )
-    current = source_files.select(*keys, "content").join(
-        ranked.groupBy(*keys).agg(F.count("*").cast("int").alias("n_applied"), F.max("overlap").alias("overlap")), keys)
-    for start in range(0, most, ROUND):
-        batch = (
-            ranked.where((F.col("nth") > start) & (F.col("nth") <= start + ROUND)).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(
-                F.struct("nth", "start_line", "end_line", "snippet", "proposed_snippet"))).alias("edits"))
-        )
-        if start:
-            checkpoint_dir(current.sparkSession)
-            current = current.checkpoint()
-        folded = F.aggregate("edits", F.col("content"), apply_snippet)
-        current = current.join(batch, keys, "left").select(
-            *keys, F.when(F.col("edits").isNotNull(), folded).otherwise(F.col("content")).alias("content"),
-            "n_applied", "overlap")
-    return current
+    ).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("nth", "start_line", "end_line", "snippet", "proposed_snippet"))).alias("edits"),
+        F.count("*").cast("int").alias("n_applied"), F.max("overlap").alias("overlap"))
+    folded = F.aggregate("edits", F.col("content"), apply_snippet)
+    return source_files.select(*keys, "content").join(edits, keys).select(
+        *keys, folded.alias("content"), "n_applied", "overlap")
 
 
 def report_lines(findings: DataFrame) -> DataFrame:
@@ -98,18 +89,9 @@ def report_lines(findings: DataFrame) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(t).alias("text")) for i, t in enumerate(texts)])
         return scope.select("repo", "job_id", F.lit(part).alias("part"), F.lit("").alias("id"), F.inline(rows))
 
-    row = F.concat(F.lit("| "), "severity", F.lit(" | `"), "file_path", F.lit(":"),
-                   F.col("start_line").cast("string"), F.lit("` | "), "title", F.lit(" |"))
-    section = [
-        F.concat(F.lit("### "), "title", F.lit(" (`"), "file_path", F.lit("`)")),
-        F.lit(""),
-        F.concat(F.lit("- Severity: `"), "severity", F.lit("` (confidence "),
-                 F.format_string("%.2f", "confidence"), F.lit(")")),
-        F.concat(F.lit("- Impact: "), "impact"),
-        F.concat(F.lit("- Why: "), "reasoning"),
-        F.concat(F.lit("- Fix: "), "proposed_fix"),
-        F.lit(""),
-    ]
+    shown = {"start_line": F.col("start_line").cast("string"), "confidence": F.format_string("%.2f", "confidence")}
+    row = X.filled(REPORT_ROW, **shown)
+    section = [X.filled(x, **shown) for x in REPORT_SECTION]
     per_finding = F.array(
         F.struct(F.lit(2).alias("part"), F.lit(0).alias("line"), row.alias("text")),
         *[F.struct(F.lit(4).alias("part"), F.lit(i).alias("line"), t.alias("text")) for i, t in enumerate(section)],

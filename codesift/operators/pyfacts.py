@@ -23,9 +23,6 @@ RULE_METHODS = [
 MAX_HOPS = 30  # steps followed from a call back to the name it starts from
 # --- End of fixed values ----------------------------------------------------------------------
 
-BLOCK_HEADS = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "match",
-               "case"]
-
 
 def _is(name: str, *values: str) -> Column:
     return F.col(name).isin(*values)
@@ -401,7 +398,11 @@ def names_per_file(rows: DataFrame) -> DataFrame:
     imports_scope = F.lit(-2).cast("bigint")
     entry = lambda key, scope, event: F.struct(key.alias("key"), scope.alias("scope"), F.lit(event).alias("ev"))
     none = F.array().cast("array<struct<key:string,scope:bigint,ev:int>>")
-    keyed = rows.withColumn("k", F.explode(F.concat(
+    # assignments are numbered, so that a value finds the one it goes back to without a search
+    wanted = F.coalesce((F.col("etype") == "bind") & wants, F.lit(False))
+    ranks = F.row_number().over(Window.partitionBy("file_id", "wanted").orderBy("pos")) - 1
+    ordered = rows.withColumn("wanted", wanted).withColumn("nth", F.when(F.col("wanted"), ranks)).drop("wanted")
+    keyed = ordered.withColumn("k", F.explode(F.concat(
         F.when(is_event, F.array(entry(
             F.col("name"), F.when(F.col("etype") == "import", imports_scope).otherwise(own_scope), 1))).otherwise(none),
         F.when(wants, F.transform(
@@ -421,7 +422,7 @@ def names_per_file(rows: DataFrame) -> DataFrame:
     seen = (
         keyed.select("*", "k.key", "k.scope", "k.ev").drop("k")
         .withColumns({
-            "l_bind": latest("bind", F.col("pos")),
+            "l_bind": latest("bind", F.struct("pos", "nth")),
             "l_param": latest("param", F.col("pos")),
             "l_handle": latest("handle", F.struct("pos", "lline")),
             "l_module": latest("import", F.col("module")),
@@ -439,15 +440,15 @@ def names_per_file(rows: DataFrame) -> DataFrame:
     # an assignment clears its own name before its value is judged
     itself = is_bind & F.coalesce(F.col("asked") == F.col("name"), F.lit(False))
     near = F.col("asked").isNotNull() & (F.col("hops") <= F.when(is_bind, MAX_HOPS - 1).otherwise(MAX_HOPS))
-    bind_at = F.when(~itself, F.col("l_bind"))
+    bind_at = F.when(~itself, F.col("l_bind.nth"))
     module, qualified = F.coalesce("module", F.lit("")), F.coalesce("qualified", F.lit(""))
     seen = (
         seen.withColumns({
             "bound_at": bind_at,
             "as_param": F.when(itself, F.lit(False)).otherwise(
-                F.coalesce(F.col("l_param") > F.coalesce("l_bind", F.lit(-1)), F.lit(False))),
+                F.coalesce(F.col("l_param") > F.coalesce("l_bind.pos", F.lit(-1)), F.lit(False))),
             "as_handle": F.when(
-                F.coalesce(F.col("l_handle.pos") > F.coalesce("l_bind", F.lit(-1)), F.lit(False)),
+                F.coalesce(F.col("l_handle.pos") > F.coalesce("l_bind.pos", F.lit(-1)), F.lit(False)),
                 F.array_contains("around", F.col("l_handle.lline"))),
             "module": module, "qualified": qualified, "near": near,
         })
@@ -467,11 +468,10 @@ def names_per_file(rows: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(is_bind, bind_fields))).alias("binds"),
             F.collect_list(F.when(~is_bind, F.struct(*use_cols))).alias("uses"),
         )
-        .withColumn("at", F.transform("binds", lambda b: b["pos"]))
     )
 
     def spread(acc: Column, b: Column) -> Column:
-        behind = F.get(acc, (F.array_position(F.col("at"), b["bound_at"]) - 1).cast("int"))
+        behind = F.get(acc, b["bound_at"])
         behind = F.when(b["near"], F.coalesce(behind, F.lit(""))).otherwise("")
         return F.concat(acc, F.array(
             F.when(b["is_string"], "string")
@@ -498,7 +498,7 @@ def resolved_uses(names: DataFrame) -> DataFrame:
     return (
         names.where(F.size("uses") > 0).withColumn("u", F.explode("uses"))
         .select("file_id", "u.*", F.coalesce(
-            F.get("tags", (F.array_position("at", F.col("u.bound_at")) - 1).cast("int")), F.lit("")).alias("tag"))
+            F.get("tags", F.col("u.bound_at")), F.lit("")).alias("tag"))
         .withColumns({
             "pandas_rooted": F.col("of_pandas") | (F.col("near") & (F.col("tag") == "pandas")),
             "spark_rooted": F.col("of_spark") | (F.col("near") & (F.col("tag") == "spark")),

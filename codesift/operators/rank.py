@@ -14,8 +14,10 @@ def dedupe_unit(hits: DataFrame) -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def cap_per_rule(hits: DataFrame, limit: int = S.MAX_PER_RULE) -> DataFrame:
-    """The first `limit` hits of a rule in a unit, by line."""
+def cap_per_rule(hits: DataFrame, limit: int | None = S.MAX_PER_RULE) -> DataFrame:
+    """The first `limit` hits of a rule in a unit, by line; all of them without a limit."""
+    if limit is None:
+        return hits
     order = Window.partitionBy("file_id", "unit_no", "rule_id").orderBy("start_line", "pos")
     return hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
 
@@ -26,5 +28,6 @@ def dedupe_file(hits: DataFrame) -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def ranked(hits: DataFrame) -> DataFrame:
-    return dedupe_file(cap_per_rule(dedupe_unit(hits)))
+def ranked(hits: DataFrame, max_per_rule: int | None = None) -> DataFrame:
+    """One hit per rule and line of a file, the first max_per_rule of a unit where that is asked for."""
+    return dedupe_file(cap_per_rule(dedupe_unit(hits), max_per_rule))

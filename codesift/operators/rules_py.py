@@ -8,37 +8,46 @@ from pyspark.sql import functions as F
 from codesift.operators import pyfacts as P
 from codesift.operators import tokens as TK
 
-LARGE_TAKE = 1000  # fixed value
+# Words of which a file with a hit has at least one: a method's name, an imported name that ends in udf or sleep, a
+# string +=, or two for loops.
+WORDS = {
+    "py.pandas_iterrows": "iterrows", "py.pandas_itertuples": "itertuples", "py.pandas_apply": "apply",
+    "py.string_concat_loop": r"\+=", "py.nested_same_iterable": r"\bfor\b[\s\S]*?\bfor\b", "py.read_all": "read",
+    "py.time_sleep": "sleep", "spark.collect": "collect", "spark.to_pandas": "toPandas", "spark.count_in_loop": "count",
+    "spark.python_udf": "udf", "spark.rdd_action": "rdd", "spark.coalesce_one": "coalesce",
+    "spark.cartesian": "crossJoin|cartesian", "spark.repartition_no_key": "repartition", "spark.large_take": "take",
+}
 
-# Every hit needs one of these in the text: a rule's method name, an imported name that ends in udf or sleep,
-# a string +=, or two for loops.
-TRIGGERS = "|".join(
-    [m for m in P.RULE_METHODS if m not in P.RDD_ACTIONS] + ["rdd", "udf", r"\+=", r"\bfor\b[\s\S]*?\bfor\b"])
+# (rule, method names, whether the receiver is one plain name, what must hold of the call besides)
+METHOD_RULES = [
+    ("spark.large_take", ["take"], False, "int_arg >= 1000 AND spark_rooted"),  # fixed value
+    ("spark.repartition_no_key", ["repartition"], False, "int_arg IS NOT NULL AND spark_rooted"),
+    ("spark.coalesce_one", ["coalesce"], False, "int_arg = 1 AND spark_rooted"),
+    ("spark.cartesian", ["crossJoin", "cartesian"], False, "true"),
+    ("spark.to_pandas", ["toPandas"], False, "true"),
+    ("spark.count_in_loop", ["count"], False, "zero_args AND loop_depth > 0 AND spark_rooted"),
+    ("spark.collect", ["collect"], False,
+     "no_positional AND NOT (asked IS NOT NULL AND hops = 1 AND asked = 'gc') AND (spark_rooted OR is_spark)"),
+    ("spark.rdd_action", P.RDD_ACTIONS, False, "on_rdd"),
+    ("py.pandas_apply", ["apply"], False, "pandas_rooted"),
+    ("py.pandas_iterrows", ["iterrows"], False, "true"),
+    ("py.pandas_itertuples", ["itertuples"], False, "true"),
+    ("py.read_all", ["read_text", "read_bytes"], False, "true"),
+    ("py.read_all", ["read"], True, "zero_args AND is_handle"),
+    ("py.time_sleep", ["sleep"], True, "module = 'time'"),
+]
+
+
+def triggers(rules: list[str] | None = None) -> str:
+    return "|".join(pattern for rule, pattern in WORDS.items() if rules is None or rule in rules)
 
 
 def method_rule() -> Column:
     """Rule of a method call x.name(...). The names are disjoint, so a call gives at most one rule."""
-    name = F.col("name")
-    bare = F.col("asked").isNotNull() & (F.col("hops") == 1)  # the receiver is one name
-    spark = F.col("spark_rooted")
-    on_spark = spark | F.col("is_spark")
-    return (
-        F.when(name == "iterrows", "py.pandas_iterrows")
-        .when(name == "itertuples", "py.pandas_itertuples")
-        .when((name == "apply") & F.col("pandas_rooted"), "py.pandas_apply")
-        .when(name.isin("read_text", "read_bytes"), "py.read_all")
-        .when((name == "read") & F.col("zero_args") & bare & F.col("is_handle"), "py.read_all")
-        .when((name == "sleep") & bare & (F.col("module") == "time"), "py.time_sleep")
-        .when((name == "collect") & F.col("no_positional") & ~(bare & (F.col("asked") == "gc")) & on_spark,
-              "spark.collect")
-        .when(name == "toPandas", "spark.to_pandas")
-        .when((name == "count") & F.col("zero_args") & (F.col("loop_depth") > 0) & spark, "spark.count_in_loop")
-        .when((name == "coalesce") & (F.col("int_arg") == 1) & spark, "spark.coalesce_one")
-        .when(name.isin("crossJoin", "cartesian"), "spark.cartesian")
-        .when((name == "repartition") & F.col("int_arg").isNotNull() & spark, "spark.repartition_no_key")
-        .when((name == "take") & (F.col("int_arg") >= LARGE_TAKE) & spark, "spark.large_take")
-        .when(name.isin(P.RDD_ACTIONS) & F.col("on_rdd"), "spark.rdd_action")
-    )
+    plain = F.col("asked").isNotNull() & (F.col("hops") == 1)
+    return F.coalesce(*[
+        F.when(F.col("name").isin(names) & F.expr(holds) & (plain if one_name else F.lit(True)), rule)
+        for rule, names, one_name, holds in METHOD_RULES])
 
 
 def name_rule() -> Column:

@@ -27,11 +27,38 @@ CLAUSES = [
 ]
 FILTER_CLAUSES = ["WHERE", "HAVING", "ON"]
 SET_OPERATORS = ["UNION", "EXCEPT", "INTERSECT", "MINUS"]
+FUNCTION_KEYWORDS = ["LEFT", "RIGHT", "REPLACE"]  # names of functions where a bracket follows
 ARITHMETIC = ["+", "-", "*", "/", "%", "||", "^", "&", "|", "::", "->", "->>", "COLLATE", "."]
 # --- End of fixed values ----------------------------------------------------------------------
 
 UNIT = ["file_id", "unit_no"]
 
+# Words of which a text with a hit has at least one.
+TRIGGERS = {
+    "sql.select_star": r"\*", "sql.leading_wildcard_like": "like", "sql.function_on_column": r"[(]|::|->|\bend\b",
+    "sql.not_in_subquery": r"\bin\b", "sql.in_subquery": r"\bin\b", "sql.distinct": "distinct",
+    "sql.order_without_limit": "order", "sql.correlated_subquery": r"select[\s\S]*?select", "sql.cross_join": "cross",
+}
+
+
+def lexed(sql: Column, dialect: Column) -> Column:
+    """Token texts. A backslash in a literal is a plain character or an escape, whichever reading adds up.
+
+    Spark texts are read with escapes first, others without; only texts with a backslash are read twice.
+    """
+    with_escapes, plain = (F.regexp_extract_all(sql, F.lit(p), F.lit(0)) for p in (TK.SQL_TOKEN, TK.SQL_TOKEN_PLAIN))
+
+    def adds_up(tokens: Column) -> Column:
+        bodies = F.transform(tokens, lambda t: F.regexp_replace(t, TK.SQL_TRIVIA, ""))
+        return ~F.exists(bodies, lambda t: t.isin("'", '"', "`")) & (
+            F.size(F.filter(bodies, lambda t: t == "(")) == F.size(F.filter(bodies, lambda t: t == ")")))
+
+    return (
+        F.when(~F.contains(sql, F.lit("\\")), with_escapes)
+        .when(dialect == "spark", F.when(adds_up(with_escapes), with_escapes).when(adds_up(plain), plain).otherwise(with_escapes))
+        .otherwise(F.when(adds_up(plain), plain).otherwise(with_escapes))
+    )
+
 
 def sql_tokens(units: DataFrame) -> DataFrame:
     """Significant tokens of SQL texts with line, bracket level, neighbours and statement number.
@@ -49,7 +76,7 @@ def sql_tokens(units: DataFrame) -> DataFrame:
     body = F.regexp_replace("raw", TK.SQL_TRIVIA, "")
     raw = (
         units.select(*UNIT, "dialect", "start_line",
-                     F.posexplode(F.regexp_extract_all("sql", F.lit(TK.SQL_TOKEN), F.lit(0))).alias("pos", "raw"))
+                     F.posexplode(lexed(F.col("sql"), F.col("dialect"))).alias("pos", "raw"))
         .withColumn("tok", F.when(F.substring("raw", 1, 1).isin(" ", "\n", "\t", "\f", "\r", "-", "/"), body)
                     .otherwise(F.col("raw")))
         .withColumn("kind", F.when(tok == "", "end")
@@ -73,7 +100,9 @@ def sql_tokens(units: DataFrame) -> DataFrame:
         **{f"p{i}": F.lag("u", i).over(order) for i in (1, 2)},
         **{f"n{i}": F.lead("u", i).over(order) for i in (1, 2, 3)},
         "n1_kind": F.lead("kind", 1).over(order), "n2_kind": F.lead("kind", 2).over(order),
-    }).withColumns({
+    }).withColumn(
+        "kind", F.when((kind == "keyword") & u.isin(FUNCTION_KEYWORDS) & (F.col("n1") == "("), "ident").otherwise(kind)
+    ).withColumns({
         "line": F.col("eline") - F.col("tok_nl"),
         "lvl": F.when(F.col("step") == 1, F.col("depth") - 1).otherwise(F.col("depth")),
         "is_column": (kind == "ident") & (F.coalesce("n1", F.lit("")) != "(") & (F.coalesce("p1", F.lit("")) != "AS"),
@@ -132,7 +161,10 @@ def bracket_groups(tokens: DataFrame) -> DataFrame:
             "group": F.last(F.when(mark, group), True).over(upto),
             "clause": F.last(F.when(mark, F.lit("")).when(here & F.col("u").isin(CLAUSES), F.col("u")), True).over(upto),
             "chain": F.last(F.when(F.col("begins"), F.struct(F.col("line"), p1.alias("before"))), True).over(upto),
-            **{f"l{i}": F.lag(text, i).over(order) for i in (1, 2, 3, 4)},
+            **{f"l{i}": F.lag(text, i).over(order) for i in (1, 2, 3, 4, 5)},
+            "case": F.last(F.when(here & (F.col("u") == "CASE"), F.struct("line", "columns")), True).over(upto),
+            "l3_cols": F.lag("columns", 3).over(order), "l4_kind": F.lag("kind", 4).over(order),
+            "l4_line": F.lag("line", 4).over(order), "l2_eline": F.lag("eline", 2).over(order),
             **{f"r{i}": F.lead(text, i).over(order) for i in (1, 2, 3, 4)},
             "l1_cols": F.lag("columns", 1).over(order), "l2_cols": F.lag("columns", 2).over(order),
             "r2_cols": F.lead("columns", 2).over(order), "r3_cols": F.lead("columns", 3).over(order),
@@ -152,20 +184,28 @@ def _side_rules() -> Column:
              "RIGHT", "INNER", "FULL", "CROSS", "WHERE", "THEN", "ELSE", "END", "WHEN", "QUALIFY", "WINDOW", "ON", ",",
              "FETCH", "OFFSET", "NATURAL", "ESCAPE", "FOR", "AS"]
     fn = lambda name, kind: (kind == "ident") & ~name.isin(AGGREGATES) | (name == "CAST")
+    # the operand on the left ends in front of the NOT of a NOT LIKE
     negated = F.col("u").isin("LIKE", "ILIKE") & (F.col("l1") == "NOT")
+    at = lambda plain, after_not: F.when(negated, F.col(after_not)).otherwise(F.col(plain))
+    l1, l2, l3, end = at("l1", "l2"), at("l2", "l3"), at("l3", "l4"), at("l1_eline", "l2_eline")
+    columns = at("l1_cols", "l2_cols")
+    l3_kind, l3_line = at("l3_kind", "l4_kind"), at("l3_line", "l4_line")
     left = (
-        ~negated & (F.col("l1") == ")") & (F.col("l2") == "(") & fn(F.col("l3"), F.col("l3_kind"))
-        & F.coalesce("l4", F.lit("")).isin(boundary) & (F.col("l1_cols") > F.col("l2_cols"))
+        (l1 == ")") & (l2 == "(") & fn(l3, l3_kind) & F.coalesce(at("l4", "l5"), F.lit("")).isin(boundary)
+        & (columns > at("l2_cols", "l3_cols"))
     )
-    cast_left = (F.col("l2") == "::") & ~negated
+    cast_left = l2 == "::"
+    field_left = l2.isin("->", "->>") & (l3_kind == "ident")
+    case_left = (l1 == "END") & (columns > F.col("case.columns"))
     right = (
         (F.col("r2") == "(") & (F.col("r3") == ")") & fn(F.col("r1"), F.col("r1_kind"))
         & F.coalesce("r4", F.lit("")).isin(after) & (F.col("r3_cols") > F.col("r2_cols"))
     )
     span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     return (
-        F.when(F.coalesce(left, F.lit(False)), span(F.col("l3_line"), F.col("l1_eline")))
-        .when(F.coalesce(cast_left, F.lit(False)), span(F.col("l1_chain.line"), F.col("l1_eline")))
+        F.when(F.coalesce(left | field_left, F.lit(False)), span(l3_line, end))
+        .when(F.coalesce(cast_left, F.lit(False)), span(at("l1_chain.line", "l2_chain.line"), end))
+        .when(F.coalesce(case_left, F.lit(False)), span(F.col("case.line"), end))
         .when(F.coalesce(right, F.lit(False)), span(F.col("r1_line"), F.col("r3_eline")))
     )
 
@@ -184,7 +224,7 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
     )
     like = here & word & u.isin("LIKE", "ILIKE") & (
         ((n1 == "'%") & ~n2.isin(ARITHMETIC))
-        | ((n1 == "(") & (n2 == "'%") & (n3 == ")"))
+        | ((n1 == "(") & (n2 == "'%") & (n3 == ")")) | ((n1 == "(") & (n2 == "(") & (n3 == "'%"))
     )
     subquery = here & word & (u == "IN") & (n1 == "(") & (n2.isin("SELECT", "WITH") | ((n2 == "(") & (n3 == "SELECT")))
     negated = (F.col("l1") == "NOT") | (F.col("l1_chain.before") == "NOT")
@@ -305,11 +345,12 @@ def rule_hits(rows: DataFrame) -> DataFrame:
            ).otherwise(none)
     named = (
         per_token.withColumns({
-            "hit": F.when(
+            # beside the hit of the same token: a LIKE may have a function on its left and a wildcard on its right
+            "wrapped": F.when(
                 (F.col("rtype") == "pred") & F.col("side").isNotNull() & F.col("in_filter"),
                 F.struct(F.lit("sql.function_on_column").alias("rule_id"), F.col("side.start").alias("start"),
                          F.col("side.end").alias("end")),
-            ).otherwise(F.col("hit")),
+            ),
             "scopes": F.when(F.col("rtype") == "ref", scopes),
             "lookup": F.explode_outer(lookups),
         })
@@ -319,7 +360,8 @@ def rule_hits(rows: DataFrame) -> DataFrame:
     resolved = (
         named.groupBy(*UNIT, "pos", "role")
         .agg(
-            F.first("rtype").alias("rtype"), F.first("hit").alias("hit"), F.first("scopes").alias("scopes"),
+            F.first("rtype").alias("rtype"), F.first("hit").alias("hit"), F.first("wrapped").alias("wrapped"),
+            F.first("scopes").alias("scopes"),
             F.min(F.when((F.col("rtype") == "ref") & F.col("known"), F.col("lookup.depth"))).alias("found"),
             F.first("span_line").alias("span_line"), F.first("group_id").alias("group_id"),
         )
@@ -335,8 +377,8 @@ def rule_hits(rows: DataFrame) -> DataFrame:
         a["in_group"]["id"].alias("gid"), a["in_group"]["start"].cast("bigint").alias("start"),
         F.lit(None).cast("bigint").alias("end")))
     correlated = F.coalesce(starts, ends)
-    out = resolved.where(F.col("hit").isNotNull() | (F.size(F.coalesce(starts, F.array())) > 0) | ends.isNotNull())
-    pieces = out.select(*UNIT, "pos", "hit", F.explode_outer(correlated).alias("c"))
+    out = resolved.where(F.col("hit").isNotNull() | F.col("wrapped").isNotNull() | (F.size(F.coalesce(starts, F.array())) > 0) | ends.isNotNull())
+    pieces = out.select(*UNIT, "pos", "hit", "wrapped", F.explode_outer(correlated).alias("c"))
     per_group = Window.partitionBy(*UNIT, "c.gid")
     spanned = pieces.withColumns({
         "c_start": F.min("c.start").over(per_group), "c_end": F.max("c.end").over(per_group),
@@ -349,8 +391,9 @@ def rule_hits(rows: DataFrame) -> DataFrame:
     )
     return (
         spanned.select(*UNIT, "pos", F.explode(F.array_compact(F.array(
-            F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.rule_id").alias("rule_id"),
-                   F.col("hit.start").cast("bigint").alias("start"), F.col("hit.end").cast("bigint").alias("end"))),
+            *[F.when(F.col(h).isNotNull(), F.struct(
+                F.col(f"{h}.rule_id").alias("rule_id"), F.col(f"{h}.start").cast("bigint").alias("start"),
+                F.col(f"{h}.end").cast("bigint").alias("end"))) for h in ("hit", "wrapped")],
             c_hit))).alias("h"))
         .select(*UNIT, "h.rule_id", F.col("h.start").cast("int").alias("start_line"),
                 F.greatest(F.col("h.start"), F.coalesce("h.end", "h.start")).cast("int").alias("end_line"), "pos")

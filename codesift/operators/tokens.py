@@ -35,6 +35,8 @@ _PY_PARTS = [
     r"\z",
 ]
 _FSTRING_PIECES = r"(?:[^{}]|\{\{|\}\})++|\{(?:[^{}]|\{[^{}]*+\})*+\}|[\s\S]"
+_NEVER_SIGNS = ["=", "==", "!=", "<", ">", "<=", ">=", "/", "//", "%", "&", "|", "^", "+=", "-=", "*=", "/="]
+_OPERATORS = ["=", "==", "!=", "<", ">", "<=", ">=", "+", "-", "/", "//", "%", "&", "|", "^", "+=", "-=", "*=", "/="]
 SQL_TRIVIA = r"^(?:[ \t\f\r\n]|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
 _SQL_PARTS = [
     r"'\\'(?!')",
@@ -70,6 +72,7 @@ SQL_KEYWORDS = [
 # a token carries the blanks, line breaks and comments before it; an empty token ends the text
 PY_TOKEN = PY_TRIVIA[1:] + "(?:" + "|".join(_PY_PARTS) + ")"
 SQL_TOKEN = SQL_TRIVIA[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"
+SQL_TOKEN_PLAIN = SQL_TRIVIA[1:] + "(?:" + "|".join([r"'(?:[^']|'')*+'"] + _SQL_PARTS[2:]) + ")"
 SCALA_SINGLE = r'^"(?:[^"\\]|\\[\s\S])*+"$'
 SCALA_TOKEN = "|".join(_SCALA_PARTS)
 FSTRING_MARK = "\u0001"  # put before the literal pieces of a split f-string
@@ -80,12 +83,9 @@ def partition_files(files: DataFrame, num_partitions: int | None = None) -> Data
 
     The count is explicit so that AQE does not merge partitions by their text size: the token rows made from it
     take roughly ten times as much. Give num_partitions as about (bytes of text / 32 MB) for a large corpus;
-    the default is the session's spark.sql.shuffle.partitions, or one per core where that was left as it is.
+    the default is the session's spark.sql.shuffle.partitions.
     """
-    spark = files.sparkSession
-    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    untouched = setting == 200  # Spark's default says nothing about this cluster
-    num_partitions = num_partitions or (spark.sparkContext.defaultParallelism if untouched else setting)
+    num_partitions = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # computed below the exchange, so that no later stage repeats it per token
     return files.select(
         X.file_id(F.col("repo"), F.col("ref"), F.col("path")).alias("file_id"), "repo", "ref", "path",
@@ -222,11 +222,11 @@ def python_tokens(files: DataFrame) -> DataFrame:
     mark = F.when(first, "first").when(top & tok.isin(":", "lambda") & kind.isin("op", "keyword"), tok)
     heads = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async"]
     soft = F.col("ftok").isin("match", "case") & ~F.col("f2").isin("=", ".", ":", ",", ")", "+=", "[", "")
-    # two operands in a row at the start of a line: not Python 3
+    # two operands in a row at the start of a line: not Python 3; two operators in a row of which the second is not a sign
     misplaced = (
         ~first & F.lag("first").over(order) & (F.col("p_kind") == "name") & kind.isin("name", "number", "str", "fstr")
         & ~F.col("p1").isin("match", "case", "type")
-    )
+    ) | (~first & (kind == "op") & tok.isin(_NEVER_SIGNS) & F.col("p1").isin(_OPERATORS))
     is_def = (F.col("ftok") == "def") | ((F.col("ftok") == "async") & (F.col("f2") == "def"))
     is_param = is_def & F.col("in_hdr") & (lvl == 1) & (kind == "name") & F.col("p1").isin("(", ",")
     return (
@@ -240,7 +240,12 @@ def python_tokens(files: DataFrame) -> DataFrame:
         .withColumns({
             "in_hdr": F.col("hdr") & (F.col("hcolon") | first | F.col("marked").isin("first", "lambda")),
             "sep": F.col("hcolon") | (top & (tok == ";")),
-            "bad": F.col("bad") | F.col("misplaced"),
+        })
+        .withColumns({
+            # a block head that ends without its colon
+            "bad": F.col("bad") | F.col("misplaced") | F.coalesce(
+                last & F.col("ftok").isin(heads) & F.col("in_hdr") & ~F.col("hcolon") & (first | (F.col("marked") == "first")),
+                F.lit(False)),
         })
         .withColumns({
             "stmt": F.col("lline") + F.sum(F.col("sep").cast("int")).over(upto) - F.col("sep").cast("int"),
@@ -263,12 +268,12 @@ def readable(tokens: DataFrame) -> DataFrame:
         ~F.col("broken") & (F.col("kind") != "end"))
 
 
-def lexical_problems(texts: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
-    """Texts (keys, text) whose brackets or quotes do not add up: keys, open_brackets, bad_quote."""
+def lexical_problems(texts: DataFrame, tokens: Column, trivia: str, keys: list[str]) -> DataFrame:
+    """Texts (keys, and what tokens is made of) whose brackets or quotes do not add up: keys, open_brackets, bad_quote."""
     order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok = F.regexp_replace("tok", SQL_TRIVIA if pattern == SQL_TOKEN else PY_TRIVIA, "")
+    tok = F.regexp_replace("tok", trivia, "")
     return (
-        texts.select(*keys, F.posexplode(_matches(F.col("text"), pattern)).alias("pos", "tok"))
+        texts.select(*keys, F.posexplode(tokens).alias("pos", "tok"))
         .select(*keys, "pos", tok.alias("tok"))
         .withColumn("step", F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0))
         .withColumn("depth", F.sum("step").over(order))

@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesift import schemas as S
 from codesift.functions import text as X
 from codesift.operators import tokens as TK
 
 _QUOTES = "(\"\"\"|'''|\"|')"
 
 
+_ESCAPED = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|[\s\S])|[^\\]+|\\"
+_PLAIN = {"\\\n": "", "\\n": "\n", "\\t": "\t", "\\r": "\r", "\\'": "'", '\\"': '"', "\\\\": "\\", "\\f": "\f",
+          "\\v": "\v", "\\a": "\a", "\\b": "\b"}
+
+
 def _decode(body: Column) -> Column:
-    """Escapes of a Python literal that matter for SQL text: line breaks, tabs, quotes, backslashes."""
-    kept = F.replace(body, F.lit("\\\\"), F.lit("\u0002"))
-    kept = F.replace(kept, F.lit("\\\n"), F.lit(""))
-    for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"')):
-        kept = F.replace(kept, F.lit(escape), F.lit(char))
-    return F.replace(kept, F.lit("\u0002"), F.lit("\\"))
+    """Escapes of a Python literal, piece by piece; names of characters (\\N) and unknown escapes stay as they are."""
+
+    def character(code: Column) -> Column:
+        number = code.cast("int")  # as two 16-bit units where it needs them, which decode() reads
+        wide = F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright(number - 0x10000, 10)), 4, "0"),
+                        F.lpad(F.hex(F.lit(0xDC00) + (number - 0x10000).bitwiseAND(F.lit(0x3FF))), 4, "0"))
+        units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(wide)
+        return F.decode(F.unhex(units), "UTF-16BE")
+
+    def piece(p: Column) -> Column:
+        out = F.when(~p.startswith("\\"), p)
+        for escape, char in _PLAIN.items():
+            out = out.when(p == escape, char)
+        return (
+            out.when(p.rlike(r"^\\[xuU].."), character(F.conv(F.substring(p, F.lit(3), F.length(p)), 16, 10)))
+            .when(p.rlike(r"^\\[0-7]"), character(F.conv(F.substring(p, F.lit(2), F.length(p)), 8, 10))).otherwise(p)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_ESCAPED), F.lit(0)), piece), "")
 
 
 def _literal_text(tok: Column, kind: Column, p1: Column, n1: Column) -> Column:
@@ -90,8 +109,8 @@ def sql_units(files: DataFrame) -> DataFrame:
     def looking_like_sql(literals: DataFrame) -> DataFrame:
         return literals.where(X.looks_like_sql(F.col("text")))
 
-    # the cheap test on the whole file keeps most Python files out of the second tokenizing
-    verbs = r"(?i)[\"'](?:[\s(]|\\[nrt\n])*(?:select|with|insert|update|delete|merge)\b"
+    # a literal can be SQL only if its verb stands in the file, whole, split over literals, or spelled with an escape
+    verbs = "(?i)" + "|".join(r"(?:[\"']\s*[rbuf]{0,2}[\"'])?".join(v) for v in S.SQL_VERBS) + r"|\\[xuUN0-7]"
     python = files.where((F.col("suffix") == ".py") & F.col("content").rlike(verbs))
     in_python = looking_like_sql(python_literals(python)).withColumn(
         "dialect", F.when(F.col("is_spark"), "spark").otherwise("sql")).select(*columns)

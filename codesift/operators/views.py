@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift import schemas as S
@@ -69,39 +67,25 @@ def job_summary(source_files: DataFrame, candidates: DataFrame, findings: DataFr
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where none is named (tests) make a local one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codesift-checkpoint-"))
+def job_rows(summary: DataFrame, job_id: Column, source: Column, created_at: Column) -> DataFrame:
+    """The rows of the jobs table for a job_summary()."""
+    return summary.select(
+        job_id.alias("id"), "repo", "ref", source.alias("source"), created_at.alias("created_at"),
+        "files_scanned", "candidates_found", "findings_count")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Add position (1..n in order) and total per key without putting a key's rows into one task.
+def numbered(rows: DataFrame, keys: list[str], path: str = "path", depth: int = 3) -> DataFrame:
+    """Add position (1..n, by the parts of the path) and total per key without a task that holds a key's rows.
 
-    Rows are range-partitioned by key and order and checkpointed, so a hot key spans many partitions; the small
-    table of counts per partition and key gives each partition its offset.
+    Beginnings of arrays sort as the arrays do: rows are ranked among those that share their first depth parts, and the
+    counts of the beginnings before give the rest. A larger depth splits a directory with very many files.
     """
-    checkpoint_dir(rows.sparkSession)
-    names = [f"_o{i}" for i in range(len(order))]
-    placed = (
-        rows.select("*", *[c.alias(n) for c, n in zip(order, names)])
-        .repartitionByRange(*keys, *names)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*keys, "_part").count()
-        .withColumns({"_offset": F.coalesce(F.sum("count").over(before), F.lit(0)),
-                      "total": F.sum("count").over(Window.partitionBy(*keys))})
-        .drop("count")
-    )
-    within = Window.partitionBy("_part", *keys).orderBy(*names)
-    return (
-        placed.withColumn("_nth", F.row_number().over(within))
-        .join(offsets, [*keys, "_part"])
-        .withColumn("position", F.col("_nth") + F.col("_offset"))
-        .drop("_part", "_nth", "_offset", *names)
-    )
+    parts = F.split(path, "/")
+    rows = rows.select("*", parts.alias("_parts"), F.slice(parts, 1, depth).alias("_head"))
+    before = Window.partitionBy(*keys).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*keys, "_head").count().select(
+        *keys, "_head", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
+        F.sum("count").over(Window.partitionBy(*keys)).alias("total"))
+    within = Window.partitionBy(*keys, "_head").orderBy("_parts")
+    return rows.withColumn("_nth", F.row_number().over(within)).join(heads, [*keys, "_head"]).withColumn(
+        "position", F.col("_nth") + F.col("_offset")).drop("_head", "_parts", "_nth", "_offset")

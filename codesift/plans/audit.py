@@ -33,13 +33,21 @@ def scannable(source_files: DataFrame, num_partitions: int | None = None) -> Dat
     return TK.partition_files(source_files.where(X.is_supported(F.col("path"))), num_partitions)
 
 
-def python_hits(files: DataFrame) -> DataFrame:
-    """Hits of the Python and Spark rules. Files without any word a rule needs are not tokenized."""
-    return rules_py.python_hits(files.where((F.col("suffix") == ".py") & F.col("content").rlike(rules_py.TRIGGERS)))
+def python_hits(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Hits of the Python and Spark rules, or of some. Files without any word that these need are not tokenized."""
+    words = rules_py.triggers(rules)
+    hits = rules_py.python_hits(files.where((F.col("suffix") == ".py") & F.col("content").rlike(words)))
+    return hits if rules is None else hits.where(F.col("rule_id").isin(rules))
 
 
-def sql_hits(files: DataFrame) -> DataFrame:
-    return sqlfacts.sql_hits(units.sql_units(files))
+def sql_hits(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Hits of the SQL rules, or of some. Texts without any word that these need are not tokenized."""
+    if rules is None:
+        return sqlfacts.sql_hits(units.sql_units(files))
+    words = "(?i)" + "|".join(sqlfacts.TRIGGERS[r] for r in rules)
+    # in a literal a word may be spelled with an escape or split, so files are only left out by the text of units
+    found = units.sql_units(files.where((F.col("suffix") != ".sql") | F.col("content").rlike(words)))
+    return sqlfacts.sql_hits(found.where(F.col("sql").rlike(words))).where(F.col("rule_id").isin(rules))
 
 
 def raw_hits(files: DataFrame) -> DataFrame:
@@ -51,50 +59,72 @@ def raw_hits(files: DataFrame) -> DataFrame:
 def enrich(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Attach path, title, hint and snippet. The catalog has 25 rows, so it is broadcast."""
     catalog = F.broadcast(S.rule_catalog(hits.sparkSession))
+    lines = F.when(F.size("hits") > 0, X.split_lines(F.col("content")))
     per_file = hits.groupBy("file_id").agg(
         F.collect_list(F.struct("unit_no", "rule_id", "start_line", "end_line")).alias("hits"))
+    # both sides lie by file_id already: the hits of a task become its hash table, contents are never sent around
+    with_snippet = lambda h: F.struct(
+        h["unit_no"].alias("unit_no"), h["rule_id"].alias("rule_id"), h["start_line"].alias("start_line"),
+        h["end_line"].alias("end_line"), X.snippet_of(F.col("lines"), h["start_line"], h["end_line"]).alias("snippet"))
     return (
-        files.select("file_id", "repo", "ref", "path", "content").join(per_file, "file_id")
-        .select("repo", "ref", F.col("path").alias("file_path"), "content", F.explode("hits").alias("h"))
-        .select("repo", "ref", "file_path", "h.*",
-                X.snippet(F.col("content"), F.col("h.start_line"), F.col("h.end_line")).alias("snippet"))
+        files.select("file_id", "repo", "ref", "path", "content").join(per_file.hint("shuffle_hash"), "file_id")
+        .select("repo", "ref", F.col("path").alias("file_path"), "hits", lines.alias("lines"))
+        .select("repo", "ref", "file_path", F.explode(F.transform("hits", with_snippet)).alias("h"))
+        .select("repo", "ref", "file_path", "h.*")
         .join(catalog, "rule_id")
         .select(*S.CANDIDATES.fieldNames())
     )
 
 
-def candidates(source_files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """All rules over all supported files: the candidates table."""
+def candidates(source_files: DataFrame, num_partitions: int | None = None,
+               max_per_rule: int | None = None) -> DataFrame:
+    """All rules over all supported files: the candidates table. max_per_rule keeps the first hits of a rule in a unit."""
     files = scannable(source_files, num_partitions)
-    return enrich(rank.ranked(raw_hits(files)), files)
+    return enrich(rank.ranked(raw_hits(files), max_per_rule), files)
 
 
 def unreadable(files: DataFrame) -> DataFrame:
     """Files and SQL units whose brackets or quotes do not add up: file_id, unit_no, open_brackets, bad_quote."""
-    python = files.where(F.col("suffix") == ".py").select("file_id", F.lit(0).alias("unit_no"), F.col("content").alias("text"))
-    sql = units.sql_units(files).select("file_id", "unit_no", F.col("sql").alias("text"))
-    keys = ["file_id", "unit_no"]
-    return TK.lexical_problems(python, TK.PY_TOKEN, keys).unionByName(TK.lexical_problems(sql, TK.SQL_TOKEN, keys))
+    python = files.where(F.col("suffix") == ".py").select("file_id", F.lit(0).alias("unit_no"), "content")
+    return TK.lexical_problems(
+        python, F.regexp_extract_all("content", F.lit(TK.PY_TOKEN), F.lit(0)), TK.PY_TRIVIA, ["file_id", "unit_no"]
+    ).unionByName(unreadable_sql(files))
 
 
-def scan_report(source_files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def unreadable_sql(files: DataFrame) -> DataFrame:
+    """SQL units whose brackets or quotes do not add up however a backslash is read."""
+    tokens = sqlfacts.lexed(F.col("sql"), F.col("dialect"))
+    return TK.lexical_problems(units.sql_units(files), tokens, TK.SQL_TRIVIA, ["file_id", "unit_no"])
+
+
+def unreadable_python(files: DataFrame) -> DataFrame:
+    """file_id and line of the first place where a Python file cannot be read; no rule looks at such a file."""
+    tokens = TK.python_tokens(files.where(F.col("suffix") == ".py"))
+    return tokens.where("bad").groupBy("file_id").agg(F.min("line").alias("bad_line"))
+
+
+def scan_report(source_files: DataFrame, num_partitions: int | None = None,
+                max_per_rule: int | None = None) -> DataFrame:
     """One row per scanned file: repo, ref, path, position, total, engine, n_candidates, detail.
 
     position is the place of the file in its repository, ordered by the parts of its path.
     """
     files = scannable(source_files, num_partitions)
-    counts = rank.ranked(raw_hits(files)).groupBy("file_id").agg(
+    counts = rank.ranked(raw_hits(files), max_per_rule).groupBy("file_id").agg(
         F.count("*").cast("int").alias("n"), F.max(F.col("unit_no") > 0).alias("embedded"))
-    problems = unreadable(files).select("file_id").distinct().withColumn("unreadable", F.lit(True))
+    reason = F.lit("unreadable: brackets or quotes do not add up")
+    problems = unreadable_sql(files).select("file_id", reason.alias("reason")).unionByName(unreadable_python(files).select(
+        "file_id", F.concat(F.lit("unreadable: line "), F.col("bad_line").cast("string")).alias("reason"))
+    ).groupBy("file_id").agg(F.max("reason").alias("reason"))
     n = F.coalesce("n", F.lit(0))
-    report = (
-        files.select("file_id", "repo", "ref", "path", "suffix").join(counts, "file_id", "left").join(problems, "file_id", "left")
+    places = views.numbered(files.select("file_id", "repo", "ref", "path"), ["repo", "ref"]).select(
+        "file_id", "position", "total")
+    return (
+        files.select("file_id", "repo", "ref", "path", "suffix").join(places, "file_id").join(counts, "file_id", "left").join(problems, "file_id", "left")
         .select(
-            "repo", "ref", "path",
+            "repo", "ref", "path", "position", "total",
             F.when((F.col("suffix") == ".py") & F.col("embedded"), "tokens+sql").otherwise("tokens").alias("engine"),
             n.alias("n_candidates"),
-            F.when((n == 0) & F.col("unreadable"), "unreadable: unbalanced brackets or quotes")
-            .when(n == 0, "no issues").otherwise("").alias("detail"),
+            F.when((n == 0) & F.col("reason").isNotNull(), F.col("reason")).when(n == 0, "no issues").otherwise("").alias("detail"),
         )
     )
-    return views.numbered(report, ["repo", "ref"], [F.split("path", "/")])

@@ -7,12 +7,12 @@ from codesift.corpus import TEMPLATES
 
 # Expected hits per template: (template, rule, start line, end line).
 EXPECTED = [
-    (0, "sql.select_star", 1, 1), (0, "sql.cross_join", 3, 3), (0, "sql.function_on_column", 4, 4),
-    (0, "sql.leading_wildcard_like", 5, 5), (0, "sql.order_without_limit", 6, 6),
-    (1, "sql.distinct", 2, 2), (1, "sql.not_in_subquery", 5, 5), (1, "sql.in_subquery", 6, 6),
+    (0, "sql.select_star", 1, 1), (0, "sql.leading_wildcard_like", 3, 3), (0, "sql.function_on_column", 4, 4),
+    (0, "sql.order_without_limit", 5, 5),
+    (1, "sql.distinct", 2, 2), (1, "sql.in_subquery", 4, 5), (1, "sql.not_in_subquery", 7, 7),
     (2, "sql.correlated_subquery", 4, 5),
-    *[(3, "sql.select_star", line, line) for line in range(1, 9)],
-    (4, "sql.select_star", 1, 1),
+    *[(3, "sql.select_star", line, line) for line in range(1, 10)],
+    (4, "sql.select_star", 1, 1), (4, "sql.cross_join", 1, 1),
     (5, "py.pandas_iterrows", 5, 5), (5, "py.pandas_itertuples", 7, 7), (5, "py.pandas_apply", 9, 9),
     (6, "py.nested_same_iterable", 7, 8), (6, "py.string_concat_loop", 8, 8), (6, "py.time_sleep", 9, 9),
     (6, "py.time_sleep", 10, 10), (6, "py.read_all", 12, 12), (6, "py.read_all", 14, 14),
@@ -20,10 +20,14 @@ EXPECTED = [
     (7, "spark.count_in_loop", 13, 13), (7, "spark.coalesce_one", 15, 15), (7, "spark.cartesian", 15, 15),
     (7, "spark.repartition_no_key", 16, 16), (7, "spark.large_take", 19, 19), (7, "spark.rdd_action", 20, 20),
     (8, "spark.collect", 6, 6),
-    (9, "sql.select_star", 3, 3), (9, "sql.order_without_limit", 5, 5),
+    (9, "sql.select_star", 3, 3), (9, "sql.order_without_limit", 4, 4),
     (10, "sql.distinct", 3, 3), (10, "sql.select_star", 7, 7),
     (15, "spark.collect", 8, 9),
+    (16, "sql.select_star", 2, 2), (16, "sql.order_without_limit", 2, 2),
+    *[(17, "sql.function_on_column", line, line) for line in range(1, 6)], (17, "sql.leading_wildcard_like", 6, 6),
+    (18, "sql.select_star", 1, 1), (18, "sql.leading_wildcard_like", 3, 3),
 ]
+N = len(TEMPLATES)
 
 
 def lit(value) -> str:
@@ -42,9 +46,9 @@ def values(rows: list[tuple]) -> str:
 
 SUFFIXES = "[" + ", ".join(lit(s) for s, _ in TEMPLATES) + "]"
 FILES = f"""f AS (
-  SELECT o_orderkey AS k, o_orderkey % 16 AS tid, 'repo_' || (o_custkey % 10) AS repo, 'main' AS ref,
-         CASE WHEN o_orderkey % 16 = 11 THEN 'node_modules/f' || o_orderkey || '.py'
-              ELSE 'src/m' || (o_orderkey % 100) || '/f' || o_orderkey || ({SUFFIXES})[(o_orderkey % 16 + 1)::INT] END AS path
+  SELECT o_orderkey AS k, o_orderkey % {N} AS tid, 'repo_' || (o_custkey % 10) AS repo, 'main' AS ref,
+         CASE WHEN o_orderkey % {N} = 11 THEN 'node_modules/f' || o_orderkey || '.py'
+              ELSE 'src/m' || (o_orderkey % 100) || '/f' || o_orderkey || ({SUFFIXES})[(o_orderkey % {N} + 1)::INT] END AS path
   FROM orders)"""
 TEXTS = "texts(tid, template) AS (VALUES " + values([(i, t) for i, (_, t) in enumerate(TEMPLATES)]) + ")"
 CONTENTS = f"{FILES}, {TEXTS}, c AS (SELECT f.*, replace(template, '@K@', k::VARCHAR) AS content FROM f JOIN texts USING (tid))"
@@ -129,7 +133,8 @@ ORACLES |= {
     # --- tokens and facts on the corpus
     "py_string_literals": by_template("tid, line, t", [
         (5, 9, "a"), (5, 11, "a"), (6, 5, ""), (7, 4, "string"), (7, 9, "o@K@"), (7, 17, "k"), (8, 7, "x.collect()"),
-        (9, 2, "\n    SELECT *\n    FROM w.e@K@\n    ORDER BY id\n    "), (15, 4, "p"), (15, 5, "a > 1"), (15, 8, "a"),
+        (9, 2, "\n      SELECT r.*\n      FROM ramp@K@ r ORDER BY r.seen\n    "),
+        (16, 2, " SELECT * FROM t@K@ ORDER BY x"), (15, 4, "p"), (15, 5, "a > 1"), (15, 8, "a"),
     ], "path AS file_path, line AS start_line, replace(t, '@K@', k::VARCHAR) AS text"),
     "scala_string_literals": by_template("tid, line, t", [
         (10, 2, "\n    SELECT DISTINCT a.id\n    FROM t@K@ a\n    "), (10, 6, "short"),
@@ -137,19 +142,24 @@ ORACLES |= {
     ], "path AS file_path, line AS start_line, replace(t, '@K@', k::VARCHAR) AS text"),
     "sql_units": by_template("tid, line, dialect, t", [
         *[(i, 1, "sql", TEMPLATES[i][1]) for i in range(5)],
-        (9, 2, "sql", "\n    SELECT *\n    FROM w.e@K@\n    ORDER BY id\n    "),
+        (9, 2, "sql", "\n      SELECT r.*\n      FROM ramp@K@ r ORDER BY r.seen\n    "),
+        (16, 2, "sql", " SELECT * FROM t@K@ ORDER BY x"), *[(i, 1, "sql", TEMPLATES[i][1]) for i in (17, 18)],
         (10, 2, "spark", "\n    SELECT DISTINCT a.id\n    FROM t@K@ a\n    "),
         (10, 7, "spark", "SELECT * FROM table_@K@ x"),
     ], "path AS file_path, line AS start_line, dialect, replace(t, '@K@', k::VARCHAR) AS sql"),
     "sql_statements": by_template("tid, line, n", [
         (0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 9), (4, 1, 1), (9, 2, 1), (10, 2, 1), (10, 7, 1),
+        (16, 2, 1), (17, 1, 7), (18, 1, 1),
     ], "path AS file_path, line AS start_line, n::BIGINT AS n_statements"),
     "comment_mask": by_template("tid, w, n", [
         (0, "SELECT", 1), (1, "SELECT", 3), (2, "SELECT", 2), (3, "SELECT", 9), (4, "SELECT", 2), (9, "SELECT", 1),
         (10, "SELECT", 2), (7, "collect", 1), (7, "toPandas", 1), (8, "collect", 3), (15, "collect", 1),
+        (16, "SELECT", 1), (17, "SELECT", 7), (18, "SELECT", 1),
     ], "path AS file_path, w AS word, n::BIGINT AS n"),
     "sql_clause_context": by_template("tid, line, op, c", [
-        (0, 4, "=", True), (0, 5, "LIKE", True), (1, 4, "=", True), (2, 5, "=", True), (2, 8, ">", True),
+        (0, 3, "LIKE", True), (0, 4, "<", True), (1, 8, "=", True), (17, 1, "=", True), (17, 2, "=", True), (17, 3, "LIKE", True),
+        (17, 4, ">", True), (17, 4, "=", True), (17, 5, "=", True), (17, 6, "LIKE", True), (17, 7, "=", True),
+        (17, 7, "=", True), (18, 3, "=", True), (18, 3, "LIKE", True), (2, 5, "=", True), (2, 8, ">", True),
     ], "path AS file_path, line, op, c AS in_filter"),
     "py_imports": by_template("tid, l, m", [
         (5, "pd", "pandas"), (6, "time", "time"), (6, "nap", "time.sleep"), (7, "F", "pyspark.sql.functions"),
@@ -160,15 +170,16 @@ ORACLES |= {
         (5, 4, "df", "pandas"), (5, 9, "s", "pandas"), (6, 5, "out", "string"),
         *[(7, line, name, "spark") for line, name in zip((9, 10, 11, 13, 15, 16, 17, 18, 19, 20, 21, 22), "orpnxyzabcde")],
         (8, 6, "rows", "spark"), (8, 7, "txt", "string"),
+        (9, 2, "query", "string"),
         (15, 2, "spark", "spark"), (15, 3, "df", "spark"), (15, 7, "rows", "spark"),
     ], "path AS file_path, line, n AS name, tag"),
     "py_scopes": by_template("tid, line", [
         *[(5, i) for i in range(4, 13)], *[(6, i) for i in range(5, 15)], (7, 6), *[(7, i) for i in range(9, 23)],
-        (8, 4), (8, 5), (8, 6), (8, 7), (8, 9), (9, 2), (14, 5), *[(14, i) for i in range(8, 12)],
+        (8, 4), (8, 5), (8, 6), (8, 7), (8, 9), (9, 2), (9, 6), *[(14, i) for i in range(4, 9)], (16, 2),
     ], "path AS file_path, line, 1 AS n_defs"),
     "py_loop_depth": by_template("tid, line, d", [
         (5, 5, 1), (5, 6, 1), (5, 7, 1), (5, 8, 1), (6, 6, 1), (6, 7, 2), (6, 8, 2), (7, 12, 1), (7, 13, 1), (7, 14, 1),
-        (14, 9, 1), (14, 10, 2), (14, 11, 2),
+        (14, 5, 1), (14, 6, 2), (14, 7, 2),
     ], "path AS file_path, line, d AS loop_depth"),
     "py_file_handles": by_template("tid, line", [(6, 12), (6, 13)], "path AS file_path, line, 'fh' AS name"),
     "py_chain_roots": by_template("tid, line, m, r", [
@@ -177,7 +188,7 @@ ORACLES |= {
         (7, 10, "collect", "o"), (7, 11, "toPandas", "o"), (7, 13, "count", "o"), (7, 15, "crossJoin", "o"),
         (7, 15, "coalesce", "o"), (7, 16, "repartition", "o"), (7, 17, "repartition", "o"), (7, 18, "take", "o"),
         (7, 19, "take", "o"), (7, 20, "map", "o"), (7, 21, "map", "o"), (8, 4, "collect", "gc"), (8, 5, "collect", "q"),
-        (8, 6, "collect", "spark"), (14, 8, "apply", "box"), (15, 8, "collect", "df"),
+        (8, 6, "collect", "spark"), (14, 4, "apply", "seen"), (15, 8, "collect", "df"),
     ], "path AS file_path, line, m AS method, r AS root"),
     "py_calls": by_template("tid, line, m, a", [
         (6, 9, "sleep", 1), (6, 13, "read", 10), (7, 15, "coalesce", 1), (7, 16, "repartition", 8), (7, 18, "take", 999), (7, 19, "take", 1000),
@@ -200,11 +211,15 @@ ORACLES |= {
         SELECT repo, ref, count(*)::INT AS files_scanned, sum(coalesce(n, 0))::INT AS candidates_found,
           sum(coalesce(n, 0))::INT AS findings_count
         FROM f LEFT JOIN e USING (tid) WHERE tid NOT IN (11, 12) GROUP BY repo, ref""",
+    "job_rows": f"""WITH {REVIEWED}, n AS (SELECT repo, count(*)::INT AS n FROM reviewed GROUP BY repo)
+        SELECT 'job-' || lang AS id, lang AS repo, 'main' AS ref, 'local' AS source, '2024-01-01' AS created_at,
+          count(*)::INT AS files_scanned, count(*)::INT AS candidates_found, coalesce(any_value(n), 0) AS findings_count
+        FROM documents LEFT JOIN n ON repo = lang GROUP BY lang""",
     "scan_report": f"""WITH {FILES}, e(tid, n) AS (SELECT tid, count(*) FROM (VALUES {values(EXPECTED)}) v(tid, r, s, e) GROUP BY tid)
         SELECT repo, path, row_number() OVER (PARTITION BY repo, ref ORDER BY string_split(path, '/')) AS position,
           count(*) OVER (PARTITION BY repo, ref) AS total,
-          CASE WHEN tid = 9 THEN 'tokens+sql' ELSE 'tokens' END AS engine, coalesce(n, 0)::INT AS n_candidates,
-          CASE WHEN tid = 13 THEN 'unreadable: unbalanced brackets or quotes' WHEN n IS NULL THEN 'no issues' ELSE '' END AS detail
+          CASE WHEN tid IN (9, 16) THEN 'tokens+sql' ELSE 'tokens' END AS engine, coalesce(n, 0)::INT AS n_candidates,
+          CASE WHEN tid = 13 THEN 'unreadable: line 2' WHEN tid = 19 THEN 'unreadable: line 1' WHEN n IS NULL THEN 'no issues' ELSE '' END AS detail
         FROM f LEFT JOIN e USING (tid) WHERE tid NOT IN (11, 12)""",
     "scan_summary": f"""WITH {FILES}, e(tid, rule_id, s, e) AS (VALUES {values(EXPECTED)}),
         r(rule_id, title) AS (VALUES {values([(a, t) for a, t, _ in S.RULES])})
@@ -221,8 +236,9 @@ ORACLES |= {
     "filter_suffix": f"WITH {TREE} SELECT path FROM tree WHERE {SUPPORTED}",
     "tree_filter": f"WITH {TREE}, {LISTED} SELECT repo, path, size FROM listed",
     "tree_cap": f"WITH {TREE}, {LISTED}, {CAPPED} SELECT repo, path, pos FROM capped",
-    "src_snapshot_join": f"""WITH {TREE}, {LISTED}, {CAPPED}
-        SELECT capped.repo, path, sha, text AS content FROM capped JOIN documents ON doc_id = pos WHERE pos % 13 <> 0""",
+    "src_snapshot_join": f"""WITH {TREE}
+        SELECT repo, path, sha, text AS content FROM tree JOIN documents ON doc_id = pos
+        WHERE type = 'blob' AND {SUPPORTED} AND pos % 13 <> 0""",
     "src_union": """SELECT 'github' AS source, lang AS repo, doc_id::VARCHAR AS path FROM documents
         UNION ALL SELECT 'local', 'local/pages', page_id::VARCHAR FROM pages""",
     "classify_language": f"""WITH {TREE} SELECT path, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1))
@@ -254,7 +270,7 @@ ORACLES |= {
     "review_parse": f"""WITH {ANSWERED}, {REVIEW_FLAGS} SELECT doc_id::VARCHAR AS finding_id, is_bad, is_real,
           CASE WHEN shape = 0 THEN 'Real ' || doc_id END AS title,
           CASE shape WHEN 0 THEN ' HIGH ' WHEN 1 THEN 'bogus' END AS severity,
-          CASE shape WHEN 0 THEN '0.9' WHEN 1 THEN '0' END AS confidence FROM flags""",
+          CASE shape WHEN 0 THEN '0.9' END AS confidence FROM flags""",
     "review_normalise": f"""WITH {REVIEWED} SELECT id, CASE WHEN NOT bad AND shape = 0 THEN 'Real ' || id ELSE 'time.sleep' END AS title,
           hint AS reasoning,
           CASE WHEN bad THEN {lit(S.DEFAULT_IMPACT)} WHEN shape = 4 THEN 'cost' ELSE 'Performance' END AS impact,

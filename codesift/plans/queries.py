@@ -39,14 +39,15 @@ def files(t: Tables) -> DataFrame:
 
 
 def with_path(rows: DataFrame, f: DataFrame) -> DataFrame:
-    return rows.join(f.select("file_id", "repo", F.col("path").alias("file_path")), "file_id").drop("file_id")
+    """The path of each row's file. Both sides lie by file_id; the rows, not the files, become the hash table."""
+    return f.select("file_id", "repo", F.col("path").alias("file_path")).join(rows.hint("shuffle_hash"), "file_id").drop("file_id")
 
 
 def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = files(Tables(spark, sf_dir))
-        hits = audit.sql_hits(f) if rule_id.startswith("sql.") else audit.python_hits(f)
-        hits = rank.ranked(hits.where(F.col("rule_id") == rule_id))
+        hits = (audit.sql_hits if rule_id.startswith("sql.") else audit.python_hits)(f, [rule_id])
+        hits = rank.ranked(hits)
         return with_path(hits, f).select("repo", "file_path", "start_line", "end_line")
 
     return run
@@ -199,6 +200,14 @@ def job_summary(t):
     return views.job_summary(scanned, found, N.default_findings(N.with_ids(found, F.lit("job1"))))
 
 
+@query
+def job_rows(t):
+    docs = t.documents.select(F.col("lang").alias("repo"), F.lit("main").alias("ref"))
+    found = N.reviewed_findings(t.review_candidates, t.review_answers)
+    summary = views.job_summary(docs, t.review_candidates, found)
+    return views.job_rows(summary, F.concat(F.lit("job-"), "repo"), F.lit("local"), F.lit("2024-01-01"))
+
+
 @query
 def scan_report(t):
     return audit.scan_report(corpus(t)).select("repo", "path", "position", "total", "engine", "n_candidates", "detail")
@@ -221,11 +230,6 @@ def patched_files(t):
 
 # --- tables: sources and filters --------------------------------------------------------------
 
-@query
-def src_tree_scan(t):
-    return SF.list_tree(t.spark, t.sf_dir).orderBy("path")
-
-
 @query
 def filter_skip_dirs(t):
     return t.tree.where(~X.in_skipped_dir(F.col("path"))).select("path")
@@ -248,7 +252,7 @@ def tree_cap(t):
 
 @query
 def src_snapshot_join(t):
-    return SF.snapshot_files(t.tree, t.blobs, 2000, 20).select("repo", "path", "sha", "content")
+    return SF.snapshot_files(t.tree, t.blobs).select("repo", "path", "sha", "content")
 
 
 @query

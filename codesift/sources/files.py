@@ -9,6 +9,10 @@ from codesift import schemas as S
 from codesift.functions import text as X
 
 
+SUPPORTED_NAMES = "*.{" + ",".join(
+    "".join(f"[{c}{c.upper()}]" for c in suffix[1:]) for suffix in S.SUFFIX_LANGUAGE) + "}"
+
+
 def list_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Every regular file under a directory: path relative to it and size. The bytes are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -26,10 +30,11 @@ def scan_local_tree(spark: SparkSession, root: str, repo: str = "", ref: str = "
                     max_file_bytes: int | None = None) -> DataFrame:
     """source_files of a directory: supported paths with whole text; files that are not UTF-8 are dropped.
 
-    Suffix and directory tests run on the listing columns, so skipped files are not opened. A size limit is
-    optional here, as local scans have none by default.
+    Names without a supported suffix are left out while listing, so that data files of any size beside the sources are
+    never opened; the test on the path stays behind it. max_file_bytes is pushed to the listing too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", SUPPORTED_NAMES).load(root)
     path = _relative(F.col("path"), root)
     files = files.withColumn("rel", path).where(X.is_supported(F.col("rel")))
     if max_file_bytes is not None:
@@ -45,15 +50,13 @@ def scan_local_tree(spark: SparkSession, root: str, repo: str = "", ref: str = "
     )
 
 
-def listed_files(tree: DataFrame, max_file_bytes: int = S.MAX_FILE_BYTES) -> DataFrame:
-    """Blobs of a listing that the audit reads: supported path, at most max_file_bytes, a missing size is 0."""
-    path = F.coalesce("path", F.lit(""))
-    return tree.where(
-        (F.col("type") == "blob") & X.is_supported(path) & (F.coalesce("size", F.lit(0)) <= max_file_bytes)
-    )
+def listed_files(tree: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
+    """Blobs of a listing that the audit reads: supported path, and at most max_file_bytes where given (a missing size is 0)."""
+    kept = tree.where((F.col("type") == "blob") & X.is_supported(F.coalesce("path", F.lit(""))))
+    return kept if max_file_bytes is None else kept.where(F.coalesce("size", F.lit(0)) <= max_file_bytes)
 
 
-def cap_files(tree: DataFrame, max_files: int = S.MAX_FILES) -> DataFrame:
+def cap_files(tree: DataFrame, max_files: int) -> DataFrame:
     """The first max_files entries of each repository in listing order (this limit is the feature).
 
     row_number with a bound prunes every partition to max_files rows before the shuffle, so one huge repository
@@ -63,9 +66,12 @@ def cap_files(tree: DataFrame, max_files: int = S.MAX_FILES) -> DataFrame:
     return tree.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_files).drop("nth")
 
 
-def snapshot_files(tree: DataFrame, blobs: DataFrame, max_file_bytes: int = S.MAX_FILE_BYTES,
-                   max_files: int | None = S.MAX_FILES) -> DataFrame:
-    """source_files of a landed snapshot: listing rows joined to fetched contents; a failed fetch has no row."""
+def snapshot_files(tree: DataFrame, blobs: DataFrame, max_file_bytes: int | None = None,
+                   max_files: int | None = None) -> DataFrame:
+    """source_files of a landed snapshot: listing rows joined to fetched contents; a failed fetch has no row.
+
+    Nothing is left out by default; S.MAX_FILE_BYTES and S.MAX_FILES are the limits of a remote scan.
+    """
     kept = listed_files(tree, max_file_bytes)
     if max_files is not None:
         kept = cap_files(kept, max_files)

@@ -10,7 +10,13 @@ from codesift import schemas as S
 
 
 def save_findings(findings: DataFrame, path: str) -> None:
-    """Replace the findings of the jobs in the frame; other jobs are left alone."""
+    """Insert or replace findings by id; all others stay, those of the same jobs too. Only the jobs named are rewritten."""
+    spark = findings.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        jobs = findings.select("job_id").distinct()
+        others = load_findings(spark, path).join(jobs, "job_id", "left_semi").join(findings.select("id"), "id", "left_anti")
+        findings = findings.unionByName(others.select(*findings.columns))
     findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
 
 
