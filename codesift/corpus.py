@@ -186,3 +186,25 @@ def code_corpus(orders: DataFrame) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("size"),
         "content",
     )
+
+
+def text_corpus(documents: DataFrame) -> DataFrame:
+    """source_files with the text of every document in a comment or a literal, and one statement with a hit behind it.
+
+    By doc_id % 4: a Python docstring, a SQL block comment, Python line comments, SQL line comments. Characters that would
+    end the comment are left out of the text.
+    """
+    key = F.col("doc_id")
+    text = F.translate(F.coalesce("text", F.lit("")), "\"\\/\r", "")
+    behind = lambda mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)))
+    shape = F.pmod(key, F.lit(4))
+    content = (
+        F.when(shape == 0, F.concat(F.lit('"""'), text, F.lit('"""\nimport pandas\ndf.iterrows()\n')))
+        .when(shape == 1, F.concat(F.lit("/*"), text, F.lit("*/\nSELECT * FROM t LIMIT 1\n")))
+        .when(shape == 2, F.concat(behind("# "), F.lit("\nq.toPandas()\n")))
+        .otherwise(F.concat(behind("-- "), F.lit("\nSELECT DISTINCT a FROM t\n"))))
+    return documents.select(
+        F.col("source").alias("repo"), F.lit("main").alias("ref"),
+        F.concat(F.lit("d"), key, F.when(shape.isin(0, 2), ".py").otherwise(".sql")).alias("path"), content.alias("content"),
+    ).select("repo", "ref", "path", F.sha1("content").alias("sha"),
+             F.octet_length("content").cast("bigint").alias("size"), "content")

@@ -196,6 +196,13 @@ ORACLES |= {
     "lex_status": by_template("tid, n", [(13, 1)], "path AS file_path, 0 AS unit_no, n::BIGINT AS open_brackets, false AS bad_quote"),
     # --- candidates, findings, summaries on the corpus
     "candidates_all": by_template("tid, r, s, e", EXPECTED, "repo, path AS file_path, r AS rule_id, s AS start_line, e AS end_line"),
+    "candidates_on_text": """WITH t AS (
+          SELECT doc_id, source, doc_id % 4 AS shape, length(text) - length(replace(text, chr(10), '')) AS breaks
+          FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents))
+        SELECT source AS repo, 'd' || doc_id || CASE WHEN shape IN (0, 2) THEN '.py' ELSE '.sql' END AS file_path,
+          (['py.pandas_iterrows', 'sql.select_star', 'spark.to_pandas', 'sql.distinct'])[(shape + 1)::INT] AS rule_id,
+          (breaks + CASE WHEN shape = 0 THEN 3 ELSE 2 END)::INT AS start_line, (breaks + CASE WHEN shape = 0 THEN 3 ELSE 2 END)::INT AS end_line
+        FROM t""",
     "candidates_enriched": f"""WITH {CONTENTS}, e(tid, rule_id, s, e) AS (VALUES {values(EXPECTED)}),
         r(rule_id, title, hint, language) AS (VALUES {values([(a, t, h, S.RULE_LANGUAGE[a.split('.')[0]]) for a, t, h in S.RULES])})
         SELECT repo, ref, path AS file_path, language, rule_id, title, s AS start_line, e AS end_line, hint,

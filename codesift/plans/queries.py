@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift import schemas as S
-from codesift.corpus import code_corpus
+from codesift.corpus import code_corpus, text_corpus
 from codesift.functions import text as X
 from codesift.operators import findings as N
 from codesift.operators import patch, rank, rules_py, sqlfacts, state, units, views
@@ -176,6 +176,13 @@ def candidates_all(t):
     return with_path(rank.ranked(audit.raw_hits(f)), f).select("repo", "file_path", "rule_id", "start_line", "end_line")
 
 
+@query
+def candidates_on_text(t):
+    """All rules over the texts of documents in comments and literals: only the statement behind them gives a hit."""
+    f = audit.scannable(text_corpus(t.documents))
+    return with_path(rank.ranked(audit.raw_hits(f)), f).select("repo", "file_path", "rule_id", "start_line", "end_line")
+
+
 @query
 def candidates_enriched(t):
     return audit.candidates(corpus(t)).drop("unit_no")
