@@ -24,6 +24,9 @@ MAX_HOPS = 30  # steps followed from a call back to the name it starts from
 # --- End of fixed values ----------------------------------------------------------------------
 
 
+_BLOCK = 256
+
+
 def _is(name: str, *values: str) -> Column:
     return F.col(name).isin(*values)
 
@@ -471,16 +474,20 @@ def names_per_file(rows: DataFrame) -> DataFrame:
     )
 
     def spread(acc: Column, b: Column) -> Column:
-        behind = F.get(acc, b["bound_at"])
+        """Add the tag of an assignment. Tags lie in blocks, as every step copies the array that it adds to."""
+        behind = F.get(F.get(acc, F.floor(b["bound_at"] / _BLOCK).cast("int")), b["bound_at"] % _BLOCK)
         behind = F.when(b["near"], F.coalesce(behind, F.lit(""))).otherwise("")
-        return F.concat(acc, F.array(
+        tag = F.array(
             F.when(b["is_string"], "string")
             .when(b["of_pandas"] | (behind == "pandas"), "pandas")
             .when(b["of_spark"] | (behind == "spark"), "spark")
             .when(b["is_open"], "file")
-            .otherwise("")))
+            .otherwise(""))
+        last = F.element_at(acc, -1)
+        return F.when(F.size(last) < _BLOCK, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, tag)))
+                      ).otherwise(F.concat(acc, F.array(tag)))
 
-    tags = F.aggregate("binds", F.array().cast("array<string>"), spread)
+    tags = F.flatten(F.aggregate("binds", F.array(F.array().cast("array<string>")), spread))
     return per_file.withColumn("tags", tags)
 
 
