@@ -364,7 +364,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     def signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.pieces(batches):
             where = [_address(x) for x in batch.column("u").to_pylist()]
-            lines = [_hashes(blocks(x.decode())) for x in rows.texts(batch)]
+            lines = [_hashes(blocks(x.decode())) for x in rows.texts(batch.column("t"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([h for h, _ in where], pa.string()),
                  pa.array([p for _, p in where], pa.string()), pa.array(lines, pa.list_(pa.int64()))],
@@ -383,7 +383,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.pieces(batches):
             made = []
-            for x in rows.texts(batch):
+            for x in rows.texts(batch.column("t")):
                 lines = blocks(x.decode())
                 flags = bytes(k.inside | k.prose << 1 | k.dropped << 2 | (2 * k.linked > len(k.text)) << 3 for k in lines)
                 kept = "\n".join("" if k.dropped else k.text for k in lines).encode("utf-8", "surrogatepass")

@@ -28,7 +28,7 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, doc_id: str = "do
         encode = pretokens.encoder().encode
         for batch in rows.pieces(batches):
             doc, number, start, length, crc, ids = [], [], [], [], [], []
-            for name, x in zip(batch.column("d").to_pylist(), encode([x.decode() for x in rows.texts(batch)]), strict=True):
+            for name, x in zip(batch.column("d").to_pylist(), encode([x.decode() for x in rows.texts(batch.column("t"))]), strict=True):
                 x += end
                 n = len(x) // 4
                 cuts = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]

@@ -23,32 +23,32 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator
             yield batch.slice(start, rows)
 
 
-def texts(batch: pa.RecordBatch, column: str = "t") -> list[bytes]:
+def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null as empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
-def with_text(docs: DataFrame, text: str) -> DataFrame:
-    """row (struct of all columns) and t (the text, null as empty): no name of docs can clash with an operator's own."""
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def map_texts(
     docs: DataFrame, text: str, start: Callable[[], Callable[[list[bytes]], list[list]]], columns: list[T.StructField],
 ) -> DataFrame:
-    """row and columns: start() is called once per task and gives the function from texts to one list per column."""
+    """row (struct of all columns of docs, so that no name can clash) and columns.
+
+    start() is called once per task and gives the function from texts, null as empty, to one list per column.
+    """
     types = [T.StructField("row", docs.schema, False), *columns]
     arrow = [_arrow(c.dataType) for c in columns]
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in pieces(batches):
-            found = work(texts(batch))
+            row = batch.column("row")
+            found = work(texts(row.field(place)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *[pa.array(x, kind) for x, kind in zip(found, arrow, strict=True)]],
+                [row, *[pa.array(x, kind) for x, kind in zip(found, arrow, strict=True)]],
                 names=["row", *[c.name for c in columns]])
 
-    return map_arrow(with_text(docs, text), run, T.StructType(types))
+    return map_arrow(docs.select(F.struct("*").alias("row")), run, T.StructType(types))
 
 
 def map_arrow(df: DataFrame, work: Callable, schema: object) -> DataFrame:

@@ -119,7 +119,7 @@ def _segments(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.Rec
         ], names=["part", "segment", "inside", "n_tokens", "doc_ids", "lengths", "codes"])
 
     for batch in rows.pieces(batches):
-        ids = encode([x.decode() for x in rows.texts(batch)])
+        ids = encode([x.decode() for x in rows.texts(batch.column("t"))])
         for doc, x in zip(batch.column("d").to_pylist(), ids, strict=True):
             held.append((doc, x + end))
             size += len(x) // 4 + 1
