@@ -42,15 +42,19 @@ _ENDS = {
 }
 _WALLS = frozenset("ul ol dl table article section main nav aside body".split())
 #: Words of class and id names, and roles, that mark what is not the article.
-_READERS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+_READERS = frozenset("comment comments commentlist disqus replies reply respond responses reactions feedback discussion".split())
 _ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner promo promotion sponsor "
                      "sponsored sponsors related recommended recommendations outbrain taboola".split())
 _FRAME = frozenset(
-    "alert breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr login menu menus masthead modal nav navbar "
-    "navigation newsletter notice notices notification overlay pager pagination paywall popup search share sharebar sharing "
+    "alert breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr hidden login menu menus masthead modal nav navbar "
+    "navigation newsletter notice notices notification overlay pager pagination paywall popup privacy search share sharebar sharing "
     "sidebar sidebars signup skip social subscribe subscription toolbar topbar widget widgets".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_ARTICLES = frozenset("article articlebody postbody entry post story content maincontent".split())
+_ARTICLES = frozenset("article articlebody postbody entry post story content main maincontent".split())
+#: Parts of longer words, as in sitefooter or commentbox, that mark the same.
+_READERS_PART = re.compile("comment")
+_ADVERTS_PART = re.compile("advert|sponsor|banner")
+_FRAME_PART = re.compile("sidebar|footer|navbar|menu|cookie|consent|newsletter|subscri|breadcrumb|masthead|popup|(?:site|page)header")
 _NOT = frozenset("has no with without is".split())
 
 
@@ -117,8 +121,8 @@ class _Page:
         names, role, hidden = _marks(attributes)
         article = tag in ("article", "main") or role in ("article", "main") or tag != "a" and bool(names & _ARTICLES) and (
             tag in ("div", "section"))
-        reader, advert = bool(names & _READERS), bool(names & _ADVERTS)
-        frame = (tag in _DROPPED or role in _ROLES or bool(names & _FRAME)) and tag not in ("html", "body")
+        reader, advert, framed = _means(names)
+        frame = (tag in _DROPPED or role in _ROLES or framed) and tag not in ("html", "body")
         dropped = tag not in ("html", "body") and (reader or advert or hidden) or frame and tag not in ("article", "main")
         header = tag == "header" or "header" in names and tag not in ("html", "body")
         lifted = tag in ("article", "main") and not dropped and not top.final
@@ -152,6 +156,15 @@ class _Page:
         self._until(tag, frozenset(["body"]) if tag in _BLOCKS and tag not in ("p", "li") else _WALLS - {tag})
 
 
+def _means(names: set[str]) -> tuple[bool, bool, bool]:
+    """Whether words of class and id stand for readers' comments, for adverts, for the frame of the page."""
+    if not names:
+        return False, False, False
+    joined = " ".join(names)
+    return (bool(names & _READERS or _READERS_PART.search(joined)), bool(names & _ADVERTS or _ADVERTS_PART.search(joined)),
+            bool(names & _FRAME or _FRAME_PART.search(joined)))
+
+
 def _marks(attributes: str) -> tuple[set[str], str, bool]:
     """Words of class and id, the role, and whether the element is hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:

@@ -48,6 +48,17 @@ def test_structure():
     assert html_text.blocks("<script>never ends") == []
 
 
+def test_divisions_by_name():
+    """Pages without elements that tell: names of classes do, and lists of links stand out."""
+    page = """<body class="with-sidebar page"><div id="siteheader">My site</div><ul><li><a href=a>News</a><li><a href=b>About us</a></ul>
+    <div id="main" class="clearfix"><h2>Report</h2><p>The first <a href=c>paragraph</a> of the report.</p><div class="ad-300x250">Buy</div>
+    <div class="post-content">Bare text in it</div><form action=s>Your mail <input></form></div><div class="commentbox"><p>Nice!</p></div>
+    <div class="cookiebar">Cookies</div><div class="hidden">Unseen</div><div id="pagefooter">(c) site</div></body>"""
+    assert html_text.main_text(html_text.blocks(page), []) == "Report\nThe first paragraph of the report.\nBare text in it"
+    plain = "<div><a href=a>Home</a> <a href=b>News</a></div><h1>Title</h1><p>Running text.</p><div class=menu>M</div>"
+    assert html_text.main_text(html_text.blocks(plain), []) == "Title\nRunning text."
+
+
 def site(k, own):
     """A page without an article element: only its neighbours show what is its frame."""
     return (f"<html><body><div>Welcome to the site</div><div>All you want to read</div><div>{own}</div><p>{own} again {k}</p>"
