@@ -109,19 +109,27 @@ class Model:
             return np.full(len(scores), best)
         return self.viterbi(scores)
 
-    def viterbi(self, scores: np.ndarray) -> np.ndarray:
+    def viterbi(self, scores: np.ndarray, block: int = 8192) -> np.ndarray:
+        """The best path word by word. Only where it would come from is kept: a byte for each language and word."""
         n, k = scores.shape
-        back = np.empty((n, k), np.int64)
-        value, own = np.zeros(k), np.arange(k)
-        for i in range(n):
-            top = int(np.argmax(value))
-            move = value[top] - self.penalty > value
-            back[i] = np.where(move, top, own)
-            value = np.where(move, value[top] - self.penalty, value) + scores[i]
-        out = np.empty(n, np.int64)
-        out[-1] = int(np.argmax(value))
-        for i in range(n - 1, 0, -1):
-            out[i - 1] = back[i, out[i]]
+        value = [0.0] * k
+        tops, leaves = np.empty(n, np.uint8), np.empty((n, k), bool)
+        for a in range(0, n, block):
+            before = []
+            for row in scores[a:a + block].tolist():
+                before.append(value)
+                floor = max(value) - self.penalty
+                value = [(v if v >= floor else floor) + s for v, s in zip(value, row, strict=True)]
+            values = np.array(before)
+            tops[a:a + block] = values.argmax(axis=1)
+            leaves[a:a + block] = values < values.max(axis=1, keepdims=True) - self.penalty
+        state, out, places = int(np.argmax(value)), np.empty(n, np.int64), [np.flatnonzero(leaves[1:, x]) + 1 for x in range(k)]
+        end = n
+        while end:  # back to the last word at which the state is taken up from the top one
+            at = np.searchsorted(places[state], end) - 1
+            start = int(places[state][at]) if at >= 0 else 0
+            out[start:end] = state
+            state, end = int(tops[start]), start
         return out
 
 
@@ -134,7 +142,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scripts: dict[str, np.ndarray] = {}
     for batch in rows.pieces(batches):
         langs = batch.column("lang").to_pylist()
-        texts = [x.decode() for x in rows.texts(batch)]
+        texts = [x.decode() for x in rows.texts(batch.column("t"))]
         for lang in set(langs):
             words = split([t for t, x in zip(texts, langs, strict=True) if x == lang])
             total = held.setdefault(lang, np.zeros((3, _ROWS)))
@@ -182,7 +190,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     total = table.sum(axis=1)
     logs = sum(np.where(table[k] > 0, np.log((table[k] + 0.5) / (total[k] + 1)), 0.0) for k in range(3))
     floor = np.log(0.5 / (total.mean(axis=0) + 1))
-    table = np.where(table.sum(axis=0) > 0, logs, floor)
+    # the mean over the three sizes, as they tell of the same letters
+    table = np.where(table.sum(axis=0) > 0, logs, floor) / 3
     share = used / np.maximum(used.sum(axis=0), 1)
     return Model(languages, table.astype(np.float32), share > 0.005, penalty)
 
