@@ -35,7 +35,7 @@ def corpus(t: Tables) -> DataFrame:
 
 
 def files(t: Tables) -> DataFrame:
-    return audit.scannable(corpus(t))
+    return audit.scannable(corpus(t), t.partitions("orders"))
 
 
 def with_path(rows: DataFrame, f: DataFrame) -> DataFrame:
@@ -179,17 +179,17 @@ def candidates_all(t):
 @query
 def candidates_on_text(t):
     """All rules over the texts of documents in comments and literals: only the statement behind them gives a hit."""
-    f = audit.scannable(text_corpus(t.documents))
+    f = audit.scannable(text_corpus(t.documents), t.partitions("documents"))
     return with_path(rank.ranked(audit.raw_hits(f)), f).select("repo", "file_path", "rule_id", "start_line", "end_line")
 
 
 @query
 def candidates_enriched(t):
-    return audit.candidates(corpus(t)).drop("unit_no")
+    return audit.candidates(corpus(t), t.partitions("orders")).drop("unit_no")
 
 
 def corpus_findings(t: Tables) -> DataFrame:
-    return N.default_findings(N.with_ids(audit.candidates(corpus(t)), F.lit("job1")))
+    return N.default_findings(N.with_ids(audit.candidates(corpus(t), t.partitions("orders")), F.lit("job1")))
 
 
 @query
@@ -203,7 +203,7 @@ def default_findings(t):
 def job_summary(t):
     source = corpus(t)
     scanned = source.where(X.is_supported(F.col("path")))
-    found = audit.candidates(source)
+    found = audit.candidates(source, t.partitions("orders"))
     return views.job_summary(scanned, found, N.default_findings(N.with_ids(found, F.lit("job1"))))
 
 
@@ -217,7 +217,7 @@ def job_rows(t):
 
 @query
 def scan_report(t):
-    return audit.scan_report(corpus(t)).select("repo", "path", "position", "total", "engine", "n_candidates", "detail")
+    return audit.scan_report(corpus(t), t.partitions("orders")).select("repo", "path", "position", "total", "engine", "n_candidates", "detail")
 
 
 @query
