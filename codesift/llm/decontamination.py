@@ -113,7 +113,7 @@ _COLUMNS = [
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_bytes: int = 2 << 20,
+    window: int = 10, block_bytes: int = 1 << 19,
 ) -> DataFrame:
     """row (struct of all columns of docs), n_words, n_hit (long), hits (ranges of words), items (ids as sorted strings).
 
