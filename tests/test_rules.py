@@ -180,3 +180,13 @@ def test_loop_depth_against_ast(spark):
     got = {(r.path, r.line, r.loop_depth) for r in lines.where((F.col("loop_depth") > 0) & (F.col("head") != "else")).select(
         "path", "line", "loop_depth").collect()}
     assert got == {(p, line, max(d for q, m, d in want if (q, m) == (p, line))) for p, line, _ in want}
+
+
+def test_plan_sends_no_contents_around(spark):
+    """Only the rule catalog is broadcast; files are dealt out by file_id and by nothing else."""
+    rows = [("r", "main", path, "", len(text), text) for path, (text, _) in CASES.items()]
+    files = spark.createDataFrame(rows, "repo string, ref string, path string, sha string, size bigint, content string")
+    plan = audit.candidates(files, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("ShuffledHashJoin") >= 1
+    dealt = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(dealt) <= 5 and all("hashpartitioning(file_id" in line for line in dealt)
