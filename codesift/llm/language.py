@@ -31,6 +31,8 @@ _SCRIPTS = (
 SCRIPTS = tuple(dict.fromkeys(name for _, name in _SCRIPTS))
 _BITS = 16
 _ROWS = 1 << _BITS
+#: Share of the mean of all languages in the probability of a letter group, the same for each language.
+_POOLED = 0.05
 
 
 @cache
@@ -187,11 +189,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     table[kind[groups], g[groups], column[groups]] = n[groups]
     used[g[~groups], column[~groups]] = n[~groups]
     # groups of all three sizes share one table: their hashes are salted by size
-    total = table.sum(axis=1)
-    logs = sum(np.where(table[k] > 0, np.log((table[k] + 0.5) / (total[k] + 1)), 0.0) for k in range(3))
-    floor = np.log(0.5 / (total.mean(axis=0) + 1))
+    counts = table.sum(axis=0)
+    total = counts.sum(axis=0)
+    pooled = ((counts + 0.5) / (total + 0.5 * _ROWS)).mean(axis=1, keepdims=True)
+    # a group that no language has seen tells nothing of any, however little a language was learned from
+    own = counts / np.maximum(total, 1)
     # the mean over the three sizes, as they tell of the same letters
-    table = np.where(table.sum(axis=0) > 0, logs, floor) / 3
+    table = np.log(np.where(total > 0, (1 - _POOLED) * own + _POOLED * pooled, pooled)) / 3
     share = used / np.maximum(used.sum(axis=0), 1)
     return Model(languages, table.astype(np.float32), share > 0.005, penalty)
 
