@@ -30,11 +30,16 @@ HEX = "[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be found and
 ALLOWED = (
     r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|abcdefgh)|^sha(?:256|384|512)-|(.)\1{5}"
 )
+#: The same where only parts of a run are taken out, so that a digest of a file goes with its name.
+ALLOWED_PARTS = ALLOWED.replace("-|(.)", "-[A-Za-z0-9+/]+=*|(.)")
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """Maximal runs of the characters that hold each of needs; a window with bits or more of entropy is reported."""
+    """Maximal runs of the characters that hold each of needs; a window with bits or more of entropy is reported.
+
+    Windows that overlap or touch a match of ALLOWED_PARTS are not; the rest of their run is.
+    """
 
     kind: str
     characters: str
@@ -46,6 +51,8 @@ class EntropyClass:
 CLASSES = (
     EntropyClass("entropy_hex", "0-9A-Fa-f", ("[0-9]", "[A-F]"), 24, 3.0),
     EntropyClass("entropy_mixed", "A-Za-z0-9+/_=-", ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Fa-f]"), 24, 3.9),
+    EntropyClass("entropy_lower", "0-9a-z", ("[0-9]", "[g-z]"), 24, 3.6),
+    EntropyClass("entropy_upper", "0-9A-Z", ("[0-9]", "[G-Z]"), 24, 3.5),
 )
 BASE_KINDS = ("assign", "access", "hex")
 #: Count times its binary logarithm is held as a whole number of millionths: added and taken away without drift.
@@ -125,15 +132,33 @@ def _hot(word: Column, kind: EntropyClass) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)
 
 
+def _hot_parts(word: Column, kind: EntropyClass) -> Column:
+    """_hot() over the parts of a run between allowed matches and the characters next to those."""
+
+    def parts(found: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda m: m["start"] + F.length(m["word"]) + 1))
+        ends = F.concat(F.transform(found, lambda m: m["start"] - 1), F.array(F.length(word).cast("long")))
+        both = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("at"), (b - a).cast("int").alias("n")))
+        return F.transform(F.filter(both, lambda x: x["n"] >= kind.window), lambda x: _let(
+            _hot(F.substring(word, x["at"] + 1, x["n"]), kind),
+            lambda hot: F.struct((x["at"] + hot["first"]).alias("first"), (x["at"] + hot["last"]).alias("last"))))
+
+    cut = _let(_let(_matches(word, ALLOWED_PARTS), parts), lambda x: F.struct(
+        F.array_min(F.transform(x, lambda y: y["first"])).alias("first"),
+        F.array_max(F.transform(x, lambda y: y["last"])).alias("last")))
+    whole = _let(_hot(word, kind), lambda hot: F.struct(hot["first"].alias("first"), hot["last"].alias("last")))
+    return F.when(F.rlike(word, F.lit(ALLOWED_PARTS)), cut).otherwise(whole)
+
+
 def _entropy_spans(text: Column, kind: EntropyClass, order: int) -> Column:
     def wanted(m: Column) -> Column:
-        keep = ~F.rlike(m["word"], F.lit(ALLOWED))
+        keep = F.lit(True)
         for need in kind.needs:
             keep = keep & F.rlike(m["word"], F.lit(need))
         return keep
 
     runs = F.filter(_matches(text, f"[{kind.characters}]{{{kind.window},}}"), wanted)
-    spans = F.transform(runs, lambda m: _let(_hot(m["word"], kind), lambda hot: F.struct(
+    spans = F.transform(runs, lambda m: _let(_hot_parts(m["word"], kind), lambda hot: F.struct(
         (m["start"] + hot["first"]).alias("start"), F.lit(order).alias("place"), F.lit(kind.kind).alias("kind"),
         (m["start"] + hot["last"] + kind.window).alias("end"))))
     return F.filter(spans, lambda s: s["start"].isNotNull())
