@@ -122,3 +122,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+WARC = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html FROM pages
+), h AS (
+  SELECT r, page_id, url, strlen(html)::BIGINT AS payload_bytes, upper(sha1(html)) AS hex FROM p
+), d AS (
+  SELECT *, row_number() OVER a AS nth, first_value(page_id) OVER a AS first
+  FROM h WINDOW a AS (PARTITION BY hex ORDER BY page_id NULLS LAST, url NULLS LAST, r)
+)
+SELECT page_id, payload_bytes,
+       translate(array_to_string(list_transform(range(0, 8), lambda k:
+         to_base(('0x' || hex[5 * k + 1:5 * k + 5])::BIGINT, 32, 4)), ''),
+         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first END AS refers_to
+FROM d
+"""
+
+_TERMS = "regexp_extract_all(" + _FOLDED + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS t FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, {_TERMS.format("text")} AS t FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0
+), f AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(len(t)) AS len, term, count(*) AS tf
+  FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) GROUP BY r, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, s.n
+), x AS (
+  SELECT DISTINCT q, item_id, term FROM (SELECT q, item_id, unnest(t) AS term FROM i)
+), c AS (
+  SELECT q, item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len * s.n) // s.l))))::BIGINT AS score
+  FROM x JOIN f USING (term) JOIN w USING (term), s GROUP BY q, item_id, r, doc_id
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank, doc_id, score
+  FROM c WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""

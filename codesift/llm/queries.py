@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import (
-    decontamination, html_text, language, oracles, packing, quality_qda, quality_rules, rows, secret_scan, simhash,
-    token_counts, token_files,
+    decontamination, html_text, language, lexical_search, oracles, packing, quality_qda, quality_rules, rows, secret_scan, simhash,
+    token_counts, token_files, warc, whitening,
 )
 
 
@@ -87,7 +87,32 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives in which equal payloads are stored once, read back."""
+    path = rows.shared_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    found = lexical_search.ranked(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.item_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened components of every usable embedding."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.select("*", F.posexplode("whitened").alias("k", "value")).select(
+        F.col("row.vec_id").alias("vec_id"), (F.col("k") + 1).alias("component"), "n", "deviation",
+        F.col("value").alias("whitened"), F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
 QUERIES = {
+    "op11_warc": op11_warc,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
     "op1_html_text": op1_html_text,
     "op6_quality_qda": op6_quality_qda,
     "op9_language": op9_language,
@@ -101,6 +126,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_warc": oracles.WARC,
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
     "op5_decontamination": oracles.DECONTAMINATION,
     "op3_secret_scan": oracles.SECRET_SCAN,
     "op7_quality_rules": oracles.QUALITY_RULES,
