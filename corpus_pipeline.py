@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import decontamination, near_copies, packing, quality_rules, rows, secret_scan
+from codesift.llm import decontamination, packing, quality_rules, rows, secret_scan, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near copies (0.8 of their five-word shingles)."""
-    return near_copies.deduplicated(docs)
+    """One document, the one with the smallest doc_id, of each group linked by fingerprints of 3-word shingles that differ
+    in two bits or fewer."""
+    return simhash.deduplicated(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
