@@ -9,16 +9,21 @@ from codesift.llm import rows
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least node it knows."""
+    """Each node links its larger neighbours to the least node it knows.
+
+    Least nodes are written before the join: so both sides of it are plain exchanges, and the adaptive plan splits the
+    neighbours of a centre with very many of them.
+    """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = rows.checkpointed(
+        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
     return both.filter("b > a").join(least, F.col("a") == F.col("n")).select(
         F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them. links: a < b."""
-    least = links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m")
+    least = rows.checkpointed(links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m"))
     joined = links.join(least, F.col("b") == F.col("n"))
     return joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(
         joined.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
@@ -40,4 +45,4 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(
                 links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         before = now
-        links = rows.checkpointed(_small_star(_large_star(links)))
+        links = rows.checkpointed(_small_star(rows.checkpointed(_large_star(links))))
