@@ -28,6 +28,11 @@ CLAUSES = [
 FILTER_CLAUSES = ["WHERE", "HAVING", "ON"]
 SET_OPERATORS = ["UNION", "EXCEPT", "INTERSECT", "MINUS"]
 FUNCTION_KEYWORDS = ["LEFT", "RIGHT", "REPLACE"]  # names of functions where a bracket follows
+OPERAND_ENDS = [
+    "", "AND", "OR", ";", "GROUP", "ORDER", "LIMIT", "HAVING", "UNION", "EXCEPT", "INTERSECT", "JOIN", "LEFT", "RIGHT", "INNER",
+    "FULL", "CROSS", "WHERE", "THEN", "ELSE", "END", "WHEN", "QUALIFY", "WINDOW", "ON", ",", "FETCH", "OFFSET", "NATURAL",
+    "ESCAPE", "FOR", "AS",
+]
 ARITHMETIC = ["+", "-", "*", "/", "%", "||", "^", "&", "|", "::", "->", "->>", "COLLATE", "."]
 # --- End of fixed values ----------------------------------------------------------------------
 
@@ -42,24 +47,104 @@ TRIGGERS = {
 
 
 def lexed(sql: Column, dialect: Column) -> Column:
-    """Token texts. A backslash in a literal is a plain character or an escape, whichever reading adds up.
+    """Token texts: those of the first reading that adds up.
 
-    Spark texts are read with escapes first, others without; only texts with a backslash are read twice.
+    Readings in order: a backslash in a literal is a plain character, an escape, text between dollar marks is a literal, a
+    hash opens a comment. Spark texts are read with escapes first. A reading is only made of texts that have its mark; a
+    text that no reading fits keeps that with escapes. Comments behind a hash come back with two dashes.
     """
-    with_escapes, plain = (F.regexp_extract_all(sql, F.lit(p), F.lit(0)) for p in (TK.SQL_TOKEN, TK.SQL_TOKEN_PLAIN))
+
+    def read(pattern: str) -> Column:
+        return F.regexp_extract_all(sql, F.lit(pattern), F.lit(0))
+
+    escapes, plain, dollar = read(TK.SQL_TOKEN), read(TK.SQL_TOKEN_PLAIN), read(TK.SQL_TOKEN_DOLLAR)
+    body = lambda t: F.regexp_replace(t, TK.SQL_TRIVIA, "")
+    hashed = F.transform(read(TK.SQL_TOKEN_HASH), lambda t: F.when(F.contains(t, F.lit("#")), F.concat(
+        F.replace(F.regexp_extract(t, "(" + TK.SQL_TRIVIA_HASH + ")", 1), F.lit("#"), F.lit("--")),
+        F.regexp_replace(t, TK.SQL_TRIVIA_HASH, ""))).otherwise(t))
+    slashed, marked, hashes = (F.contains(sql, F.lit("\\")), sql.rlike(TK.SQL_DOLLAR), F.contains(sql, F.lit("#")))
 
     def adds_up(tokens: Column) -> Column:
-        bodies = F.transform(tokens, lambda t: F.regexp_replace(t, TK.SQL_TRIVIA, ""))
-        return ~F.exists(bodies, lambda t: t.isin("'", '"', "`")) & (
-            F.size(F.filter(bodies, lambda t: t == "(")) == F.size(F.filter(bodies, lambda t: t == ")")))
+        bodies = F.transform(tokens, body)
+        operand = r"^[\w\"'`$)\x{80}-\x{10FFFF}]"
+        # a hash between two operands is an operator, any other one is left of a comment
+        at = F.sequence(F.lit(0), F.size(bodies) - 1)
+        astray = F.exists(at, lambda i: (F.get(bodies, i) == "#") & ~F.coalesce(
+            F.get(bodies, i - 1).rlike(operand) & (F.get(bodies, i + 1).rlike(operand) | (F.get(bodies, i + 1) == "(")),
+            F.lit(False)))
+        return ~F.exists(bodies, lambda t: t.isin("'", '"', "`")) & ~(marked & F.exists(bodies, lambda t: t == "$")) & (
+            F.size(F.filter(bodies, lambda t: t == "(")) == F.size(F.filter(bodies, lambda t: t == ")"))) & ~(hashes & astray)
 
+    spark = dialect == "spark"
     return (
-        F.when(~F.contains(sql, F.lit("\\")), with_escapes)
-        .when(dialect == "spark", F.when(adds_up(with_escapes), with_escapes).when(adds_up(plain), plain).otherwise(with_escapes))
-        .otherwise(F.when(adds_up(plain), plain).otherwise(with_escapes))
+        F.when(~slashed & ~marked & ~hashes, escapes)
+        .when(spark & adds_up(escapes), escapes).when(adds_up(plain), plain)
+        .when(slashed & adds_up(escapes), escapes).when(marked & adds_up(dollar), dollar)
+        .when(hashes & adds_up(hashed), hashed).otherwise(escapes)
     )
 
 
+# --- Fixed values: what an operand can start behind, and what goes on with the operand before or behind it -----------
+BEFORE_OPERANDS = [
+    "", "(", ",", "=", "==", "<>", "!=", ">", "<", ">=", "<=", "<=>", "AND", "OR", "NOT", "WHERE", "ON", "HAVING", "WHEN",
+    "THEN", "ELSE", "SELECT", "BY", "LIKE", "ILIKE", "BETWEEN", "QUALIFY",
+]
+JOINTS = [".", "::", "->", "->>"]
+# --- End of fixed values ----------------------------------------------------------------------
+_LOOSE_BRACKET = (
+    r"(?i)(?:^|[^\w\s\"`\])]|\n|\b(?:AND|OR|NOT|WHERE|ON|HAVING|WHEN|THEN|ELSE|SELECT|BY|I?LIKE|BETWEEN|QUALIFY))\s*\(")
+_FRAME = "struct<at:int,operands:int,loose:boolean,star:boolean>"
+_FOLD = f"struct<open:array<{_FRAME}>,gone:array<int>,before:string>"
+
+
+def _loose_brackets(words: Column) -> Column:
+    """Places of the brackets around a single operand, of any number of such brackets around each other.
+
+    One fold with a stack of open brackets: each counts the operands that start at its own level. CASE ... END is an
+    operand, so it is a level of its own. A bracket behind a word is a call or a list and stays, as does one around *.
+    """
+
+    def frame(at: Column, loose: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(0).alias("operands"), loose.alias("loose"), F.lit(False).alias("star"))
+
+    def step(acc: Column, x: Column) -> Column:
+        word, top, below = x["word"], F.element_at(acc["open"], -1), F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1)
+        opens, closes = (word == "(") | (word == "CASE"), (word == ")") | (word == "END")
+        loose = (word == "(") & acc["before"].isin(BEFORE_OPERANDS)
+        called = (word == "(") & ~loose & acc["before"].rlike(r"^[\w\"`\x{80}-\x{10FFFF}]")
+        goes_on = called | word.isin(JOINTS) | acc["before"].isin(JOINTS)
+        counted = F.struct(
+            top["at"].alias("at"), (top["operands"] + F.when(goes_on, 0).otherwise(1)).alias("operands"),
+            top["loose"].alias("loose"), (top["star"] | (word == "*")).alias("star"))
+        around = top["loose"] & (word == ")") & (top["operands"] == 1) & ~top["star"]
+        return F.struct(
+            F.when(closes, F.when(F.size(below) > 0, below).otherwise(acc["open"]))
+            .when(opens, F.concat(below, F.array(counted, frame(x["i"], loose)))).otherwise(F.concat(below, F.array(counted)))
+            .alias("open"),
+            F.when(closes & around, F.concat(acc["gone"], F.array(top["at"], x["i"]))).otherwise(acc["gone"]).alias("gone"),
+            word.alias("before")).cast(_FOLD)
+
+    start = F.struct(
+        F.array(frame(F.lit(-1), F.lit(False))).alias("open"), F.array().cast("array<int>").alias("gone"),
+        F.lit("").alias("before")).cast(_FOLD)
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i")))
+    return F.aggregate(placed, start, step, lambda acc: acc["gone"])
+
+
+def without_loose_brackets(tokens: Column) -> Column:
+    """Token texts without brackets around single operands; the blanks and comments before these go to the next token."""
+    gone = _loose_brackets(F.transform(tokens, lambda t: F.upper(F.regexp_replace(t, TK.SQL_TRIVIA, ""))))
+
+    def rest(places: Column) -> Column:
+        kept = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~F.array_contains(places, i))
+        before = lambda k: F.when(k > 0, F.get(kept, k - 1)).otherwise(-1)
+        lead = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
+        return F.transform(kept, lambda i, k: F.concat(
+            F.array_join(F.transform(F.slice(tokens, before(k) + 2, i - before(k) - 1), lead), ""), F.get(tokens, i)))
+
+    return F.get(F.transform(F.array(gone), lambda places: F.when(F.size(places) > 0, rest(places)).otherwise(tokens)), F.lit(0))
+
+
 def sql_tokens(units: DataFrame) -> DataFrame:
     """Significant tokens of SQL texts with line, bracket level, neighbours and statement number.
 
@@ -74,21 +159,24 @@ def sql_tokens(units: DataFrame) -> DataFrame:
     word = first.between("a", "z") | first.between("A", "Z") | (first == "_") | (first >= "\u0080")
     upper = F.upper(tok)
     body = F.regexp_replace("raw", TK.SQL_TRIVIA, "")
+    texts = F.col("texts")
     raw = (
-        units.select(*UNIT, "dialect", "start_line",
-                     F.posexplode(lexed(F.col("sql"), F.col("dialect"))).alias("pos", "raw"))
+        units.withColumn("texts", lexed(F.col("sql"), F.col("dialect"))).select(*UNIT, "dialect", "start_line",
+                     F.posexplode(F.when(F.col("sql").rlike(_LOOSE_BRACKET), without_loose_brackets(texts)).otherwise(texts))
+                     .alias("pos", "raw"))
         .withColumn("tok", F.when(F.substring("raw", 1, 1).isin(" ", "\n", "\t", "\f", "\r", "-", "/"), body)
                     .otherwise(F.col("raw")))
         .withColumn("kind", F.when(tok == "", "end")
                     .when((F.length(tok) == 1) & first.isin("'", '"', "`"), "bad")
                     .when((first == "'") | ((first == '"') & (F.col("dialect") == "spark")), "str")
+                    .when((first == "$") & (F.length(tok) > 1), "str")
                     .when(first.isin('"', "`"), "ident")
                     .when(word & upper.isin(TK.SQL_KEYWORDS), "keyword")
                     .when(word, "ident")
                     .when(first.between("0", "9") | ((first == ".") & (F.length(tok) > 1)), "number")
                     .otherwise("op"))
         .withColumns({
-            "u": F.when(kind == "str", F.when(F.substring(tok, 2, 1) == "%", "'%").otherwise("'")).otherwise(upper),
+            "u": F.when(kind == "str", F.when(tok.rlike(r"^(?:\$\w*\$|.)%"), "'%").otherwise("'")).otherwise(upper),
             "nl": F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit(""))),
             "tok_nl": F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit(""))),
             "step": F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0),
@@ -137,7 +225,7 @@ def bracket_groups(tokens: DataFrame) -> DataFrame:
     goes_on = (
         (F.col("tok") == ".") | (p1 == ".")
         | (is_open & F.coalesce(F.col("p_kind") == "ident", F.lit(False))) | is_close
-        | (F.col("tok") == "::") | (p1 == "::")
+        | F.col("tok").isin(JOINTS) | p1.isin(JOINTS)
     )
     order0 = Window.partitionBy(*UNIT).orderBy("pos")
     rows = (
@@ -162,7 +250,8 @@ def bracket_groups(tokens: DataFrame) -> DataFrame:
             "clause": F.last(F.when(mark, F.lit("")).when(here & F.col("u").isin(CLAUSES), F.col("u")), True).over(upto),
             "chain": F.last(F.when(F.col("begins"), F.struct(F.col("line"), p1.alias("before"))), True).over(upto),
             **{f"l{i}": F.lag(text, i).over(order) for i in (1, 2, 3, 4, 5)},
-            "case": F.last(F.when(here & (F.col("u") == "CASE"), F.struct("line", "columns")), True).over(upto),
+            "case": F.last(F.when(here & (F.col("u") == "CASE"), F.struct(
+                "line", "columns", p1.alias("before"))), True).over(upto),
             "l3_cols": F.lag("columns", 3).over(order), "l4_kind": F.lag("kind", 4).over(order),
             "l4_line": F.lag("line", 4).over(order), "l2_eline": F.lag("eline", 2).over(order),
             **{f"r{i}": F.lead(text, i).over(order) for i in (1, 2, 3, 4)},
@@ -180,9 +269,7 @@ def bracket_groups(tokens: DataFrame) -> DataFrame:
 def _side_rules() -> Column:
     """(start, end) of a non-aggregate function over a column on the left, else on the right, of a comparison."""
     boundary = ["", "AND", "OR", "NOT", "WHERE", "ON", "HAVING", "WHEN", "THEN", "ELSE", "CASE", "BY", "SELECT", ","]
-    after = ["", "AND", "OR", ";", "GROUP", "ORDER", "LIMIT", "HAVING", "UNION", "EXCEPT", "INTERSECT", "JOIN", "LEFT",
-             "RIGHT", "INNER", "FULL", "CROSS", "WHERE", "THEN", "ELSE", "END", "WHEN", "QUALIFY", "WINDOW", "ON", ",",
-             "FETCH", "OFFSET", "NATURAL", "ESCAPE", "FOR", "AS"]
+    after = OPERAND_ENDS
     fn = lambda name, kind: (kind == "ident") & ~name.isin(AGGREGATES) | (name == "CAST")
     # the operand on the left ends in front of the NOT of a NOT LIKE
     negated = F.col("u").isin("LIKE", "ILIKE") & (F.col("l1") == "NOT")
@@ -201,15 +288,26 @@ def _side_rules() -> Column:
         (F.col("r2") == "(") & (F.col("r3") == ")") & fn(F.col("r1"), F.col("r1_kind"))
         & F.coalesce("r4", F.lit("")).isin(after) & (F.col("r3_cols") > F.col("r2_cols"))
     )
+    r1_named, r2, r4 = F.col("r1_kind") == "ident", F.col("r2"), F.coalesce("r4", F.lit(""))
+    right = right | r1_named & (r2 == "::") & r4.isin(*after, "(") | r1_named & (r2 == ".") & (r4 == "::") | (
+        r1_named & r2.isin("->", "->>") & r4.isin(after))
     span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     return (
         F.when(F.coalesce(left | field_left, F.lit(False)), span(l3_line, end))
         .when(F.coalesce(cast_left, F.lit(False)), span(at("l1_chain.line", "l2_chain.line"), end))
         .when(F.coalesce(case_left, F.lit(False)), span(F.col("case.line"), end))
-        .when(F.coalesce(right, F.lit(False)), span(F.col("r1_line"), F.col("r3_eline")))
+        .when(F.coalesce(right, F.lit(False)), span(F.col("r1_line"), F.coalesce("r3_eline", "r1_line")))
     )
 
 
+def _case_on_the_right() -> Column:
+    """(start, end) of a CASE over a column behind a comparison, given at its END; OPERAND_ENDS tells that no more follows."""
+    return F.when(
+        (F.col("u") == "END") & F.col("case.before").isin(COMPARISONS) & (F.col("columns") > F.col("case.columns"))
+        & F.coalesce("r1", F.lit("")).isin(OPERAND_ENDS),
+        F.struct(F.col("case.line").alias("start"), F.col("line").alias("end")))
+
+
 def sql_rows(grouped: DataFrame) -> DataFrame:
     """The few rows the rules need: direct hits, clause words, group marks, predicates, references and aliases."""
     u, n1, n2, n3 = F.col("u"), *[F.coalesce(c, F.lit("")) for c in ("n1", "n2", "n3")]
@@ -241,12 +339,17 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
         .when(here & word & (u == "CROSS") & (n1 == "JOIN"),
               span(F.lit("sql.cross_join"), F.col("nn_line"), F.col("nn_line")))
     )
-    side = F.when(here & u.isin(COMPARISONS), _side_rules())
+    side = F.when(here & u.isin(COMPARISONS), _side_rules()).when(here, _case_on_the_right())
     name = F.upper(F.regexp_replace("tok", '^["`]|["`]$', ""))
     ident = here & (F.col("kind") == "ident")
     in_from = F.col("clause").isin("FROM", "JOIN")
     ref = ident & (n1 == ".") & ((F.col("n2_kind") == "ident") | (n2 == "*")) & ~n3.isin(".", "(") & ~in_from
-    alias = ident & in_from & ~n1.isin(".", "(")
+    # a table that has another name is not known by its own; a name behind a table or a bracket is that other name
+    p_kind = F.coalesce("p_kind", F.lit(""))
+    renames = (p_kind == "ident") | p1.isin("AS", ")")
+    renamed = ~renames & ((n1 == "AS") | ((F.col("n1_kind") == "ident") & (n2 != "(")))
+    alias = ident & in_from & (n1 != ".") & ((n1 != "(") | renames) & ~F.coalesce(renamed, F.lit(False))
+    cte = ident & (F.col("clause") == "") & p1.isin("WITH", "RECURSIVE", ",") & n1.isin("AS", "(")
     mark = F.col("role").isin(-1, 1)
     select_group = F.when(F.col("role") == -1, u.isin("SELECT", "WITH", "INSERT", "CREATE")).otherwise(
         n1.isin("SELECT", "WITH"))
@@ -255,14 +358,15 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
         F.when(mark, "mark").when(F.col("role") == 2, "close")
         .when(here & (F.col("kind") == "end"), "close").when(here & F.col("ends"), "close")
         .when(here & word & u.isin(CLAUSES + ["TOP"]), "clause")
-        .when(here & u.isin(COMPARISONS) & (F.col("clause") != "SET"), "pred").when(ref, "ref").when(alias, "alias")
+        .when(here & (u.isin(COMPARISONS) | F.col("side").isNotNull()) & (F.col("clause") != "SET"), "pred").when(ref, "ref").when(alias, "alias")
+        .when(cte, "cte")
     )
     flagged = grouped.withColumns({"hit": hit, "side": side}).withColumn("rtype", rtype)
     return flagged.where(F.col("rtype").isNotNull() | F.col("hit").isNotNull()).select(
         *UNIT, "pos", "role", "glvl", "stmt", "rtype", "u", "hit", "side", "line", "nn_line",
         F.col("n1").alias("next"), F.col("group.id").alias("group_id"),
         F.col("group.opens_with").alias("opens_with"), name.alias("name"),
-        select_group.alias("select_group"), derived.alias("derived"), "span_line",
+        select_group.alias("select_group"), derived.alias("derived"), (p1 == "LATERAL").alias("lateral"), "span_line",
         F.when(F.col("role") == 1, F.col("nn_line")).alias("first_line"),
         F.lag("span_line").over(Window.partitionBy(*UNIT, "glvl").orderBy("pos", "role")).alias("p_span"),
     )
@@ -294,7 +398,7 @@ def token_context(rows: DataFrame) -> DataFrame:
     )
     # predicates and references look through every bracket level around them
     inside = F.col("rtype").isin("pred", "ref")
-    group = F.struct(F.col("group_id").alias("id"), "select_group", "derived", F.col("first_line").alias("start"))
+    group = F.struct(F.col("group_id").alias("id"), "select_group", "derived", "lateral", F.col("first_line").alias("start"))
     levels = F.when(inside, F.sequence(F.lit(0).cast("bigint"), F.col("glvl"))).otherwise(F.array("glvl"))
     by_level = Window.partitionBy(*UNIT, "at").orderBy("pos", F.when(F.col("role") == 2, -2).otherwise(F.col("role")))
     upto = by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -328,20 +432,25 @@ def clause_context(units: DataFrame) -> DataFrame:
     """Every comparison with whether it stands in a WHERE, HAVING or join condition."""
     tokens = sql_tokens(units).where(~F.col("broken"))
     context = token_context(sql_rows(bracket_groups(tokens)))
-    return context.where(F.col("rtype") == "pred").select(
+    return context.where((F.col("rtype") == "pred") & (F.col("u") != "END")).select(
         *UNIT, F.col("line").cast("int").alias("line"), F.col("u").alias("op"), "in_filter")
 
 
 def rule_hits(rows: DataFrame) -> DataFrame:
     """Finish the rules that need an enclosing group: filters, sorting without a limit, correlation."""
     per_token = token_context(rows)
-    scopes = F.filter("around", lambda a: a["in_group"]["select_group"])
+    # a query in FROM is a table, whatever stands before its bracket
+    tables = F.transform("around", lambda a, i: F.struct(
+        a["depth"].alias("depth"), a["in_group"].alias("in_group"),
+        (a["in_group"]["derived"] | F.coalesce(F.get("around", i + 1)["in_clause"].isin("FROM", "JOIN"), F.lit(False)))
+        .alias("derived")))
+    scopes = F.filter(tables, lambda a: a["in_group"]["select_group"])
     # rows per (group, name): aliases and the references that may resolve to them
     none = F.array().cast("array<struct<gid:int,depth:bigint>>")
     lookups = F.when(
         F.col("rtype") == "ref",
         F.transform(scopes, lambda a: F.struct(a["in_group"]["id"].alias("gid"), a["depth"].alias("depth")))
-    ).when(F.col("rtype") == "alias", F.array(F.struct(F.col("group_id").alias("gid"), F.lit(0).cast("bigint").alias("depth")))
+    ).when(F.col("rtype").isin("alias", "cte"), F.array(F.struct(F.col("group_id").alias("gid"), F.lit(0).cast("bigint").alias("depth")))
            ).otherwise(none)
     named = (
         per_token.withColumns({
@@ -354,22 +463,30 @@ def rule_hits(rows: DataFrame) -> DataFrame:
             "scopes": F.when(F.col("rtype") == "ref", scopes),
             "lookup": F.explode_outer(lookups),
         })
-        .withColumn("known", F.max(F.col("rtype") == "alias").over(
-            Window.partitionBy(*UNIT, "lookup.gid", F.when(F.col("lookup").isNotNull(), F.col("name")))))
+        .withColumns({rtype: F.max(F.col("rtype") == rtype).over(
+            Window.partitionBy(*UNIT, "lookup.gid", F.when(F.col("lookup").isNotNull(), F.col("name"))))
+            for rtype in ("alias", "cte")})
     )
     resolved = (
         named.groupBy(*UNIT, "pos", "role")
         .agg(
             F.first("rtype").alias("rtype"), F.first("hit").alias("hit"), F.first("wrapped").alias("wrapped"),
             F.first("scopes").alias("scopes"),
-            F.min(F.when((F.col("rtype") == "ref") & F.col("known"), F.col("lookup.depth"))).alias("found"),
+            F.min(F.when((F.col("rtype") == "ref") & F.col("alias"), F.col("lookup.depth"))).alias("found"),
+            F.max((F.col("rtype") == "ref") & F.col("cte")).alias("of_cte"),
             F.first("span_line").alias("span_line"), F.first("group_id").alias("group_id"),
         )
     )
-    # every subquery between the reference and the query that owns the name is correlated
+    # a name that its own query does not have comes from outside, be its owner known or not: every subquery up to the
+    # owner is correlated, as far as no query that is a table is in between; names of WITH are known everywhere inside.
+    # the outermost query is none's subquery
+    beyond = F.lit(1 << 40)
+    stop = F.array_min(F.transform(
+        F.filter("scopes", lambda a: a["derived"] & ~a["in_group"]["lateral"]), lambda a: a["depth"]))
     crossed = F.when(
-        F.col("found").isNotNull(),
-        F.filter("scopes", lambda a: (a["depth"] < F.col("found")) & ~a["in_group"]["derived"]),
+        (F.col("rtype") == "ref") & ~F.col("of_cte"),
+        F.filter(F.slice("scopes", F.lit(1), F.size("scopes") - 1),
+                 lambda a: (a["depth"] < F.least(F.coalesce("found", beyond), F.coalesce(stop, beyond))) & ~a["derived"]),
     )
     ends = F.when(F.col("rtype") == "close", F.array(F.struct(
         F.col("group_id").alias("gid"), F.lit(None).cast("bigint").alias("start"), F.col("span_line").cast("bigint").alias("end"))))

@@ -72,7 +72,13 @@ SQL_KEYWORDS = [
 # a token carries the blanks, line breaks and comments before it; an empty token ends the text
 PY_TOKEN = PY_TRIVIA[1:] + "(?:" + "|".join(_PY_PARTS) + ")"
 SQL_TOKEN = SQL_TRIVIA[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"
-SQL_TOKEN_PLAIN = SQL_TRIVIA[1:] + "(?:" + "|".join([r"'(?:[^']|'')*+'"] + _SQL_PARTS[2:]) + ")"
+_PLAIN_PARTS = [r"'(?:[^']|'')*+'"] + _SQL_PARTS[2:]
+SQL_TOKEN_PLAIN = SQL_TRIVIA[1:] + "(?:" + "|".join(_PLAIN_PARTS) + ")"
+# text between equal dollar marks is a string; a hash opens a comment
+SQL_DOLLAR = r"\$(\w*+)\$"
+SQL_TOKEN_DOLLAR = SQL_TRIVIA[1:] + "(?:" + "|".join([SQL_DOLLAR + r"[\s\S]*?\$\1\$"] + _PLAIN_PARTS) + ")"
+SQL_TRIVIA_HASH = SQL_TRIVIA.replace("|--", r"|#[^\n]*+|--")
+SQL_TOKEN_HASH = SQL_TRIVIA_HASH[1:] + "(?:" + "|".join(_SQL_PARTS) + ")"
 SCALA_SINGLE = r'^"(?:[^"\\]|\\[\s\S])*+"$'
 SCALA_TOKEN = "|".join(_SCALA_PARTS)
 FSTRING_MARK = "\u0001"  # put before the literal pieces of a split f-string

@@ -118,6 +118,36 @@ head = pairs.take(5000) + pairs.rdd.flatMap(list).collect()
     "uncorr.sql": ("SELECT a.x FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.k = k)\n", set()),
     "like.sql": ("SELECT a FROM t WHERE a NOT LIKE ('%x') AND b LIKE 'x%' AND c LIKE '%' || d\n", {("sql.leading_wildcard_like", 1)}),
     "open.sql": ("SELECT * FROM (SELECT 1\n", set()),
+    # --- brackets around operands
+    "brackets.sql": ("SELECT x FROM t WHERE (LOWER(a)) = 'x'\n OR ((LOWER(a))) = 'x'\n OR 'x' = (LOWER(a))\n"
+                     " OR 'x' = ((((LOWER(a)))))\n OR a LIKE (((('%x'))))\n OR ((a::int)) = 3\n OR 3 < ( -- note\n (CASE WHEN a > 1 THEN b END))\n"
+                     " OR (doc ->> 'k') = 'x' OR (TRIM((a))) NOT LIKE 'x%'\n",
+                     {*[("sql.function_on_column", i) for i in (1, 2, 3, 4, 6, 8, 9)], ("sql.leading_wildcard_like", 5)}),
+    "no_brackets.sql": ("SELECT x FROM t WHERE 1 + (LOWER(a)) = 'x' AND (LOWER(a)) + 1 = 'x' AND (LOWER(a) || b) = 'x'\n"
+                        " AND (LOWER('a')) = b AND 'x' = (LOWER(a)) || b AND a IN ((LOWER(b))) AND (a = b) AND COUNT((*)) = 1\n", set()),
+    "deep.sql": ("SELECT x FROM t WHERE " + "(" * 300 + "LOWER(a)" + ")" * 300 + " = 'x'\n", {("sql.function_on_column", 1)}),
+    # --- correlation
+    "unknown.sql": ("SELECT a.x FROM a WHERE EXISTS (\n SELECT 1 FROM b WHERE b.k = zz.k)\n", {("sql.correlated_subquery", 2)}),
+    "cte_name.sql": ("WITH c AS (SELECT 1 AS k), d (k) AS (SELECT zz.k FROM y)\nSELECT c.k FROM c WHERE EXISTS (\n"
+                     " SELECT 1 FROM b WHERE b.k = d.k AND b.j = c.j)\n", set()),
+    "schema_name.sql": ("SELECT x FROM s.a WHERE EXISTS (SELECT 1 FROM s.b WHERE s.b.k = b.j)\n AND EXISTS (\n SELECT 1 FROM s.b WHERE b.k = s.a.k)\n",
+                        {("sql.correlated_subquery", 3)}),
+    "renamed.sql": ("SELECT x FROM a WHERE EXISTS (\n SELECT 1 FROM b bb WHERE b.k = 1)\n AND EXISTS (SELECT 1 FROM b AS c WHERE c.k = 1)\n",
+                    {("sql.correlated_subquery", 2)}),
+    "table_query.sql": ("SELECT x FROM a, (SELECT zz.k FROM b) q, (SELECT c.k FROM c) r\n", set()),
+    "two_deep.sql": ("SELECT x FROM a WHERE a.k IN (\n SELECT b.k FROM b WHERE EXISTS (\n SELECT 1 FROM c WHERE c.k = a.k))\n",
+                     {("sql.in_subquery", 1), ("sql.correlated_subquery", 2), ("sql.correlated_subquery", 3)}),
+    "update.sql": ("UPDATE t SET x = (SELECT MAX(b.y) FROM b WHERE b.k = t.k)\n", set()),
+    "table_sample.sql": ("SELECT a.x FROM a WHERE EXISTS (SELECT 1 FROM b TABLESAMPLE (5 ROWS) WHERE b.k = 1)\n"
+                         " AND EXISTS (SELECT 1 FROM g(1) t(x, y) WHERE t.x = 1)\n", set()),
+    # --- readings
+    "hash.sql": ("# it's a note\nSELECT * FROM t -- it's\nWHERE q LIKE '%y' # the rest isn't\n",
+                 {("sql.select_star", 2), ("sql.leading_wildcard_like", 3)}),
+    "hash_first.sql": ("# a note\nSELECT DISTINCT a,\n # SELECT * FROM u\n b FROM t\n", {("sql.distinct", 2)}),
+    "hash_sign.sql": ("SELECT * FROM t WHERE a # b = 1 AND c = '#'\n", {("sql.select_star", 1)}),
+    "dollar.sql": ("SELECT * FROM t WHERE p = $$it's$$ AND q LIKE '%y'\n AND r LIKE $m$%it's$$ $m$\n",
+                   {("sql.select_star", 1), ("sql.leading_wildcard_like", 1), ("sql.leading_wildcard_like", 2)}),
+    "dollar_lines.sql": ("SELECT $$a\nSELECT DISTINCT x\n$$ AS a,\n t.* FROM t\n", {("sql.select_star", 4)}),
     # --- SQL in other files
     "embedded.py": ('q = ("SELECT * "\n     "FROM t WHERE id = 1")\nr = "SELECT *"\ns = f"select * from {t} where x like \'%a\'"\n',
                     {("sql.select_star", 1)}),
