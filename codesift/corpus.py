@@ -1,6 +1,6 @@
 """A corpus of source files derived from the orders table: one file per order.
 
-The text of a file is one of twenty templates, chosen by the order key; repository and path come from the
+The text of a file is one of a few templates, chosen by the order key; repository and path come from the
 keys too. It grows with the table and is used to exercise and measure the audit.
 """
 
@@ -160,6 +160,25 @@ WHERE p = 'C:\\dir\\' AND q LIKE '%y'
 """),
     (".py", """x = = 1
 df.iterrows()
+"""),
+    (".sql", """SELECT a FROM t@K@ WHERE ((LOWER(a))) = 'x' OR 'x' = (LOWER(b));
+SELECT a FROM t WHERE a LIKE (((('%x'))));
+"""),
+    (".sql", """# it's read by a nightly job
+SELECT a.x FROM a@K@ a WHERE EXISTS (
+  SELECT 1 FROM b WHERE b.k = zz.k
+)
+"""),
+    (".sql", "SELECT DISTINCT a FROM t@K@ WHERE p = $$it's$$ AND q LIKE $m$%it's$m$\n"),
+    (".py", """def f(df):
+        df.iterrows()
+    df.iterrows()
+"""),
+    (".py", """df.iterrows()
+x = [1 2]
+"""),
+    (".py", """s = f"{f'{df.iterrows()}'}"
+q = "\\N{SPACE}SELECT * FROM some_table_@K@"
 """),
 ]
 SKIPPED_TEMPLATE = 11  # lives under node_modules

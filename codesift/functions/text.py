@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from codesift import schemas as S
 LINE_BREAK = r"\r\n|\r|\n"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often and in whatever lambda body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every whitespace character, not spaces only."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

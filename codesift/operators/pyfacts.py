@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codesift.operators import tokens as TK
 
 # --- Fixed values: names the rules look for ---------------------------------------------------
 UDF_NAMES = ["udf", "pandas_udf"]
@@ -46,7 +49,7 @@ def token_events(tokens: DataFrame) -> DataFrame:
 
     Event types: method (x.name(...) a rule looks at), call (name(...)), deco (decorator), bind (assignment
     target), import (a token of an import statement), param (a Spark session parameter), handle (as name in a
-    with), concat (name += ...), bad (the file cannot be read).
+    with), concat (name += ...). why tells what makes the file unreadable.
     """
     tok, kind, n1, n2, p1 = F.col("tok"), F.col("kind"), F.col("n1"), F.col("n2"), F.col("p1")
     is_name, top = kind == "name", F.col("lvl") == 0
@@ -55,8 +58,7 @@ def token_events(tokens: DataFrame) -> DataFrame:
     named = p1 == "."
     annotated = top & (tok == "=") & (F.col("s2") == ":") & (F.col("s1_kind") == "name") & ~F.col("hdr")
     etype = (
-        F.when(F.col("bad"), "bad")
-        .when(in_import, "import")
+        F.when(in_import, "import")
         .when(is_name & named & (n1 == "(") & visited & tok.isin(RULE_METHODS), "method")
         .when(is_name & ~named & (n1 == "(") & visited & ~p1.isin("def", "class", "@"), "call")
         .when(is_name & (p1 == "@") & top & (F.col("ftok") == "@") & (F.col("p_pos") == F.col("first_pos"))
@@ -95,7 +97,7 @@ def token_events(tokens: DataFrame) -> DataFrame:
         | ((kind == "str") & (F.col("p_kind") == "str"))
     )
     return tokens.withColumn("etype", etype).select(
-        "file_id", "is_spark", "pos", "tok", "kind", "line", "eline", "lvl", "lline", "stmt", "etype",
+        "file_id", "is_spark", "pos", "tok", "kind", "line", "eline", "lvl", "lline", "stmt", "etype", "why",
         name.alias("name"),
         F.when(F.col("first"), F.struct("indent", "ftok", "f2", "hdr", "line")).alias("own"), "last",
         (~goes_on).alias("starts"), p1.alias("before"), "p_pos",
@@ -158,18 +160,20 @@ def line_events(chained: DataFrame) -> DataFrame:
     return (
         # cheap flags first; the wide event struct is built for the few kept tokens only
         chained.withColumns({"etype": etype, "is_value": is_value, "in_paren": F.coalesce(in_paren, F.lit(False))})
-        .where(F.col("own").isNotNull() | F.col("last") | any_kind)
+        .where(F.col("own").isNotNull() | F.col("last") | any_kind | F.col("why").isNotNull())
         .select("file_id", "lline", "is_spark", "eline", "own",
                 F.when(any_kind, F.struct(kinds.alias("kinds"), event.alias("e"))).alias("event"),
-                (F.col("kind") != "end").alias("real"), F.coalesce(F.col("etype") == "bad", F.lit(False)).alias("bad"))
+                (F.col("kind") != "end").alias("real"),
+                F.when(F.col("why").isNotNull(), F.struct("pos", "why", "eline")).alias("wrong"))
         .groupBy("file_id", "lline")
         .agg(
             F.first("is_spark").alias("is_spark"), F.first("own", ignorenulls=True).alias("own"),
-            F.max(F.when(F.col("real"), F.col("eline"))).alias("eline"), F.max("bad").alias("bad"),
+            F.max(F.when(F.col("real"), F.col("eline"))).alias("eline"), F.min("wrong").alias("wrong"),
             F.max("real").alias("real"), F.collect_list("event").alias("events"),
         )
         .select(
-            "file_id", "lline", "is_spark", "own.indent", "own.line", "own.hdr", "eline", "bad", "real",
+            "file_id", "lline", "is_spark", "own.indent", "own.line", "own.hdr", "eline", "real",
+            F.struct(F.col("wrong.eline").alias("line"), "wrong.why").alias("wrong"),
             F.flatten(F.transform("events", lambda x: F.transform(
                 F.filter(x["kinds"], lambda k: k.isNotNull()),
                 lambda k: F.struct(k.alias("etype"), x["e"].alias("e"))))).alias("events"),
@@ -188,6 +192,19 @@ def _iter_key(events: Column) -> Column:
                   & ~text.rlike(r"^[0-9]"), text)
 
 
+def with_levels(rows: DataFrame, hdr: Column, indent: Column, order: str) -> DataFrame:
+    """Add levels (the indents at which the file opens blocks) and p_indent (that of the line before)."""
+    before = Window.partitionBy("file_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("p_indent", F.last(indent, True).over(before)).withColumn(
+        "levels", F.collect_set(F.when(hdr, indent)).over(Window.partitionBy("file_id")))
+
+
+def wrong_dedent(indent: str | Column) -> Column:
+    """A line goes back to where no block of the file starts."""
+    indent = F.col(indent) if isinstance(indent, str) else indent
+    return F.coalesce((indent < F.col("p_indent")) & ~F.array_contains("levels", indent), F.lit(False))
+
+
 def enclosing_blocks(lines: DataFrame) -> DataFrame:
     """Give each logical line the chain of blocks around it (outermost first).
 
@@ -196,13 +213,17 @@ def enclosing_blocks(lines: DataFrame) -> DataFrame:
     """
     lines = lines.withColumn("key", F.when(F.col("head") == "for", _iter_key(F.col("events"))))
     per_file = Window.partitionBy("file_id")
-    levels = F.collect_set(F.when(F.col("hdr"), F.col("indent"))).over(per_file)
+    why = F.coalesce("wrong.why", F.when(F.col("real") & wrong_dedent("indent"), TK.WHY["dedent"]))
     spread = (
-        lines.withColumns({"levels": levels, "broken": F.max("bad").over(per_file)})
-        .where(~F.col("broken") & F.col("real"))
+        with_levels(lines, F.col("hdr"), F.col("indent"), "lline")
+        .withColumn("wrong", F.when(why.isNotNull(), F.struct(F.coalesce("wrong.line", "line").alias("line"), why.alias("why"))))
+        # the first wrong line of a file that cannot be read is all that stays of it
+        .withColumn("first_wrong", F.min("wrong").over(per_file))
+        .where(F.when(F.col("first_wrong").isNull(), F.col("real")).otherwise(F.col("wrong") == F.col("first_wrong")))
+        .withColumn("events", F.when(F.col("wrong").isNull(), F.col("events")).otherwise(F.slice("events", 1, 0)))
         .withColumn("level", F.explode(F.concat(F.array(F.lit(-1)), F.col("levels"))))
         .withColumn("events", F.when(F.col("level") == -1, F.col("events")))
-        .drop("levels", "broken", "bad", "real")
+        .drop("levels", "first_wrong", "real", "p_indent")
     )
     order = Window.partitionBy("file_id", "level").orderBy("lline").rowsBetween(Window.unboundedPreceding, 0)
     outer = F.col("indent") <= F.col("level")
@@ -222,7 +243,7 @@ def enclosing_blocks(lines: DataFrame) -> DataFrame:
         .agg(
             F.first("is_spark").alias("is_spark"), F.first("line").alias("line"), F.first("eline").alias("eline"),
             F.first("head").alias("head"), F.first("is_async").alias("is_async"), F.first("key").alias("key"),
-            F.first("hdr").alias("hdr"),
+            F.first("hdr").alias("hdr"), F.first("wrong").alias("wrong"),
             F.first("events", ignorenulls=True).alias("events"),
             F.array_sort(F.collect_list(F.when(inside, block))).alias("blocks"),
         )
@@ -331,9 +352,13 @@ def name_rows(lines: DataFrame) -> DataFrame:
     )
     has_import = F.exists("events", lambda x: x["etype"] == "import")
     event_type = lines.schema["events"].dataType.elementType["e"].dataType
+    none = F.array().cast(T.ArrayType(T.StructType([
+        T.StructField("etype", T.StringType()), T.StructField("e", event_type),
+        T.StructField("i", T._parse_datatype_string(f"struct<{_IMPORT}>")),
+        T.StructField("loop_line", T.LongType()), T.StructField("loop", T.LongType())])))
     no_event, no_name = F.lit(None).cast(event_type), F.lit(None).cast(f"struct<{_IMPORT}>")
     rows = (
-        lines.where((F.size("events") > 0) | (F.size("nested") > 0))
+        lines.where((F.size("events") > 0) | (F.size("nested") > 0) | F.col("wrong").isNotNull())
         .withColumns({
             "parens": F.when(F.exists("events", lambda x: x["etype"] == "paren"), _open_parens(F.col("events")))
             .otherwise(F.array().cast(f"array<{_PAREN}>")),
@@ -352,6 +377,11 @@ def name_rows(lines: DataFrame) -> DataFrame:
             F.transform("nested", lambda n: F.struct(
                 F.lit("nested").alias("etype"), no_event.alias("e"), no_name.alias("i"),
                 n["line"].alias("loop_line"), n["lline"].alias("loop"))),
+            F.when(F.col("wrong").isNotNull(), F.array(F.struct(
+                F.lit("bad").alias("etype"), no_event.alias("e"),
+                F.struct(F.lit("bad").alias("etype"), F.col("wrong.why").alias("name"), F.lit("").alias("module"),
+                         F.lit(False).alias("is_from"), F.lit(0).cast("bigint").alias("stmt")).alias("i"),
+                F.col("wrong.line").cast("bigint").alias("loop_line"), F.col("lline").alias("loop")))).otherwise(none),
         )))
         .select("file_id", "lline", "is_spark", "loop_depth", "scopes", "around", "parens", "eline", "x.*",
                 F.get(F.filter("values", lambda v: v["stmt"] == F.col("x.e.stmt")), F.lit(0)).alias("value"))
@@ -379,6 +409,7 @@ def name_rows(lines: DataFrame) -> DataFrame:
         (is_bind & F.coalesce((F.col("src.tok") == ")") & (F.col("src.callee") == "open"), F.lit(False))).alias("is_open"),
         F.coalesce("e.line", "loop_line").alias("line"),
         F.when(F.col("etype") == "nested", F.col("eline"))
+        .when(F.col("etype") == "bad", F.col("loop_line"))
         .when(F.col("etype") == "concat", F.col("value.eline"))
         .when((F.col("etype") == "deco") & ~F.col("e.called"), F.col("e.eline"))
         .otherwise(F.col("e.call_end")).alias("end_line"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.operators import pyfacts as P
@@ -79,13 +79,40 @@ def python_names(files: DataFrame) -> DataFrame:
     return P.names_per_file(P.name_rows(P.nested_pairs(python_lines(files))))
 
 
-def python_hits(files: DataFrame) -> DataFrame:
-    """Raw hits of the Python and Spark rules: file_id, unit_no (0), rule_id, start_line, end_line, pos."""
-    rule = F.when(F.col("etype") == "nested", F.lit("py.nested_same_iterable")).when(
+#: Rules on calls by name alone: they need no scopes and no assignments.
+NAME_ONLY = ["py.pandas_iterrows", "py.pandas_itertuples", "spark.cartesian", "spark.to_pandas", "spark.rdd_action"]
+
+
+def _plain_calls(files: DataFrame, rules: list[str]) -> DataFrame:
+    """Hits of NAME_ONLY rules from the tokens and their chains."""
+    chained = P.call_chains(P.token_events(TK.readable(TK.python_tokens(files), ends=True)))
+    names = {n: rule for rule, names, _, holds in METHOD_RULES for n in names if rule in rules}
+    rule = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("tok")]
+    wanted = (F.col("etype") == "method") & F.col("tok").isin(list(names))
+    levels = P.with_levels(
+        chained.where(wanted | F.col("own").isNotNull()), F.col("own.hdr"), F.col("own.indent"), "pos")
+    broken = F.max(P.wrong_dedent(F.col("own.indent")) & (F.col("kind") != "end")).over(Window.partitionBy("file_id"))
+    return levels.withColumn("broken", broken).where(~F.col("broken") & wanted).withColumn("rule_id", rule).where(
+        (F.col("rule_id") != "spark.rdd_action") | F.col("args.on_rdd")).select(
+        "file_id", F.lit(0).alias("unit_no"), "rule_id", F.col("chain.line").cast("int").alias("start_line"),
+        F.col("call_end").cast("int").alias("end_line"), "pos", F.lit(None).cast("string").alias("why"))
+
+
+def python_hits(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Raw hits of the Python and Spark rules, or at least of some: file_id, unit_no (0), rule_id, start_line, end_line, pos,
+    why.
+
+    A file that cannot be read gives one row of the rule `unreadable`, with its first wrong line and the reason in why.
+    """
+    if rules is not None and set(rules) <= set(NAME_ONLY):
+        return _plain_calls(files, rules)
+    rule = F.when(F.col("etype") == "bad", F.lit("unreadable")).when(
+        F.col("etype") == "nested", F.lit("py.nested_same_iterable")).when(
         F.col("etype") == "method", method_rule()).otherwise(name_rule())
     return (
         P.resolved_uses(python_names(files)).withColumn("rule_id", rule)
         .where(F.col("rule_id").isNotNull())
         .select("file_id", F.lit(0).alias("unit_no"), "rule_id",
-                F.col("line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "pos")
+                F.col("line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "pos",
+                F.when(F.col("etype") == "bad", F.col("name")).alias("why"))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesift.functions import text as X
 from codesift.operators import tokens as TK
 
 # --- Fixed values -----------------------------------------------------------------------------
@@ -37,6 +38,7 @@ ARITHMETIC = ["+", "-", "*", "/", "%", "||", "^", "&", "|", "::", "->", "->>", "
 # --- End of fixed values ----------------------------------------------------------------------
 
 UNIT = ["file_id", "unit_no"]
+UNREADABLE = "unreadable"
 
 # Words of which a text with a hit has at least one.
 TRIGGERS = {
@@ -133,16 +135,19 @@ def _loose_brackets(words: Column) -> Column:
 
 def without_loose_brackets(tokens: Column) -> Column:
     """Token texts without brackets around single operands; the blanks and comments before these go to the next token."""
-    gone = _loose_brackets(F.transform(tokens, lambda t: F.upper(F.regexp_replace(t, TK.SQL_TRIVIA, ""))))
+    lead = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
+    words = F.transform(tokens, lambda t: F.upper(F.regexp_replace(t, TK.SQL_TRIVIA, "")))
 
-    def rest(places: Column) -> Column:
-        kept = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~F.array_contains(places, i))
-        before = lambda k: F.when(k > 0, F.get(kept, k - 1)).otherwise(-1)
-        lead = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
-        return F.transform(kept, lambda i, k: F.concat(
-            F.array_join(F.transform(F.slice(tokens, before(k) + 2, i - before(k) - 1), lead), ""), F.get(tokens, i)))
+    def rest(gone: Column) -> Column:
+        """Tokens that stay, each behind what stood before the brackets between it and the one before it."""
+        kept = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~F.array_contains(gone, i))
+        spans = X.let(kept, lambda k: F.transform(
+            k, lambda i, n: F.struct(F.when(n > 0, F.get(k, n - 1)).otherwise(-1).alias("before"), i.alias("at"))))
+        return F.transform(spans, lambda x: F.when(x["at"] == x["before"] + 1, F.get(tokens, x["at"])).otherwise(F.concat(
+            F.array_join(F.transform(F.slice(tokens, x["before"] + 2, x["at"] - x["before"] - 1), lead), ""),
+            F.get(tokens, x["at"]))))
 
-    return F.get(F.transform(F.array(gone), lambda places: F.when(F.size(places) > 0, rest(places)).otherwise(tokens)), F.lit(0))
+    return X.let(_loose_brackets(words), lambda gone: F.when(F.size(gone) > 0, rest(gone)).otherwise(tokens))
 
 
 def sql_tokens(units: DataFrame) -> DataFrame:
@@ -204,8 +209,13 @@ def sql_tokens(units: DataFrame) -> DataFrame:
         "n_eline": F.lead("eline", 1).over(order),
         "columns": F.sum(F.col("is_column").cast("int")).over(upto),
         "span_line": F.last(F.when(F.col("is_span"), F.col("eline")), True).over(upto),
-        "broken": F.max((kind == "bad") | (F.col("depth") < 0)).over(whole) | (F.sum("step").over(whole) != 0),
-    }).drop("raw", "dialect", "start_line", "nl", "tok_nl", "step", "depth")
+        "wrong": F.min(F.when((kind == "bad") | (F.col("depth") < 0), F.col("pos"))).over(whole),
+        "left_open": F.sum("step").over(whole),
+    }).withColumns({
+        "broken": F.col("wrong").isNotNull() | (F.col("left_open") != 0),
+        # the place where an unreadable text shows it: the first wrong token, else its end
+        "shows": F.coalesce(F.col("pos") == F.col("wrong"), (kind == "end") & (F.col("left_open") != 0)),
+    }).drop("raw", "dialect", "start_line", "nl", "tok_nl", "step", "depth", "wrong", "left_open")
 
 
 def bracket_groups(tokens: DataFrame) -> DataFrame:
@@ -330,7 +340,8 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
     span = lambda rule, a, b: F.struct(rule.alias("rule_id"), a.alias("start"), b.alias("end"))
     line = F.col("line")
     hit = (
-        F.when(star, span(F.lit("sql.select_star"), line, line))
+        F.when(F.col("broken"), F.when(F.col("role") == 0, span(F.lit(UNREADABLE), line, line)))
+        .when(star, span(F.lit("sql.select_star"), line, line))
         .when(like, span(F.lit("sql.leading_wildcard_like"), operand_line, F.col("n_eline")))
         .when(subquery & negated, span(F.lit("sql.not_in_subquery"), operand_line, F.col("close_span")))
         .when(subquery, span(F.lit("sql.in_subquery"), operand_line, F.col("close_span")))
@@ -372,10 +383,24 @@ def sql_rows(grouped: DataFrame) -> DataFrame:
     )
 
 
-def sql_hits(units: DataFrame) -> DataFrame:
-    """Raw hits of the nine SQL rules: file_id, unit_no, rule_id, start_line, end_line, pos."""
-    tokens = sql_tokens(units).where(~F.col("broken"))
-    return rule_hits(sql_rows(bracket_groups(tokens)))
+#: Rules that a token and its neighbours in the same brackets decide: they need no query around them.
+LOCAL_RULES = [
+    "sql.select_star", "sql.leading_wildcard_like", "sql.not_in_subquery", "sql.in_subquery", "sql.distinct", "sql.cross_join",
+]
+
+
+def sql_hits(units: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Raw hits of the nine SQL rules, or of some: file_id, unit_no, rule_id, start_line, end_line, pos.
+
+    A text that no reading fits gives one row of the rule `unreadable` at the place where that shows.
+    """
+    tokens = sql_tokens(units)
+    rows = sql_rows(bracket_groups(tokens.where(~F.col("broken") | F.col("shows"))))
+    if rules is None or not set(rules) <= set(LOCAL_RULES):
+        return rule_hits(rows)
+    return rows.where(F.col("hit").isNotNull()).select(
+        *UNIT, "hit.rule_id", F.col("hit.start").cast("int").alias("start_line"),
+        F.greatest(F.col("hit.start"), F.coalesce("hit.end", "hit.start")).cast("int").alias("end_line"), "pos")
 
 
 def token_context(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,26 @@ _PY_PARTS = [
     r"\S",
     r"\z",
 ]
-_FSTRING_PIECES = r"(?:[^{}]|\{\{|\}\})++|\{(?:[^{}]|\{[^{}]*+\})*+\}|[\s\S]"
+_DEPTH = 8  # brackets within brackets that patterns of fields follow
+
+
+def _nested(opens: str, closes: str, depth: int = _DEPTH) -> str:
+    """What stands between brackets, with further such brackets inside."""
+    inner = f"[^{opens}{closes}]"
+    for _ in range(depth):
+        inner = f"(?:[^{opens}{closes}]|[{opens}](?:{inner})*+[{closes}])"
+    return inner
+
+
+_FSTRING_PIECES = r"(?:[^{}]|\{\{|\}\})++|\{" + _nested(r"\{", r"\}") + r"*+\}|[\s\S]"
+_FIELD = (
+    r"^(\{(?:[^:!{}()\[\]\"']|!=|[(\[{]" + _nested(r"(\[{", r")\]}") + r"*+[)\]}]|\"[^\"]*+\"|'[^']*+')*+)"
+    r"((?:![rsa])?(?::[^{}]*+)?)\}$")
+WHY = {
+    "literal": "unterminated string literal", "character": "unexpected character", "closes": "unmatched closing bracket",
+    "opens": "bracket was never closed", "syntax": "invalid syntax", "colon": "expected ':'",
+    "indent": "unexpected indent", "block": "expected an indented block", "dedent": "unindent does not match any outer level",
+}
 _NEVER_SIGNS = ["=", "==", "!=", "<", ">", "<=", ">=", "/", "//", "%", "&", "|", "^", "+=", "-=", "*=", "/="]
 _OPERATORS = ["=", "==", "!=", "<", ">", "<=", ">=", "+", "-", "/", "//", "%", "&", "|", "^", "+=", "-=", "*=", "/="]
 SQL_TRIVIA = r"^(?:[ \t\f\r\n]|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
@@ -85,7 +104,7 @@ FSTRING_MARK = "\u0001"  # put before the literal pieces of a split f-string
 
 
 def partition_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """The one shuffle of the audit: whole files by file_id, with their language and \\n line breaks.
+    """The one scan and shuffle of the audit: whole files by file_id, with their language and \\n line breaks.
 
     The count is explicit so that AQE does not merge partitions by their text size: the token rows made from it
     take roughly ten times as much. Give num_partitions as about (bytes of text / 32 MB) for a large corpus;
@@ -93,12 +112,16 @@ def partition_files(files: DataFrame, num_partitions: int | None = None) -> Data
     """
     num_partitions = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # computed below the exchange, so that no later stage repeats it per token
-    return files.select(
+    dealt = files.select(
         X.file_id(F.col("repo"), F.col("ref"), F.col("path")).alias("file_id"), "repo", "ref", "path",
         X.path_suffix(F.col("path")).alias("suffix"),
         X.classify(F.col("path"), F.col("content")).alias("language"),
         X.unify_newlines(F.col("content")).alias("content"),
     ).repartition(num_partitions, "file_id")
+    # always true and of all columns: no filter or projection of a branch goes below the exchange, so the exchanges of all
+    # branches of a plan are equal and Spark scans and shuffles the files once
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("binary")), F.lit(0)) for c in dealt.columns]
+    return dealt.where(F.monotonically_increasing_id() >= -sum(sizes[1:], sizes[0]))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -110,24 +133,41 @@ def _newlines(tok: Column) -> Column:
 
 
 def _py_split(content: Column) -> Column:
-    """Token texts of a Python file; f-strings are split so that the code in their fields is tokens too."""
+    """Token texts of a Python file; f-strings are split so that the code in their fields is tokens too.
+
+    A format specification is no code, unless it has fields of its own. Fields of f-strings in fields are split in further
+    rounds, as many as an f-string of the file has such strings.
+    """
     tokens = _matches(content, PY_TOKEN)
     f_string = PY_TRIVIA + r"(?i:f|fr|rf)[\"']"
 
     def piece(p: Column) -> Column:
-        inside = F.filter(_matches(p, PY_TOKEN), lambda t: t != "")
-        return F.when(p.startswith("{") & ~p.startswith("{{"), inside).otherwise(
-            F.array(F.concat(F.lit(FSTRING_MARK), p)))
+        rest = F.regexp_extract(p, _FIELD, 2)
+        code = F.when(rest != "", F.concat(F.regexp_extract(p, _FIELD, 1), F.lit("}"))).otherwise(p)
+        inside = F.filter(_matches(code, PY_TOKEN), lambda t: t != "")
+        inside = F.when(rest == "", inside).otherwise(F.concat(
+            F.slice(inside, F.lit(1), F.size(inside) - 1), F.array(F.concat(F.lit(FSTRING_MARK), rest), F.lit("}"))))
+        return F.when(p.startswith("{") & ~p.startswith("{{"), inside).otherwise(F.array(F.concat(F.lit(FSTRING_MARK), p)))
 
     def pieces(tok: Column) -> Column:
         found = F.flatten(F.transform(_matches(F.regexp_replace(tok, PY_TRIVIA, ""), _FSTRING_PIECES), piece))
         lead = F.regexp_extract(tok, "(" + PY_TRIVIA + ")", 0)
-        return F.concat(F.array(F.concat(lead, F.get(found, F.lit(0)))), F.slice(found, 2, F.size(found)))
+        return X.let(found, lambda f: F.concat(F.array(F.concat(lead, F.get(f, F.lit(0)))), F.slice(f, 2, F.size(f))))
 
-    split = F.flatten(
-        F.transform(tokens, lambda t: F.when(t.rlike(f_string), pieces(t)).otherwise(F.array(t)))
-    )
-    return F.when(content.rlike(r"(?i)\b(?:f|fr|rf)[\"']"), split).otherwise(tokens)
+    def split(all_tokens: Column) -> Column:
+        return F.flatten(F.transform(all_tokens, lambda t: F.when(t.rlike(f_string), pieces(t)).otherwise(F.array(t))))
+
+    def rounds(found: Column) -> Column:
+        """How many f-strings stand in one another at most: no more than one has of them."""
+        return F.coalesce(F.array_max(F.transform(
+            F.filter(found, lambda t: t.rlike(f_string)),
+            lambda t: F.size(_matches(t, r"(?i)(?<![\w])(?:f|fr|rf)[\"']")))), F.lit(0))
+
+    def nested(found: Column) -> Column:
+        return X.let(rounds(found), lambda n: F.when(n > 0, F.aggregate(
+            F.sequence(F.lit(1), n), found, lambda acc, _: split(acc))).otherwise(found))
+
+    return F.when(content.rlike(r"(?i)\b(?:f|fr|rf)[\"']"), X.let(split(tokens), nested)).otherwise(tokens)
 
 
 def _without_lead(raw: Column, pattern: str) -> Column:
@@ -215,8 +255,10 @@ def python_tokens(files: DataFrame) -> DataFrame:
             "last": (F.col("n_breaks") & (depth == 0)) | (F.col("n1_kind") == "end"),
             "line": F.col("eline") - F.col("tok_nl"),
             "lvl": F.when(step == 1, depth - 1).otherwise(depth),
-            "bad": (kind == "bad") | (depth < 0) | ((kind == "end") & (depth != 0)),
+            "why": F.when(kind == "bad", F.when(tok.isin('"', "'"), WHY["literal"]).otherwise(WHY["character"]))
+            .when(depth < 0, WHY["closes"]).when((kind == "end") & (depth != 0), WHY["opens"]),
         })
+        .withColumn("opens", last & (lvl == 0) & (tok == ":"))
         .drop("nl", "tok_nl", "breaks", "n_breaks", "step", "depth")
         .withColumns({
             "p1": F.when(first, "").otherwise(F.col("p1")), "p_kind": F.when(first, "").otherwise(F.col("p_kind")),
@@ -228,18 +270,26 @@ def python_tokens(files: DataFrame) -> DataFrame:
     mark = F.when(first, "first").when(top & tok.isin(":", "lambda") & kind.isin("op", "keyword"), tok)
     heads = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async"]
     soft = F.col("ftok").isin("match", "case") & ~F.col("f2").isin("=", ".", ":", ",", ")", "+=", "[", "")
-    # two operands in a row at the start of a line: not Python 3; two operators in a row of which the second is not a sign
-    misplaced = (
-        ~first & F.lag("first").over(order) & (F.col("p_kind") == "name") & kind.isin("name", "number", "str", "fstr")
-        & ~F.col("p1").isin("match", "case", "type")
-    ) | (~first & (kind == "op") & tok.isin(_NEVER_SIGNS) & F.col("p1").isin(_OPERATORS))
+    # two operands in a row (two texts are one), two operators of which the second is no sign, an operator at the end, a
+    # value for a value; names that are keywords in some places only may stand before an operand at the start of a line
+    operand, p_closes = kind.isin("name", "number", "str", "bytes"), F.col("p1").isin(")", "]", "}") & (F.col("p_kind") == "op")
+    p_operand = F.col("p_kind").isin("name", "number", "str", "bytes") | p_closes
+    texts = kind.isin("str", "bytes") & F.col("p_kind").isin("str", "bytes")
+    soft_before = F.lag("first").over(order) & F.col("p1").isin("match", "case", "type")
+    wrong_place = ~first & (
+        operand & p_operand & ~texts & ~soft_before
+        | (kind == "op") & tok.isin(_NEVER_SIGNS) & (F.col("p_kind") == "op") & F.col("p1").isin(_OPERATORS)
+        | (tok == "=") & top & F.col("p_kind").isin("number", "str", "bytes"))
+    wrong_end = last & (kind == "op") & tok.isin(*_OPERATORS, ".", "~")
     is_def = (F.col("ftok") == "def") | ((F.col("ftok") == "async") & (F.col("f2") == "def"))
     is_param = is_def & F.col("in_hdr") & (lvl == 1) & (kind == "name") & F.col("p1").isin("(", ",")
     return (
         toks.withColumns({
             "lline": F.sum(first.cast("int")).over(upto),
             "ftok": latest(first, tok), "f2": latest(first, F.col("n1")), "first_pos": latest(first, F.col("pos")),
-            "marked": F.last(mark, True).over(earlier), "misplaced": F.coalesce(misplaced, F.lit(False)),
+            "p_opens": F.coalesce(F.lag("opens").over(order), F.lit(False)),
+            "p_indent": F.coalesce(F.last(F.when(first, F.col("indent")), True).over(earlier), F.lit(0)),
+            "marked": F.last(mark, True).over(earlier), "misplaced": F.coalesce(wrong_place | wrong_end, F.lit(False)),
         })
         .withColumn("hdr", F.col("ftok").isin(heads) | soft)
         .withColumn("hcolon", F.col("hdr") & top & (tok == ":") & ~first & (F.col("marked") == "first"))
@@ -248,12 +298,15 @@ def python_tokens(files: DataFrame) -> DataFrame:
             "sep": F.col("hcolon") | (top & (tok == ";")),
         })
         .withColumns({
-            # a block head that ends without its colon
-            "bad": F.col("bad") | F.col("misplaced") | F.coalesce(
-                last & F.col("ftok").isin(heads) & F.col("in_hdr") & ~F.col("hcolon") & (first | (F.col("marked") == "first")),
-                F.lit(False)),
+            "why": F.coalesce(
+                F.col("why"), F.when(F.col("misplaced"), WHY["syntax"]).when(
+                    last & F.col("ftok").isin(heads) & F.col("in_hdr") & ~F.col("hcolon")
+                    & (first | (F.col("marked") == "first")), WHY["colon"]).when(
+                    first & F.col("p_opens") & ((F.col("indent") <= F.col("p_indent")) | (kind == "end")), WHY["block"]).when(
+                    first & ~F.col("p_opens") & (F.col("indent") > F.col("p_indent")) & (kind != "end"), WHY["indent"])),
         })
         .withColumns({
+            "bad": F.col("why").isNotNull(),
             "stmt": F.col("lline") + F.sum(F.col("sep").cast("int")).over(upto) - F.col("sep").cast("int"),
             "sstart": first | F.coalesce(F.lag("sep").over(order), F.lit(False)),
             "s1": F.last(F.when(F.col("sep"), F.col("n1")).when(first, tok), True).over(upto),
@@ -264,14 +317,14 @@ def python_tokens(files: DataFrame) -> DataFrame:
             "is_param": is_param, "param": latest(is_param, tok),
             "in_def": is_def & F.col("in_hdr"),
         })
-        .drop("marked", "misplaced", "sep")
+        .drop("marked", "misplaced", "sep", "opens", "p_opens", "p_indent")
     )
 
 
-def readable(tokens: DataFrame) -> DataFrame:
-    """Tokens of the files without a bad token."""
-    return tokens.withColumn("broken", F.max("bad").over(Window.partitionBy("file_id"))).where(
-        ~F.col("broken") & (F.col("kind") != "end"))
+def readable(tokens: DataFrame, ends: bool = False) -> DataFrame:
+    """Tokens of the files without a bad token, with or without the empty one at the end."""
+    tokens = tokens.withColumn("broken", F.max("bad").over(Window.partitionBy("file_id"))).where(~F.col("broken"))
+    return tokens if ends else tokens.where(F.col("kind") != "end")
 
 
 def lexical_problems(texts: DataFrame, tokens: Column, trivia: str, keys: list[str]) -> DataFrame:

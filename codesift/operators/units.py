@@ -12,13 +12,13 @@ from codesift.operators import tokens as TK
 _QUOTES = "(\"\"\"|'''|\"|')"
 
 
-_ESCAPED = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|[\s\S])|[^\\]+|\\"
+_ESCAPED = r"\\(?:N\{[^}]*+\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|[\s\S])|[^\\]+|\\"
 _PLAIN = {"\\\n": "", "\\n": "\n", "\\t": "\t", "\\r": "\r", "\\'": "'", '\\"': '"', "\\\\": "\\", "\\f": "\f",
           "\\v": "\v", "\\a": "\a", "\\b": "\b"}
 
 
 def _decode(body: Column) -> Column:
-    """Escapes of a Python literal, piece by piece; names of characters (\\N) and unknown escapes stay as they are."""
+    """Escapes of a Python literal, piece by piece; unknown escapes and unknown names stay as they are."""
 
     def character(code: Column) -> Column:
         number = code.cast("int")  # as two 16-bit units where it needs them, which decode() reads
@@ -32,7 +32,10 @@ def _decode(body: Column) -> Column:
         for escape, char in _PLAIN.items():
             out = out.when(p == escape, char)
         return (
-            out.when(p.rlike(r"^\\[xuU].."), character(F.conv(F.substring(p, F.lit(3), F.length(p)), 16, 10)))
+            # the virtual machine knows the names of characters
+            out.when(p.rlike(r"^\\N\{"), F.coalesce(character(F.try_reflect(
+                F.lit("java.lang.Character"), F.lit("codePointOf"), F.regexp_extract(p, r"\{(.*)\}", 1))), p))
+            .when(p.rlike(r"^\\[xuU].."), character(F.conv(F.substring(p, F.lit(3), F.length(p)), 16, 10)))
             .when(p.rlike(r"^\\[0-7]"), character(F.conv(F.substring(p, F.lit(2), F.length(p)), 8, 10))).otherwise(p)
         )
 
@@ -109,8 +112,10 @@ def sql_units(files: DataFrame) -> DataFrame:
     def looking_like_sql(literals: DataFrame) -> DataFrame:
         return literals.where(X.looks_like_sql(F.col("text")))
 
-    # a literal can be SQL only if its verb stands in the file, whole, split over literals, or spelled with an escape
-    verbs = "(?i)" + "|".join(r"(?:[\"']\s*[rbuf]{0,2}[\"'])?".join(v) for v in S.SQL_VERBS) + r"|\\[xuUN0-7]"
+    # a literal can be SQL only if its verb stands where a literal or a piece of an f-string starts, whole or split over
+    # literals, or is spelled with an escape
+    joint = r"(?:[\"']\s*[rbufRBUF]{0,2}[\"'])?"
+    verbs = r"(?i)[\"'}](?:[\s(]|\\\n|[rbuf]{0,2}[\"'])*(?:" + "|".join(joint.join(v) for v in S.SQL_VERBS) + r")|\\[xuUN0-7]"
     python = files.where((F.col("suffix") == ".py") & F.col("content").rlike(verbs))
     in_python = looking_like_sql(python_literals(python)).withColumn(
         "dialect", F.when(F.col("is_spark"), "spark").otherwise("sql")).select(*columns)

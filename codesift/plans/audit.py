@@ -36,24 +36,39 @@ def scannable(source_files: DataFrame, num_partitions: int | None = None) -> Dat
 def python_hits(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Hits of the Python and Spark rules, or of some. Files without any word that these need are not tokenized."""
     words = rules_py.triggers(rules)
-    hits = rules_py.python_hits(files.where((F.col("suffix") == ".py") & F.col("content").rlike(words)))
-    return hits if rules is None else hits.where(F.col("rule_id").isin(rules))
+    hits = rules_py.python_hits(files.where((F.col("suffix") == ".py") & F.col("content").rlike(words)), rules)
+    return _only(hits, rules)
 
 
 def sql_hits(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Hits of the SQL rules, or of some. Texts without any word that these need are not tokenized."""
     if rules is None:
-        return sqlfacts.sql_hits(units.sql_units(files))
+        return _only(sqlfacts.sql_hits(units.sql_units(files)), rules)
     words = "(?i)" + "|".join(sqlfacts.TRIGGERS[r] for r in rules)
     # in a literal a word may be spelled with an escape or split, so files are only left out by the text of units
     found = units.sql_units(files.where((F.col("suffix") != ".sql") | F.col("content").rlike(words)))
-    return sqlfacts.sql_hits(found.where(F.col("sql").rlike(words))).where(F.col("rule_id").isin(rules))
+    return _only(sqlfacts.sql_hits(found.where(F.col("sql").rlike(words)), rules), rules)
+
+
+def _only(hits: DataFrame, rules: list[str] | None) -> DataFrame:
+    hits = hits.where(F.col("rule_id") != sqlfacts.UNREADABLE) if rules is None else hits.where(F.col("rule_id").isin(rules))
+    return hits.drop("why")
+
+
+def scanned(files: DataFrame, all_files: bool = False) -> DataFrame:
+    """Hits of all rules before dedupe and cap, and what cannot be read: file_id, unit_no, rule_id, start_line, end_line, pos,
+    why. Rows of the rule `unreadable` have the line and the reason. all_files: those without any word of a rule too."""
+    python = files.where(F.col("suffix") == ".py")
+    python = python if all_files else python.where(F.col("content").rlike(rules_py.triggers()))
+    return rules_py.python_hits(python).withColumn("pos", F.col("pos").cast("bigint")).unionByName(
+        sqlfacts.sql_hits(units.sql_units(files)).withColumns({
+            "pos": F.col("pos").cast("bigint"),
+            "why": F.when(F.col("rule_id") == sqlfacts.UNREADABLE, "brackets or quotes do not add up")}))
 
 
 def raw_hits(files: DataFrame) -> DataFrame:
     """Hits of all rules before dedupe and cap: file_id, unit_no, rule_id, start_line, end_line, pos."""
-    return python_hits(files).withColumn("pos", F.col("pos").cast("bigint")).unionByName(
-        sql_hits(files).withColumn("pos", F.col("pos").cast("bigint")))
+    return _only(scanned(files), None)
 
 
 def enrich(hits: DataFrame, files: DataFrame) -> DataFrame:
@@ -92,39 +107,48 @@ def unreadable(files: DataFrame) -> DataFrame:
 
 
 def unreadable_sql(files: DataFrame) -> DataFrame:
-    """SQL units whose brackets or quotes do not add up however a backslash is read."""
+    """SQL units whose brackets or quotes do not add up in any reading."""
     tokens = sqlfacts.lexed(F.col("sql"), F.col("dialect"))
     return TK.lexical_problems(units.sql_units(files), tokens, TK.SQL_TRIVIA, ["file_id", "unit_no"])
 
 
-def unreadable_python(files: DataFrame) -> DataFrame:
-    """file_id and line of the first place where a Python file cannot be read; no rule looks at such a file."""
-    tokens = TK.python_tokens(files.where(F.col("suffix") == ".py"))
-    return tokens.where("bad").groupBy("file_id").agg(F.min("line").alias("bad_line"))
-
-
 def scan_report(source_files: DataFrame, num_partitions: int | None = None,
                 max_per_rule: int | None = None) -> DataFrame:
     """One row per scanned file: repo, ref, path, position, total, engine, n_candidates, detail.
 
-    position is the place of the file in its repository, ordered by the parts of its path.
+    position is the place of the file in its repository, ordered by the parts of its path. Hits and what cannot be read come
+    from the same pass over the tokens; detail has the first line that cannot be read and the reason.
     """
     files = scannable(source_files, num_partitions)
-    counts = rank.ranked(raw_hits(files), max_per_rule).groupBy("file_id").agg(
-        F.count("*").cast("int").alias("n"), F.max(F.col("unit_no") > 0).alias("embedded"))
-    reason = F.lit("unreadable: brackets or quotes do not add up")
-    problems = unreadable_sql(files).select("file_id", reason.alias("reason")).unionByName(unreadable_python(files).select(
-        "file_id", F.concat(F.lit("unreadable: line "), F.col("bad_line").cast("string")).alias("reason"))
-    ).groupBy("file_id").agg(F.max("reason").alias("reason"))
+    is_hit = F.col("rule_id") != sqlfacts.UNREADABLE
+    counts = rank.ranked(scanned(files, all_files=True), max_per_rule).groupBy("file_id").agg(
+        F.count_if(is_hit).cast("int").alias("n"), F.max(is_hit & (F.col("unit_no") > 0)).alias("embedded"),
+        F.min(F.when(~is_hit, F.struct("unit_no", "start_line", "why"))).alias("problem"))
+    reason = F.concat(
+        F.lit("unreadable: line "), F.col("problem.start_line").cast("string"), F.lit(": "), F.col("problem.why"))
     n = F.coalesce("n", F.lit(0))
     places = views.numbered(files.select("file_id", "repo", "ref", "path"), ["repo", "ref"]).select(
         "file_id", "position", "total")
     return (
-        files.select("file_id", "repo", "ref", "path", "suffix").join(places, "file_id").join(counts, "file_id", "left").join(problems, "file_id", "left")
+        files.select("file_id", "repo", "ref", "path", "suffix").join(places, "file_id").join(counts, "file_id", "left")
         .select(
             "repo", "ref", "path", "position", "total",
             F.when((F.col("suffix") == ".py") & F.col("embedded"), "tokens+sql").otherwise("tokens").alias("engine"),
             n.alias("n_candidates"),
-            F.when((n == 0) & F.col("reason").isNotNull(), F.col("reason")).when(n == 0, "no issues").otherwise("").alias("detail"),
+            F.when((n == 0) & reason.isNotNull(), reason).when(n == 0, "no issues").otherwise("").alias("detail"),
         )
     )
+
+
+def summary(source_files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Job summary of a scan whose candidates all become findings: repo, ref, files_scanned, candidates_found, findings_count.
+
+    Files and hits are counted in one grouping; the audit is planned and run once, and no snippet is made.
+    """
+    files = scannable(source_files, num_partitions)
+    # hits are counted beside their files, where both lie already
+    per_file = rank.ranked(raw_hits(files)).groupBy("file_id").agg(F.count("*").alias("hits"))
+    counted = files.select("file_id", "repo", "ref").join(per_file.hint("shuffle_hash"), "file_id", "left")
+    hits = F.coalesce(F.sum("hits"), F.lit(0)).cast("int")
+    return counted.groupBy("repo", "ref").agg(
+        F.count("*").cast("int").alias("files_scanned"), hits.alias("candidates_found"), hits.alias("findings_count"))

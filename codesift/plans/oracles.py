@@ -26,6 +26,9 @@ EXPECTED = [
     (16, "sql.select_star", 2, 2), (16, "sql.order_without_limit", 2, 2),
     *[(17, "sql.function_on_column", line, line) for line in range(1, 6)], (17, "sql.leading_wildcard_like", 6, 6),
     (18, "sql.select_star", 1, 1), (18, "sql.leading_wildcard_like", 3, 3),
+    (20, "sql.function_on_column", 1, 1), (20, "sql.leading_wildcard_like", 2, 2), (21, "sql.correlated_subquery", 3, 3),
+    (22, "sql.distinct", 1, 1), (22, "sql.leading_wildcard_like", 1, 1),
+    (25, "py.pandas_iterrows", 1, 1), (25, "sql.select_star", 2, 2),
 ]
 N = len(TEMPLATES)
 
@@ -135,6 +138,7 @@ ORACLES |= {
         (5, 9, "a"), (5, 11, "a"), (6, 5, ""), (7, 4, "string"), (7, 9, "o@K@"), (7, 17, "k"), (8, 7, "x.collect()"),
         (9, 2, "\n      SELECT r.*\n      FROM ramp@K@ r ORDER BY r.seen\n    "),
         (16, 2, " SELECT * FROM t@K@ ORDER BY x"), (15, 4, "p"), (15, 5, "a > 1"), (15, 8, "a"),
+        (25, 2, " SELECT * FROM some_table_@K@"),
     ], "path AS file_path, line AS start_line, replace(t, '@K@', k::VARCHAR) AS text"),
     "scala_string_literals": by_template("tid, line, t", [
         (10, 2, "\n    SELECT DISTINCT a.id\n    FROM t@K@ a\n    "), (10, 6, "short"),
@@ -143,23 +147,27 @@ ORACLES |= {
     "sql_units": by_template("tid, line, dialect, t", [
         *[(i, 1, "sql", TEMPLATES[i][1]) for i in range(5)],
         (9, 2, "sql", "\n      SELECT r.*\n      FROM ramp@K@ r ORDER BY r.seen\n    "),
-        (16, 2, "sql", " SELECT * FROM t@K@ ORDER BY x"), *[(i, 1, "sql", TEMPLATES[i][1]) for i in (17, 18)],
+        (16, 2, "sql", " SELECT * FROM t@K@ ORDER BY x"), *[(i, 1, "sql", TEMPLATES[i][1]) for i in (17, 18, 20, 21, 22)],
+        (25, 2, "sql", " SELECT * FROM some_table_@K@"),
         (10, 2, "spark", "\n    SELECT DISTINCT a.id\n    FROM t@K@ a\n    "),
         (10, 7, "spark", "SELECT * FROM table_@K@ x"),
     ], "path AS file_path, line AS start_line, dialect, replace(t, '@K@', k::VARCHAR) AS sql"),
     "sql_statements": by_template("tid, line, n", [
         (0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 9), (4, 1, 1), (9, 2, 1), (10, 2, 1), (10, 7, 1),
         (16, 2, 1), (17, 1, 7), (18, 1, 1),
+        (20, 1, 2), (21, 1, 1), (22, 1, 1), (25, 2, 1),
     ], "path AS file_path, line AS start_line, n::BIGINT AS n_statements"),
     "comment_mask": by_template("tid, w, n", [
         (0, "SELECT", 1), (1, "SELECT", 3), (2, "SELECT", 2), (3, "SELECT", 9), (4, "SELECT", 2), (9, "SELECT", 1),
         (10, "SELECT", 2), (7, "collect", 1), (7, "toPandas", 1), (8, "collect", 3), (15, "collect", 1),
         (16, "SELECT", 1), (17, "SELECT", 7), (18, "SELECT", 1),
+        (20, "SELECT", 2), (21, "SELECT", 2), (22, "SELECT", 1), (25, "SELECT", 1),
     ], "path AS file_path, w AS word, n::BIGINT AS n"),
     "sql_clause_context": by_template("tid, line, op, c", [
         (0, 3, "LIKE", True), (0, 4, "<", True), (1, 8, "=", True), (17, 1, "=", True), (17, 2, "=", True), (17, 3, "LIKE", True),
         (17, 4, ">", True), (17, 4, "=", True), (17, 5, "=", True), (17, 6, "LIKE", True), (17, 7, "=", True),
         (17, 7, "=", True), (18, 3, "=", True), (18, 3, "LIKE", True), (2, 5, "=", True), (2, 8, ">", True),
+        (20, 1, "=", True), (20, 1, "=", True), (20, 2, "LIKE", True), (21, 3, "=", True), (22, 1, "=", True), (22, 1, "LIKE", True),
     ], "path AS file_path, line, op, c AS in_filter"),
     "py_imports": by_template("tid, l, m", [
         (5, "pd", "pandas"), (6, "time", "time"), (6, "nap", "time.sleep"), (7, "F", "pyspark.sql.functions"),
@@ -171,7 +179,7 @@ ORACLES |= {
         *[(7, line, name, "spark") for line, name in zip((9, 10, 11, 13, 15, 16, 17, 18, 19, 20, 21, 22), "orpnxyzabcde")],
         (8, 6, "rows", "spark"), (8, 7, "txt", "string"),
         (9, 2, "query", "string"),
-        (15, 2, "spark", "spark"), (15, 3, "df", "spark"), (15, 7, "rows", "spark"),
+        (15, 2, "spark", "spark"), (15, 3, "df", "spark"), (15, 7, "rows", "spark"), (25, 2, "q", "string"),
     ], "path AS file_path, line, n AS name, tag"),
     "py_scopes": by_template("tid, line", [
         *[(5, i) for i in range(4, 13)], *[(6, i) for i in range(5, 15)], (7, 6), *[(7, i) for i in range(9, 23)],
@@ -189,6 +197,7 @@ ORACLES |= {
         (7, 15, "coalesce", "o"), (7, 16, "repartition", "o"), (7, 17, "repartition", "o"), (7, 18, "take", "o"),
         (7, 19, "take", "o"), (7, 20, "map", "o"), (7, 21, "map", "o"), (8, 4, "collect", "gc"), (8, 5, "collect", "q"),
         (8, 6, "collect", "spark"), (14, 4, "apply", "seen"), (15, 8, "collect", "df"),
+        (25, 1, "iterrows", "df"),
     ], "path AS file_path, line, m AS method, r AS root"),
     "py_calls": by_template("tid, line, m, a", [
         (6, 9, "sleep", 1), (6, 13, "read", 10), (7, 15, "coalesce", 1), (7, 16, "repartition", 8), (7, 18, "take", 999), (7, 19, "take", 1000),
@@ -225,8 +234,10 @@ ORACLES |= {
     "scan_report": f"""WITH {FILES}, e(tid, n) AS (SELECT tid, count(*) FROM (VALUES {values(EXPECTED)}) v(tid, r, s, e) GROUP BY tid)
         SELECT repo, path, row_number() OVER (PARTITION BY repo, ref ORDER BY string_split(path, '/')) AS position,
           count(*) OVER (PARTITION BY repo, ref) AS total,
-          CASE WHEN tid IN (9, 16) THEN 'tokens+sql' ELSE 'tokens' END AS engine, coalesce(n, 0)::INT AS n_candidates,
-          CASE WHEN tid = 13 THEN 'unreadable: line 2' WHEN tid = 19 THEN 'unreadable: line 1' WHEN n IS NULL THEN 'no issues' ELSE '' END AS detail
+          CASE WHEN tid IN (9, 16, 25) THEN 'tokens+sql' ELSE 'tokens' END AS engine, coalesce(n, 0)::INT AS n_candidates,
+          CASE tid WHEN 13 THEN 'unreadable: line 2: bracket was never closed' WHEN 19 THEN 'unreadable: line 1: invalid syntax'
+            WHEN 23 THEN 'unreadable: line 3: unindent does not match any outer level'
+            WHEN 24 THEN 'unreadable: line 2: invalid syntax' ELSE CASE WHEN n IS NULL THEN 'no issues' ELSE '' END END AS detail
         FROM f LEFT JOIN e USING (tid) WHERE tid NOT IN (11, 12)""",
     "scan_summary": f"""WITH {FILES}, e(tid, rule_id, s, e) AS (VALUES {values(EXPECTED)}),
         r(rule_id, title) AS (VALUES {values([(a, t) for a, t, _ in S.RULES])})

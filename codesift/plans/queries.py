@@ -201,10 +201,7 @@ def default_findings(t):
 
 @query
 def job_summary(t):
-    source = corpus(t)
-    scanned = source.where(X.is_supported(F.col("path")))
-    found = audit.candidates(source, t.partitions("orders"))
-    return views.job_summary(scanned, found, N.default_findings(N.with_ids(found, F.lit("job1"))))
+    return audit.summary(corpus(t), t.partitions("orders"))
 
 
 @query

@@ -91,6 +91,28 @@ head = pairs.take(5000) + pairs.rdd.flatMap(list).collect()
     "capped.py": ("".join(f"d{i}.iterrows()\n" for i in range(9)), {("py.pandas_iterrows", i) for i in range(1, 10)}),
     "node_modules/skip.py": ("df.iterrows()\n", set()),
     "upper.PY": ("df.iterrows()\n", {("py.pandas_iterrows", 1)}),
+    # --- files that cannot be read
+    "dedent.py": ("def f(df):\n        df.iterrows()\n    df.iterrows()\n", set()),
+    "dedent_all.py": ("import pandas as pd\ndef f(df):\n        df = pd.DataFrame()\n    df.apply(len)\n", set()),
+    "indent.py": ("x = 1\n  df.iterrows()\n", set()),
+    "first_indent.py": ("  df.iterrows()\n", set()),
+    "no_block.py": ("df.iterrows()\nif x:\ny = 1\n", set()),
+    "block_at_end.py": ("df.iterrows()\nif x:\n", set()),
+    "assigned.py": ("df.iterrows()\n1 = x\n", set()),
+    "no_comma.py": ("df.iterrows()\nx = [1 2]\n", set()),
+    "no_comma_call.py": ("df.iterrows()\nf(a b)\n", set()),
+    "open_end.py": ("df.iterrows()\nx = 1 +\n", set()),
+    "comma_text.py": ("df.iterrows()\nf(a 'b')\n", set()),
+    "readable.py": ("@deco\nclass A(B, metaclass=C):\n    x: int = 1; y = -1\n\n    async def f(self, *a, b=1, **c) -> int:\n"
+                    "        async with a as b, c as d:\n            return await b\n        return [x for x in a if x] or {**c}\n"
+                    "match x:\n    case [1, y]: pass\n    case {'a': 1} | None:\n        pass\n    case -1:\n        pass\n"
+                    "type T = int\nx = f'{x!r:>{w}} {y:10.2f} {z:0>5d} {x=} {a:%Y-%m-%d}' 'b' f\"c\"\nif (\n  x\n    ): y\nelse: z\n"
+                    "for i in range(3): pass\nx = \\\n  1\nprint(*a, **b)\nx = a if b else c\nfrom m import *\nx = lambda *a, **k: (a, k)\n"
+                    "try:\n\tx\nexcept* E as e:\n\traise X from e\nfinally:\n\tdel x[1:2, ::3]\ndf.iterrows()\n", {("py.pandas_iterrows", 34)}),
+    "names.py": (r'q = "\N{SPACE}SELECT DISTINCT a FROM orders"' + "\n" + r'r = "\N{no such name} SELECT * FROM orders"' + "\n",
+                 {("sql.distinct", 1)}),
+    "nested_fields.py": ("s = f\"{f'{df.iterrows()}'}\"\nt = f\"\"\"{f'{f\"{df.itertuples()}\"}'}\"\"\"\nu = f'{x:{w}}' + f'{ {1: 2}[1] }'\n",
+                         {("py.pandas_iterrows", 1), ("py.pandas_itertuples", 2)}),
     # --- SQL edges
     "count.sql": ("SELECT COUNT(*), a * b FROM t LIMIT 1\n", set()),
     "t_star.sql": ("SELECT t.*,\n  u.x\nFROM t JOIN u ON t.a = u.a\n", {("sql.select_star", 1)}),
@@ -219,4 +241,22 @@ def test_plan_sends_no_contents_around(spark):
     plan = audit.candidates(files, 8)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") == 1 and plan.count("ShuffledHashJoin") >= 1
     dealt = [line for line in plan.splitlines() if " Exchange " in line]
-    assert len(dealt) <= 5 and all("hashpartitioning(file_id" in line for line in dealt)
+    assert all("hashpartitioning(file_id" in line for line in dealt)
+
+
+def test_files_are_read_and_shuffled_once(spark, tmp_path):
+    """All branches of a plan take their files from one scan and one exchange; the audit is in a summary once."""
+    rows = [("r", "main", path, "", len(text), text) for path, (text, _) in CASES.items()]
+    spark.createDataFrame(rows, "repo string, ref string, path string, sha string, size bigint, content string").write.parquet(
+        str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    windows = {}
+    for name, df in (("candidates", audit.candidates(files, 8)), ("summary", audit.summary(files, 8)), ("report", audit.scan_report(files, 8))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        by_file = [line for line in plan.splitlines() if " Exchange hashpartitioning(file_id" in line and "Reused" not in line]
+        assert len(scans) == 1 and len(by_file) == 1, name
+        assert plan.count("ReusedExchange") >= 3, name
+        windows[name] = plan.count("Window [")
+    assert windows["summary"] <= windows["candidates"]
