@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codesift.llm.quality_rules import STOP_WORDS
-from codesift.llm.secret_scan import ALLOWED, ASSIGN, CLASSES
+from codesift.llm.secret_scan import ASSIGN, CLASSES
 
 QUALITY_RULES = f"""
 WITH d AS (
@@ -59,18 +59,24 @@ def _spans(kind: str, place: int, pattern: str, keep: str) -> str:
 
 
 def _windows(kind: str) -> str:
-    """Spans of an entropy class: every window's counts are taken anew."""
+    """Spans of an entropy class: runs are cut at what is allowed, and every window's counts are taken anew."""
     c = next(x for x in CLASSES if x.kind == kind)
-    needs = " AND ".join(f"regexp_matches(word, '{x}')" for x in c.needs)
+    needs = " AND ".join(f"regexp_matches({{}}, '{x}')" for x in c.needs)
     # one character over and over: written out, as there are no back references here
-    allowed = ALLOWED.replace(r"|(.)\1{5}", "")
     runs = "|".join(x + "{6}" for x in [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/_=-", r"\+"])
-    found = _spans(kind, 3 + CLASSES.index(c), f"[{c.characters}]{{{c.window},}}",
-                   f"{needs} AND NOT regexp_matches(word, '{allowed}') AND NOT regexp_matches(word, '{runs}')")
-    window = f"substring(word, (i + 1)::BIGINT, {c.window})"
+    allowed = c.allowed.replace(r"(.)\1{5}", runs)
+    found = _spans(kind, 3 + CLASSES.index(c), f"[{c.characters}]{{{c.window},}}", needs.format(*["word"] * len(c.needs)))
+    window = f"substring(part, (i + 1)::BIGINT, {c.window})"
     return f"""
-  SELECT r, start + min(i) AS start, place, kind, start + max(i) + {c.window} AS "end", word FROM (
-    SELECT *, unnest(range(0, length(word) - {c.window - 1})) AS i FROM ({found}))
+  SELECT r, start + min(before + i) AS start, place, kind, start + max(before + i) + {c.window} AS "end", word FROM (
+    SELECT *, unnest(range(0, length(part) - {c.window - 1})) AS i FROM (
+      SELECT *, parts[k] AS part,
+             coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: length(x))), 0)
+               + coalesce(list_sum(list_transform(gone[1:k - 1], lambda x: length(x))), 0) AS before
+      FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (
+        SELECT *, string_split_regex(word, '{allowed}') AS parts, regexp_extract_all(word, '{allowed}', 0) AS gone
+        FROM ({found})))
+    ) WHERE length(part) >= {c.window} AND {needs.format(*["part"] * len(c.needs))})
   WHERE list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c:
           list_transform([len(list_filter(string_split({window}, ''), lambda x: x = c))],
                          lambda n: round(n * log2(n) * 1000000))[1]))
@@ -78,12 +84,14 @@ def _windows(kind: str) -> str:
   GROUP BY r, start, place, kind, word"""
 
 
+_ENTROPY_SPANS = " UNION ALL ".join(_windows(c.kind) for c in CLASSES)
+
 SECRET_SCAN = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_spans("assign", 0, ASSIGN, "length(regexp_extract(word, '" + ASSIGN.replace("'", "''") + "', 2)) >= 6")}
   UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(word) >= 20")}
   UNION ALL {_spans("hex", 2, "[0-9a-f]+", "length(word) >= 24")}),
-spans AS (SELECT * FROM base UNION ALL {_windows("entropy_hex")} UNION ALL {_windows("entropy_mixed")}),
+spans AS (SELECT * FROM base UNION ALL {_ENTROPY_SPANS}),
 b AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,

@@ -26,34 +26,39 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be found and dropped
 
-#: Candidates that are no secrets: placeholders, counting sequences, one character over and over, digests of files.
+#: Parts of candidates that are no secrets: placeholders, counting sequences, digests of files with their names, one
+#: character over and over.
 ALLOWED = (
-    r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|abcdefgh)|^sha(?:256|384|512)-|(.)\1{5}"
+    r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|abcdefgh)"
+    r"|^sha(?:256|384|512)-[A-Za-z0-9+/]+=*|(.)\1{5}"
 )
-#: The same where only parts of a run are taken out, so that a digest of a file goes with its name.
-ALLOWED_PARTS = ALLOWED.replace("-|(.)", "-[A-Za-z0-9+/]+=*|(.)")
+#: Words in names, paths and addresses: behind a separator, or long ones. Of 24 random letters of both cases, digits and
+#: signs about one in twenty holds one.
+WORDS = "[/_-][A-Z]?[a-z]{3,}|[A-Z]?[a-z]{7,}"
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """Maximal runs of the characters that hold each of needs; a window with bits or more of entropy is reported.
-
-    Windows that overlap or touch a match of ALLOWED_PARTS are not; the rest of their run is.
-    """
+    """Maximal runs of the characters, cut at all matches of allowed; of the parts that hold each of needs, windows with
+    bits or more of entropy are reported, from the first such window of a run to its last one."""
 
     kind: str
     characters: str
     needs: tuple[str, ...]
     window: int
     bits: float
+    allowed: str = ALLOWED
 
 
 CLASSES = (
     EntropyClass("entropy_hex", "0-9A-Fa-f", ("[0-9]", "[A-F]"), 24, 3.0),
-    EntropyClass("entropy_mixed", "A-Za-z0-9+/_=-", ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Fa-f]"), 24, 3.9),
+    EntropyClass("entropy_mixed", "A-Za-z0-9+/_=-", ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Fa-f]"), 24, 3.9, f"{ALLOWED}|{WORDS}"),
     EntropyClass("entropy_lower", "0-9a-z", ("[0-9]", "[g-z]"), 24, 3.6),
     EntropyClass("entropy_upper", "0-9A-Z", ("[0-9]", "[G-Z]"), 24, 3.5),
 )
+#: Windows that are counted from one string: finding a place in a string takes time with the place, so long parts are cut
+#: twice, each piece long enough for its last window.
+_PIECE, _BLOCK = 16_384, 256
 BASE_KINDS = ("assign", "access", "hex")
 #: Count times its binary logarithm is held as a whole number of millionths: added and taken away without drift.
 UNIT = 1_000_000
@@ -132,33 +137,65 @@ def _hot(word: Column, kind: EntropyClass) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)
 
 
-def _hot_parts(word: Column, kind: EntropyClass) -> Column:
-    """_hot() over the parts of a run between allowed matches and the characters next to those."""
+def _cut(word: Column, window: int, size: int) -> Column:
+    """array<struct<at, piece>>: pieces of the word with size windows each, the last with what is left."""
+    return F.transform(
+        F.sequence(F.lit(0), F.length(word) - window, F.lit(size)),
+        lambda at: F.struct(at.alias("at"), F.substring(word, at + 1, F.lit(size + window - 1)).alias("piece")))
+
+
+def _wanted(word: Column, kind: EntropyClass) -> Column:
+    keep = F.lit(True)
+    for need in kind.needs:
+        keep = keep & F.rlike(word, F.lit(need))
+    return keep
+
+
+def _pieces(word: Column, kind: EntropyClass) -> Column:
+    """array<struct<at, piece>>: the parts of a run between allowed matches, in pieces of bounded length."""
 
     def parts(found: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda m: m["start"] + F.length(m["word"]) + 1))
-        ends = F.concat(F.transform(found, lambda m: m["start"] - 1), F.array(F.length(word).cast("long")))
-        both = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("at"), (b - a).cast("int").alias("n")))
-        return F.transform(F.filter(both, lambda x: x["n"] >= kind.window), lambda x: _let(
-            _hot(F.substring(word, x["at"] + 1, x["n"]), kind),
-            lambda hot: F.struct((x["at"] + hot["first"]).alias("first"), (x["at"] + hot["last"]).alias("last"))))
+        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda m: (m["start"] + F.length(m["word"])).cast("int")))
+        ends = F.concat(F.transform(found, lambda m: m["start"].cast("int")), F.array(F.length(word)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), F.substring(word, a + 1, b - a).alias("piece")))
+
+    def finer(pieces: Column, size: int) -> Column:
+        return F.flatten(F.transform(pieces, lambda x: F.transform(
+            _cut(x["piece"], kind.window, size),
+            lambda y: F.struct((x["at"] + y["at"]).alias("at"), y["piece"].alias("piece")))))
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), word.alias("piece")))
+    cut = F.when(F.rlike(word, F.lit(kind.allowed)), _let(_matches(word, kind.allowed), parts)).otherwise(whole)
+    kept = F.filter(cut, lambda x: (F.length(x["piece"]) >= kind.window) & _wanted(x["piece"], kind))
+    return finer(finer(kept, _PIECE), _BLOCK)
+
+
+def _hull(word: Column, kind: EntropyClass) -> Column:
+    """struct<first, last>: starts of the first and the last hot window of a run, or nulls.
+
+    Pieces are looked at from the front up to the first with a hot window, then from the back up to the last such one.
+    """
+
+    def ways(pieces: Column) -> Column:
+        way = lambda back: lambda x: F.struct(x["at"].alias("at"), x["piece"].alias("piece"), F.lit(back).alias("back"))
+        back = F.when(F.size(pieces) > 1, F.reverse(pieces)).otherwise(F.slice(pieces, 1, 0))
+        return F.concat(F.transform(pieces, way(False)), F.transform(back, way(True)))
+
+    def step(acc: Column, x: Column) -> Column:
+        needed = F.when(x["back"], acc["first"].isNotNull() & ~acc["done"]).otherwise(acc["first"].isNull())
+        return _let(F.when(needed, _hot(x["piece"], kind)), lambda hot: F.struct(
+            F.coalesce(acc["first"], x["at"] + hot["first"]).alias("first"),
+            F.coalesce(x["at"] + hot["last"], acc["last"]).alias("last"),
+            (acc["done"] | (x["back"] & hot["last"].isNotNull())).alias("done")))
 
-    cut = _let(_let(_matches(word, ALLOWED_PARTS), parts), lambda x: F.struct(
-        F.array_min(F.transform(x, lambda y: y["first"])).alias("first"),
-        F.array_max(F.transform(x, lambda y: y["last"])).alias("last")))
-    whole = _let(_hot(word, kind), lambda hot: F.struct(hot["first"].alias("first"), hot["last"].alias("last")))
-    return F.when(F.rlike(word, F.lit(ALLOWED_PARTS)), cut).otherwise(whole)
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("first"), none.alias("last"), F.lit(False).alias("done"))
+    return F.aggregate(_let(_pieces(word, kind), ways), start, step)
 
 
 def _entropy_spans(text: Column, kind: EntropyClass, order: int) -> Column:
-    def wanted(m: Column) -> Column:
-        keep = F.lit(True)
-        for need in kind.needs:
-            keep = keep & F.rlike(m["word"], F.lit(need))
-        return keep
-
-    runs = F.filter(_matches(text, f"[{kind.characters}]{{{kind.window},}}"), wanted)
-    spans = F.transform(runs, lambda m: _let(_hot_parts(m["word"], kind), lambda hot: F.struct(
+    runs = F.filter(_matches(text, f"[{kind.characters}]{{{kind.window},}}"), lambda m: _wanted(m["word"], kind))
+    spans = F.transform(runs, lambda m: _let(_hull(m["word"], kind), lambda hot: F.struct(
         (m["start"] + hot["first"]).alias("start"), F.lit(order).alias("place"), F.lit(kind.kind).alias("kind"),
         (m["start"] + hot["last"] + kind.window).alias("end"))))
     return F.filter(spans, lambda s: s["start"].isNotNull())
@@ -168,7 +205,9 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[EntropyClass, ...]
     """row (struct of all columns of docs), base and spans: array<struct<start, place, kind, end>> by start and kind.
 
     base has the spans of the three patterns, spans those and the entropy spans. Null and empty texts have none. Each row
-    gives one row. Spans of different kinds may overlap; base spans are never suppressed.
+    gives one row, repeated rows each their own; an empty table stays empty; row keeps names of docs from clashing with
+    those of the result. Texts of any length are scanned whole, in time in proportion to their length. Spans of different
+    kinds may overlap; base spans are never suppressed.
     """
     t = F.col("t")
     assign = F.filter(
