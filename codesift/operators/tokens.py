@@ -300,7 +300,7 @@ def python_tokens(files: DataFrame) -> DataFrame:
         .withColumns({
             "why": F.coalesce(
                 F.col("why"), F.when(F.col("misplaced"), WHY["syntax"]).when(
-                    last & F.col("ftok").isin(heads) & F.col("in_hdr") & ~F.col("hcolon")
+                    last & top & F.col("ftok").isin(heads) & F.col("in_hdr") & ~F.col("hcolon")
                     & (first | (F.col("marked") == "first")), WHY["colon"]).when(
                     first & F.col("p_opens") & ((F.col("indent") <= F.col("p_indent")) | (kind == "end")), WHY["block"]).when(
                     first & ~F.col("p_opens") & (F.col("indent") > F.col("p_indent")) & (kind != "end"), WHY["indent"])),
