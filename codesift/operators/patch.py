@@ -73,7 +73,8 @@ def patched_files(approved: DataFrame, source_files: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("nth", "start_line", "end_line", "snippet", "proposed_snippet"))).alias("edits"),
         F.count("*").cast("int").alias("n_applied"), F.max("overlap").alias("overlap"))
     folded = F.aggregate("edits", F.col("content"), apply_snippet)
-    return source_files.select(*keys, "content").join(edits, keys).select(
+    # the edits, not the contents, become the hash table of a task; contents are never broadcast
+    return source_files.select(*keys, "content").join(edits.hint("shuffle_hash"), keys).select(
         *keys, folded.alias("content"), "n_applied", "overlap")
 
 

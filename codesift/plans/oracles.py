@@ -242,13 +242,21 @@ ORACLES |= {
     "scan_summary": f"""WITH {FILES}, e(tid, rule_id, s, e) AS (VALUES {values(EXPECTED)}),
         r(rule_id, title) AS (VALUES {values([(a, t) for a, t, _ in S.RULES])})
         SELECT repo, 'medium' AS severity, path || ':' || s AS place, title FROM f JOIN e USING (tid) JOIN r USING (rule_id)""",
-    "patched_files": f"""WITH {CONTENTS}
-        SELECT repo, path, CASE WHEN contains(content, 'SELECT *')
+    "patched_files": f"""WITH {CONTENTS}, l AS (
+          SELECT *, k % 4 AS kind, string_split(rtrim(content, chr(10)), chr(10)) AS ls FROM c)
+        SELECT repo, path, CASE WHEN kind = 2
+            THEN array_to_string(list_concat(['L1'], ls[least(3, len(ls)) + 2:]), chr(10)) || chr(10)
+          WHEN kind = 3 THEN array_to_string(list_transform(ls, lambda x, i: CASE WHEN i <= 40 THEN 'L' || i ELSE x END), chr(10)) || chr(10)
+          WHEN contains(content, 'SELECT *')
             THEN substr(content, 1, instr(content, 'SELECT *') - 1) || 'SELECT id' || substr(content, instr(content, 'SELECT *') + 8)
-            ELSE 'PATCH' || chr(10) || array_to_string(string_split(rtrim(content, chr(10)), chr(10))[2:], chr(10))
-                 || CASE WHEN len(string_split(rtrim(content, chr(10)), chr(10))) > 1 THEN chr(10) ELSE '' END END AS content,
-          1 AS n_applied, false AS overlap
-        FROM c""",
+            ELSE 'PATCH' || chr(10) || array_to_string(ls[2:], chr(10)) || CASE WHEN len(ls) > 1 THEN chr(10) ELSE '' END END AS content,
+          (CASE kind WHEN 1 THEN 1 WHEN 2 THEN least(3, len(ls)) ELSE least(40, len(ls)) END)::INT AS n_applied,
+          kind = 2 AND len(ls) > 1 AS overlap
+        FROM l WHERE kind > 0""",
+    "findings_store": f"""WITH {FINDINGS}
+        SELECT id, job_id, repo, title, CASE WHEN again THEN 'applied' ELSE status END AS status,
+          CASE WHEN again THEN 'by ' || id ELSE reviewer_notes END AS reviewer_notes, confidence
+        FROM (SELECT *, id::BIGINT % 3 = 0 AND job_id < 'job15' AS again FROM findings)""",
     # --- sources and filters on the tables
     "filter_skip_dirs": f"WITH {TREE} SELECT path FROM tree WHERE NOT {SKIPPED}",
     "filter_suffix": f"WITH {TREE} SELECT path FROM tree WHERE {SUPPORTED}",

@@ -224,14 +224,33 @@ def scan_summary(t):
 
 @query
 def patched_files(t):
+    """Files with none, one, three (each on the line of the next one, too) and up to forty edits, by their number."""
     source = corpus(t)
-    approved = source.select(
-        "repo", "ref", F.col("path").alias("file_path"), F.lit("a").alias("id"), F.lit(1).alias("start_line"),
-        F.lit(1).alias("end_line"), F.lit("SELECT *").alias("snippet"),
-        F.when(F.contains("content", F.lit("SELECT *")), "SELECT id").otherwise("PATCH").alias("proposed_snippet"))
+    kind = F.regexp_extract("path", r"f(\d+)\.", 1).cast("bigint") % 4
+    lines = F.size(X.split_lines(F.col("content")))
+    n = F.when(kind == 1, 1).when(kind == 2, F.least(F.lit(3), lines)).when(kind == 3, F.least(F.lit(40), lines))
+    one = F.when(F.contains("content", F.lit("SELECT *")), "SELECT id").otherwise("PATCH")
+    edits = source.withColumns({"kind": kind, "n": n}).where(F.col("n") > 0).select(
+        "repo", "ref", "path", "kind", one.alias("one"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
+    approved = edits.select(
+        "repo", "ref", F.col("path").alias("file_path"), F.lpad(F.col("line").cast("string"), 2, "0").alias("id"),
+        F.col("line").alias("start_line"), (F.col("line") + F.when(F.col("kind") == 2, 1).otherwise(0)).alias("end_line"),
+        F.when(F.col("kind") == 1, "SELECT *").otherwise("not in any file").alias("snippet"),
+        F.when(F.col("kind") == 1, F.col("one")).otherwise(F.concat(F.lit("L"), F.col("line"))).alias("proposed_snippet"))
     return patch.patched_files(approved, source).select("repo", "path", "content", "n_applied", "overlap")
 
 
+@query
+def findings_store(t):
+    """All findings saved, those of some decided ones saved again, and the table read back."""
+    path = store.shared_path(t.spark, "findings")
+    store.save_findings(t.findings, path)
+    again = t.findings.where(F.expr("id % 3 = 0 AND job_id < 'job15'")).withColumns(
+        {"status": F.lit("applied"), "reviewer_notes": F.concat(F.lit("by "), "id")})
+    store.save_findings(again, path)
+    return store.load_findings(t.spark, path).select("id", "job_id", "repo", "title", "status", "reviewer_notes", "confidence")
+
+
 # --- tables: sources and filters --------------------------------------------------------------
 
 @query

@@ -74,6 +74,38 @@ def test_store(spark, tmp_path):
         views.list_findings(store.load_findings(spark, path), status="open")
 
 
+def test_store_keeps_its_state_when_a_save_stops(spark, tmp_path, monkeypatch):
+    """A save that stops after its rows are written and before the swap changes nothing; the next one goes through."""
+    path = str(tmp_path / "findings")
+    store.save_findings(sample(spark, [{"id": "1", "job_id": "a/b=c", "title": "old"}, {"id": "2", "job_id": "b"}]), path)
+    before, swap = store.current_folders(spark, path), store.swap_folders
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "swap_folders", stop)
+    with pytest.raises(KeyboardInterrupt):
+        store.save_findings(sample(spark, [{"id": "1", "job_id": "a/b=c", "title": "new"}]), path)
+    assert store.current_folders(spark, path) == before
+    titles = lambda: {(r.id, r.title) for r in store.load_findings(spark, path).collect()}
+    assert titles() == {("1", "old"), ("2", None)}
+    monkeypatch.setattr(store, "swap_folders", swap)
+    held = store.load_findings(spark, path)  # a reader of the state before
+    store.save_findings(sample(spark, [{"id": "1", "job_id": "a/b=c", "title": "new"}, {"id": "9", "job_id": "c"}]), path)
+    assert titles() == {("1", "new"), ("2", None), ("9", None)} and held.count() == 2
+    with pytest.raises(RuntimeError, match="another save"):
+        store.swap_folders(spark, path, before, [])
+    assert store.load_findings(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_patches_never_broadcast_contents(spark):
+    source = spark.createDataFrame([("r", "m", "a.py", "", 0, "x")], S.SOURCE_FILES)
+    edits = sample(spark, [{"id": "1", "start_line": 1, "end_line": 1, "snippet": "x", "proposed_snippet": "y", "repo": "r", "ref": "m",
+                            "file_path": "a.py"}])
+    plan = patch.patched_files(edits, source)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
 # name of the file: its text, its findings as (id, start line, end line, snippet, rewrite), and the text they must give
 PATCHED = {
     "one.py": ("red\ngreen\nblue\n", [("a", 2, 2, "green", "teal")], "red\nteal\nblue\n"),
