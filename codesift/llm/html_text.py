@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -43,16 +44,17 @@ _ENDS = {
 _WALLS = frozenset("ul ol dl table article section main nav aside body".split())
 #: Words of class and id names, and roles, that mark what is not the article.
 _READERS = frozenset("comment comments commentlist disqus replies reply respond responses reactions feedback discussion".split())
+_COMMENTS = frozenset("comment comments commentlist".split())  # so named even where other words tell of a text
 _ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner promo promotion sponsor "
                      "sponsored sponsors related recommended recommendations outbrain taboola".split())
 _FRAME = frozenset(
     "alert breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr hidden login menu menus masthead modal nav navbar "
-    "navigation newsletter notice notices notification overlay pager pagination paywall popup privacy search share sharebar sharing "
+    "navigation newsletter notice notices notification overlay pager pagination paywall popup privacy searchbar searchbox searchform share sharebar sharing "
     "sidebar sidebars signup skip social subscribe subscription toolbar topbar widget widgets".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _ARTICLES = frozenset("article articlebody postbody entry post story content main maincontent".split())
 #: Parts of longer words, as in sitefooter or commentbox, that mark the same.
-_READERS_PART = re.compile("comment")
+_READERS_PART = re.compile("comment(?!ar)")
 _ADVERTS_PART = re.compile("advert|sponsor|banner")
 _FRAME_PART = re.compile("sidebar|footer|navbar|menu|cookie|consent|newsletter|subscri|breadcrumb|masthead|popup|(?:site|page)header")
 _NOT = frozenset("has no with without is".split())
@@ -77,6 +79,8 @@ class _Open:
     inside: bool
     heading_only: bool = False
     final: bool = False  # an article below does not lift dropped
+    heading: bool = False  # in a heading, in an element of prose: as far up as the article or its header
+    prose: bool = False
 
 
 @dataclass
@@ -85,20 +89,16 @@ class _Page:
     stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False)])
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    open_tags: Counter[str] = field(default_factory=Counter)
 
     def flush(self) -> None:
         if not self.parts:
             return
         text = _BLANKS.sub(" ", "".join(self.parts)).strip()
         if text:
-            top, heading, prose = self.stack[-1], False, False
-            for x in reversed(self.stack):
-                heading |= x.tag in _HEADINGS
-                prose |= x.tag in _PROSE
-                if x.heading_only or x.tag in ("article", "main"):
-                    break
+            top = self.stack[-1]
             self.lines.append(Line(
-                text, top.inside, prose, top.dropped or top.heading_only and not heading, self.linked))
+                text, top.inside, top.prose, top.dropped or top.heading_only and not top.heading, self.linked))
         self.parts.clear()
         self.linked = 0
 
@@ -106,7 +106,7 @@ class _Page:
         if raw:
             value = html.unescape(raw) if "&" in raw else raw
             self.parts.append(value)
-            if any(x.tag == "a" for x in self.stack[-4:]):
+            if self.open_tags["a"]:
                 self.linked += len(value.strip())
 
     def open(self, tag: str, attributes: str) -> None:
@@ -118,7 +118,14 @@ class _Page:
                 self.parts.append(" ")
             return
         top = self.stack[-1]
-        names, role, hidden = _marks(attributes)
+        names, ids, role, hidden = _marks(attributes)
+        if tag in _HEADINGS:
+            names, ids = set(), set()  # what they are about, not what they are
+        elif tag in ("article", "main"):
+            names, ids = names & (_ARTICLES | _COMMENTS), ids & (_ARTICLES | _COMMENTS)
+        elif tag == "section" and top.inside:
+            ids = ids & _COMMENTS
+        names = names | ids
         article = tag in ("article", "main") or role in ("article", "main") or tag != "a" and bool(names & _ARTICLES) and (
             tag in ("div", "section"))
         reader, advert, framed = _means(names)
@@ -126,15 +133,19 @@ class _Page:
         dropped = tag not in ("html", "body") and (reader or advert or hidden) or frame and tag not in ("article", "main")
         header = tag == "header" or "header" in names and tag not in ("html", "body")
         lifted = tag in ("article", "main") and not dropped and not top.final
+        heading_only = top.heading_only and not lifted or header and top.inside
+        ends = heading_only or tag in ("article", "main")
+        self.open_tags[tag] += 1
         self.stack.append(_Open(
             tag, dropped or top.dropped and not lifted or header and not (top.inside or article),
-            not dropped and (top.inside or article), top.heading_only and not lifted or header and top.inside,
-            top.final or reader or advert or hidden or tag in ("nav", "aside", "footer")))
+            not dropped and (top.inside or article), heading_only,
+            top.final or reader or advert or hidden or tag in ("nav", "aside", "footer"),
+            tag in _HEADINGS or top.heading and not ends, tag in _PROSE or top.prose and not ends))
 
     def _imply(self, tag: str) -> None:
         if tag != "head":
             self._until("head", frozenset(["body"]))
-        if tag not in ("option", "tr", "td", "th", "tbody", "thead", "tfoot") and any(x.tag == "p" for x in self.stack):
+        if tag not in ("option", "tr", "td", "th", "tbody", "thead", "tfoot") and self.open_tags["p"]:
             self._until("p", _WALLS | {"td", "th", "li", "div"})
         for name, starts in _ENDS.items():
             if tag in starts:
@@ -142,8 +153,11 @@ class _Page:
 
     def _until(self, tag: str, walls: frozenset[str] | set[str]) -> None:
         """Closes the innermost open element of that name, if no wall is open inside it."""
+        if not self.open_tags[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
+                self.open_tags.subtract(x.tag for x in self.stack[k:])
                 del self.stack[k:]
                 return
             if self.stack[k].tag in walls:
@@ -165,17 +179,18 @@ def _means(names: set[str]) -> tuple[bool, bool, bool]:
             bool(names & _FRAME or _FRAME_PART.search(joined)))
 
 
-def _marks(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
+def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
+    """Words of class, words of id, the role, and whether the element is hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return set(), "", False
-    names, role, hidden = set(), "", False
+        return set(), set(), "", False
+    classes, ids, role, hidden = set(), set(), "", False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id", "itemprop"):
             for name in value.split():
                 words = re.split(r"[^a-z]+", name)
                 if not _NOT & set(words):
+                    names = ids if key == "id" else classes
                     names.update(words)
                     names.add("".join(words) if "body" in words or "main" in words else words[0])
         elif key == "role":
@@ -183,7 +198,7 @@ def _marks(attributes: str) -> tuple[set[str], str, bool]:
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(
                 r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return names, role, hidden
+    return classes, ids, role, hidden
 
 
 @cache

@@ -164,12 +164,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 20_000,
         penalty: float = 12.0) -> Model | None:
-    """Learns from about rows_per_language whole texts of each language, picked by a hash of the text; all if fewer.
+    """Learns from about rows_per_language whole texts of each language, picked by a hash of the whole row; all if fewer.
 
-    Rows without a language are not learned from. The model has 2**16 hashed letter groups for each language. None
+    Rows that share a text are picked one by one, so that copies are in the sample as often as among the rows. Rows without
+    a language are not learned from. Texts of any length count whole. The model has 2**16 hashed letter groups for each language. None
     without rows.
     """
-    known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).filter(
+    known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(*docs.columns).alias("h")).filter(
         "lang IS NOT NULL AND t IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -178,8 +179,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     pick = F.lit(False)
     for name, n in sizes.items():
         pick = pick | ((F.col("lang") == name) & (
-            F.pmod(F.xxhash64("t"), F.lit(wide)) < int(wide * min(1.0, rows_per_language / n))))
-    parts = rows.map_arrow(known.filter(pick), _counted, _COUNTS).groupBy("lang", "kind", "g").agg(F.sum("n").alias("n"))
+            F.pmod("h", F.lit(wide)) < int(wide * min(1.0, rows_per_language / n))))
+    parts = rows.map_arrow(known.filter(pick).drop("h"), _counted, _COUNTS).groupBy("lang", "kind", "g").agg(F.sum("n").alias("n"))
     found = parts.toPandas()  # at most 3 * 2**16 rows and the scripts for each language
     languages = tuple(sorted(sizes))
     table, used = np.zeros((3, _ROWS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))

@@ -86,20 +86,27 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return simple[kind]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read from there; a folder of our own where unset."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where that is unset, a folder of our own, on a local master only."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder; it goes when the session's file system closes."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+    context, folder = spark.sparkContext, _checkpoint_dir(spark)
+    path = context._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{uuid.uuid4().hex}")
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
 
