@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codesift.functions import text as X
 from codesift.operators import tokens as TK
 
 # --- Fixed values: names the rules look for ---------------------------------------------------
@@ -27,7 +28,8 @@ MAX_HOPS = 30  # steps followed from a call back to the name it starts from
 # --- End of fixed values ----------------------------------------------------------------------
 
 
-_BLOCK = 256
+#: What an assignment can make of a name, by number.
+TAGS = ["", "pandas", "spark", "string", "file"]
 
 
 def _is(name: str, *values: str) -> Column:
@@ -504,21 +506,28 @@ def names_per_file(rows: DataFrame) -> DataFrame:
         )
     )
 
-    def spread(acc: Column, b: Column) -> Column:
-        """Add the tag of an assignment. Tags lie in blocks, as every step copies the array that it adds to."""
-        behind = F.get(F.get(acc, F.floor(b["bound_at"] / _BLOCK).cast("int")), b["bound_at"] % _BLOCK)
-        behind = F.when(b["near"], F.coalesce(behind, F.lit(""))).otherwise("")
-        tag = F.array(
-            F.when(b["is_string"], "string")
-            .when(b["of_pandas"] | (behind == "pandas"), "pandas")
-            .when(b["of_spark"] | (behind == "spark"), "spark")
-            .when(b["is_open"], "file")
-            .otherwise(""))
-        last = F.element_at(acc, -1)
-        return F.when(F.size(last) < _BLOCK, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, tag)))
-                      ).otherwise(F.concat(acc, F.array(tag)))
-
-    tags = F.flatten(F.aggregate("binds", F.array(F.array().cast("array<string>")), spread))
+    # a value without a tag of its own has that of the assignment it goes back to, if that is of pandas or Spark. Each
+    # assignment keeps what it gives for a table of pandas, one of Spark and anything else behind it; in every round it
+    # takes over where the one behind it goes back to, so that a chain of n assignments is followed in log n rounds
+    number = {tag: k for k, tag in enumerate(TAGS)}
+    first = F.transform("binds", lambda b: F.struct(
+        F.when(b["near"], b["bound_at"]).cast("int").alias("to"),
+        *[F.when(b["is_string"], number["string"]).when(b["of_pandas"], number["pandas"]).otherwise(then).alias(name)
+          for name, then in (("pandas", F.lit(number["pandas"])), ("spark", F.lit(number["spark"])), (
+              "other", F.when(b["of_spark"], number["spark"]).when(b["is_open"], number["file"]).otherwise(number[""])))]))
+
+    def follow(s: Column, behind: Column) -> Column:
+        given = lambda tag: F.when(tag == number["pandas"], s["pandas"]).when(tag == number["spark"], s["spark"]).otherwise(s["other"])
+        return F.when(behind.isNull(), s).otherwise(F.struct(
+            behind["to"].alias("to"), *[given(behind[x]).alias(x) for x in ("pandas", "spark", "other")]))
+
+    def jump(acc: Column, _: Column) -> Column:
+        return F.when(F.exists(acc, lambda s: s["to"].isNotNull()), F.transform(
+            acc, lambda s: X.let(F.get(acc, s["to"]), lambda behind: follow(s, behind)))).otherwise(acc)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("binds") + F.lit(1))).cast("int"))
+    known = F.aggregate(rounds, first.cast("array<struct<to:int,pandas:int,spark:int,other:int>>"), jump)
+    tags = F.transform(known, lambda s: F.get(F.array(*[F.lit(t) for t in TAGS]), s["other"]))
     return per_file.withColumn("tags", tags)
 
 
