@@ -99,7 +99,7 @@ def token_events(tokens: DataFrame) -> DataFrame:
         | ((kind == "str") & (F.col("p_kind") == "str"))
     )
     return tokens.withColumn("etype", etype).select(
-        "file_id", "is_spark", "pos", "tok", "kind", "line", "eline", "lvl", "lline", "stmt", "etype", "why",
+        "file_id", "is_spark", "pos", "tok", "kind", "line", "eline", "lvl", "lline", "stmt", "etype", "why", "wrong_line",
         name.alias("name"),
         F.when(F.col("first"), F.struct("indent", "ftok", "f2", "hdr", "line")).alias("own"), "last",
         (~goes_on).alias("starts"), p1.alias("before"), "p_pos",
@@ -166,7 +166,7 @@ def line_events(chained: DataFrame) -> DataFrame:
         .select("file_id", "lline", "is_spark", "eline", "own",
                 F.when(any_kind, F.struct(kinds.alias("kinds"), event.alias("e"))).alias("event"),
                 (F.col("kind") != "end").alias("real"),
-                F.when(F.col("why").isNotNull(), F.struct("pos", "why", "eline")).alias("wrong"))
+                F.when(F.col("why").isNotNull(), F.struct("pos", "why", "wrong_line")).alias("wrong"))
         .groupBy("file_id", "lline")
         .agg(
             F.first("is_spark").alias("is_spark"), F.first("own", ignorenulls=True).alias("own"),
@@ -175,7 +175,7 @@ def line_events(chained: DataFrame) -> DataFrame:
         )
         .select(
             "file_id", "lline", "is_spark", "own.indent", "own.line", "own.hdr", "eline", "real",
-            F.struct(F.col("wrong.eline").alias("line"), "wrong.why").alias("wrong"),
+            F.struct(F.col("wrong.wrong_line").alias("line"), "wrong.why").alias("wrong"),
             F.flatten(F.transform("events", lambda x: F.transform(
                 F.filter(x["kinds"], lambda k: k.isNotNull()),
                 lambda k: F.struct(k.alias("etype"), x["e"].alias("e"))))).alias("events"),

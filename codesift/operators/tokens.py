@@ -258,7 +258,7 @@ def python_tokens(files: DataFrame) -> DataFrame:
             "why": F.when(kind == "bad", F.when(tok.isin('"', "'"), WHY["literal"]).otherwise(WHY["character"]))
             .when(depth < 0, WHY["closes"]).when((kind == "end") & (depth != 0), WHY["opens"]),
         })
-        .withColumn("opens", last & (lvl == 0) & (tok == ":"))
+        .withColumns({"opens": last & (lvl == 0) & (tok == ":"), "outermost": (step == 1) & (depth == 1)})
         .drop("nl", "tok_nl", "breaks", "n_breaks", "step", "depth")
         .withColumns({
             "p1": F.when(first, "").otherwise(F.col("p1")), "p_kind": F.when(first, "").otherwise(F.col("p_kind")),
@@ -287,6 +287,7 @@ def python_tokens(files: DataFrame) -> DataFrame:
         toks.withColumns({
             "lline": F.sum(first.cast("int")).over(upto),
             "ftok": latest(first, tok), "f2": latest(first, F.col("n1")), "first_pos": latest(first, F.col("pos")),
+            "bracket_line": latest(F.col("outermost"), F.col("line")),
             "p_opens": F.coalesce(F.lag("opens").over(order), F.lit(False)),
             "p_indent": F.coalesce(F.last(F.when(first, F.col("indent")), True).over(earlier), F.lit(0)),
             "marked": F.last(mark, True).over(earlier), "misplaced": F.coalesce(wrong_place | wrong_end, F.lit(False)),
@@ -307,6 +308,8 @@ def python_tokens(files: DataFrame) -> DataFrame:
         })
         .withColumns({
             "bad": F.col("why").isNotNull(),
+            # a bracket that stays open shows at the end, and is told at its own line
+            "wrong_line": F.when((kind == "end") & (F.col("why") == WHY["opens"]), F.col("bracket_line")).otherwise(F.col("eline")),
             "stmt": F.col("lline") + F.sum(F.col("sep").cast("int")).over(upto) - F.col("sep").cast("int"),
             "sstart": first | F.coalesce(F.lag("sep").over(order), F.lit(False)),
             "s1": F.last(F.when(F.col("sep"), F.col("n1")).when(first, tok), True).over(upto),
@@ -317,7 +320,7 @@ def python_tokens(files: DataFrame) -> DataFrame:
             "is_param": is_param, "param": latest(is_param, tok),
             "in_def": is_def & F.col("in_hdr"),
         })
-        .drop("marked", "misplaced", "sep", "opens", "p_opens", "p_indent")
+        .drop("marked", "misplaced", "sep", "opens", "p_opens", "p_indent", "outermost", "bracket_line")
     )
 
 

@@ -235,7 +235,7 @@ ORACLES |= {
         SELECT repo, path, row_number() OVER (PARTITION BY repo, ref ORDER BY string_split(path, '/')) AS position,
           count(*) OVER (PARTITION BY repo, ref) AS total,
           CASE WHEN tid IN (9, 16, 25) THEN 'tokens+sql' ELSE 'tokens' END AS engine, coalesce(n, 0)::INT AS n_candidates,
-          CASE tid WHEN 13 THEN 'unreadable: line 2: bracket was never closed' WHEN 19 THEN 'unreadable: line 1: invalid syntax'
+          CASE tid WHEN 13 THEN 'unreadable: line 1: bracket was never closed' WHEN 19 THEN 'unreadable: line 1: invalid syntax'
             WHEN 23 THEN 'unreadable: line 3: unindent does not match any outer level'
             WHEN 24 THEN 'unreadable: line 2: invalid syntax' ELSE CASE WHEN n IS NULL THEN 'no issues' ELSE '' END END AS detail
         FROM f LEFT JOIN e USING (tid) WHERE tid NOT IN (11, 12)""",
