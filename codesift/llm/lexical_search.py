@@ -77,7 +77,8 @@ def counted(docs: DataFrame, vocabulary: list[bytes], doc_id: str, text: str) ->
 
 @dataclass(frozen=True)
 class Query:
-    """Units are pairs of terms or single terms, no term in two of them."""
+    """Units are pairs of terms, the lower number first, or single terms; no term is in two of them. The pairs must be among
+    those that the segments were built with."""
 
     number: int
     units: tuple[tuple[int, ...], ...]

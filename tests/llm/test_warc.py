@@ -107,7 +107,7 @@ def test_empty_table_and_damage(spark, tmp_path):
     path = os.path.join(tmp_path, "bad")
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:AAAA\r\nWARC-Record-ID: <x>\r\nContent-Length: 30\r\n\r\n"
     os.makedirs(path)
-    for body, message in ((good + "HTTP/1.1 200\r\nContent-Length: 0", "damaged|ends"), ("junk\r\n", "not the start"), (good + "x", "ends within")):
+    for body, message in ((good + "HTTP/1.1 200\r\nContent-Length: 0", "damaged|does not end"), ("junk\r\n", "not the start"), (good + "x", "ends within")):
         with open(os.path.join(path, "part-0.txt"), "w", newline="") as f:
             f.write(body)
         with pytest.raises(Exception, match=message):
