@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable
 from functools import cache
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from codesift.llm import pretokens, rows
 
 _NONE = np.iinfo(np.int64).max
+#: Bytes of a string from which on its places are kept by rank: a round over all places would cost too much.
+LONG = 192
 
 
 class Merges:
@@ -38,32 +41,93 @@ class Merges:
         self.of_byte = np.array([number[chr(b if b in plain else next(rest))] for b in range(256)], np.int64)
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols left of each byte string, none empty, when no pair can be merged any more.
+        """Symbols left of each byte string, none empty, when no pair can be merged any more."""
+        out = np.zeros(len(tokens), np.int64)
+        sizes = np.array([len(x) for x in tokens], np.int64)
+        for merge, which in ((self._short, sizes < LONG), (self._long, sizes >= LONG)):
+            if which.any():
+                out[which] = merge([tokens[k] for k in np.flatnonzero(which).tolist()])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, _NONE where there is none; symbol -1 stands for an end."""
+        key = left * self.base + right
+        at = np.searchsorted(self.key, key)
+        return np.where((self.key[at] == key) & (left >= 0) & (right >= 0), self.rank[at], _NONE)
 
-        All strings lie in one array. In each round every string merges its pair of lowest rank, at all places at once
+    def _short(self, tokens: list[bytes]) -> np.ndarray:
+        """All strings lie in one array. In each round every string merges its pair of lowest rank, at all places at once
         (from the left where they overlap); strings without a pair are done and leave the array.
         """
         out = np.array([len(x) for x in tokens], np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
         owner = np.repeat(np.arange(len(tokens)), out)
         while len(symbols) > 1:
-            key = symbols[:-1] * self.base + symbols[1:]
-            at = np.searchsorted(self.key, key)
-            known = (self.key[at] == key) & (owner[:-1] == owner[1:])
-            rank = np.append(np.where(known, self.rank[at], _NONE), _NONE)
+            rank = self._ranks(symbols[:-1], symbols[1:])
+            rank = np.append(np.where(owner[:-1] == owner[1:], rank, _NONE), _NONE)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lengths = np.diff(np.r_[starts, len(owner)])
             least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
             hit = (rank == least) & (rank != _NONE)
-            place = np.arange(len(hit))
-            run = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
-            hit &= (place - run) % 2 == 0
+            hit[hit] = _alternate(np.flatnonzero(hit), np.flatnonzero(hit) + 1)
             symbols[hit] = self.merged[rank[hit]]
             stay = (least != _NONE) & ~np.r_[False, hit[:-1]]
             out -= np.bincount(owner[hit], minlength=len(out))
             symbols, owner = symbols[stay], owner[stay]
         return out
 
+    def _long(self, tokens: list[bytes]) -> np.ndarray:
+        """The same rounds, with an end after each string, and places listed by the rank of the pair that starts there.
+
+        A round takes the lowest rank of all strings, which is the lowest of each string that has it; only the places next
+        to a merged one get a new rank. So all rounds together take time about in proportion to the bytes.
+        """
+        symbols = np.concatenate([np.append(self.of_byte[np.frombuffer(x, np.uint8)], -1) for x in tokens])
+        owner = np.repeat(np.arange(len(tokens)), [len(x) + 1 for x in tokens])
+        out = np.array([len(x) for x in tokens], np.int64)
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        rank = np.append(self._ranks(symbols[:-1], symbols[1:]), _NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def list_places(at: np.ndarray) -> None:
+            at = at[rank[at] != _NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for part in np.split(at, cuts):
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        list_places(np.arange(len(symbols)))
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            at = at[_alternate(at, after[at])]
+            gone = after[at]
+            symbols[at] = self.merged[r]
+            rank[gone] = _NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            out -= np.bincount(owner[at], minlength=len(out))
+            touched = np.union1d(at, before[at][before[at] >= 0])
+            rank[touched] = self._ranks(symbols[touched], symbols[after[touched]])
+            list_places(touched)
+        return out
+
+
+def _alternate(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of rising places, each with the place after it: every other one of those that follow each other, the first taken."""
+    place = np.arange(len(at))
+    follows = np.r_[False, at[1:] == after[:-1]][:len(at)]
+    return (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+
 
 class Counter:
     """Token counts of whole texts; counts of pre-tokens are kept while there are fewer than room of them."""
@@ -96,7 +160,8 @@ def counter() -> Counter:
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """row (struct of all columns of docs), n_bytes and n_tokens (long) of the whole text; null and empty texts have 0.
 
-    Each row gives one row. A pre-token, however long, is merged as a whole: a run of n letters takes up to n rounds.
+    Each row gives one row, repeated rows too; an empty table gives none. A pre-token, however long, is merged as a whole, in
+    time about in proportion to its length. Where places of the lowest rank overlap, the one on the left is merged.
     """
 
     def start() -> Callable[[list[bytes]], list[list]]:

@@ -1,6 +1,7 @@
 """Token files, counts and packing against the tokenizer library and plain Python."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -47,6 +48,24 @@ def test_encoder_and_counter_forget_nothing():
         assert counter.count(texts) == [len(ids(t)) for t in texts]
 
 
+def test_counts_of_long_runs():
+    pick = np.random.default_rng(3)
+
+    def run(letters: str, n: int) -> str:
+        return "".join(np.array(list(letters))[pick.integers(0, len(letters), n)].tolist())
+
+    n = token_counts.LONG
+    texts = ["a" * 100_001, "ab" * 30_000, "aaab" * 9_000, "\u00e9" * 30_000, "=" * 40_001, "the" * 30_000, "x" * (n - 1), "x" * n,
+             *[run("abeinst\u00c9\u4e2d", n - 50 + k) for k in range(150)]]
+    counter = token_counts.Counter()
+    assert counter.count(texts) == [len(ids(t)) for t in texts]
+    assert [token_counts.Counter().count([t])[0] for t in texts[:12]] == [len(ids(t)) for t in texts[:12]]
+    text = run("abcdefghijklmnopqrstuvwxyz", 320_000)
+    start = time.time()
+    assert counter.count([text])[0] == len(ids(text))
+    assert time.time() - start < 10
+
+
 def test_counts(hard, none):
     got = token_counts.counted(hard).select("row.doc_id", "row.text", "n_bytes", "n_tokens").collect()
     assert len(got) == len(TEXTS)
