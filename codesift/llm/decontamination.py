@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,25 +114,28 @@ _COLUMNS = [
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_bytes: int = 1 << 19,
+    window: int = 10, block_bytes: int = 1 << 19, pass_bytes: int = 1 << 26,
 ) -> DataFrame:
     """row (struct of all columns of docs), n_words, n_hit (long), hits (ranges of words), items (ids as sorted strings).
 
     Every row gives one row. Null and blank texts have no words and no hits; an empty benchmark hits nothing. Items with
     fewer words than a window are one window, items without words none; repeated items count once; an item without an id
-    hits but is not listed. The benchmark goes to the tasks in blocks of about block_bytes of text: its size is read
-    first, and beyond one block the documents are searched for each block and the findings of a row put together.
+    hits but is not listed. Distinct items, long ones in parts that overlap by all but one word of a window, go to the
+    tasks in blocks of about block_bytes. Their size is read first: up to pass_bytes, a task searches each batch of
+    documents for one block after the other; beyond, the documents are passed over again and the findings of a row put
+    together.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
+    items = rows.checkpointed(_parts(benchmark.select(
+        F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")), window, block_bytes // 8))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    if blocks <= 1:
-        return _search(docs, text, items, window)
+    passes = -(-size // pass_bytes)
+    if passes <= 1:
+        return _search(docs, text, items, window, block_bytes)
     keyed = rows.checkpointed(docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("k")))
     found = None
-    for b in range(blocks):
+    for b in range(passes):
         part = _search(keyed.select("k", F.col("d")[text].alias("t")), "t",
-                       items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b), window)
+                       items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == b), window, block_bytes)
         part = part.select("row.k", "n_words", "hits", "items")
         found = part if found is None else found.unionAll(part)
     ranges = F.aggregate(
@@ -148,25 +152,56 @@ def contamination(
     return keyed.join(by_row, "k").select(F.col("d").alias("row"), "n_words", n_hit.alias("n_hit"), "hits", "items")
 
 
-def _search(docs: DataFrame, text: str, items: DataFrame, window: int) -> DataFrame:
-    """One block of items, which is small, against all rows."""
-    block = [(k, bytes(t)) for k, t in items.select("k", F.col("t").cast("binary")).collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _parts(items: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """k, t (binary): the words of items (k, t), each part of an item of about part_bytes, without repeated rows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows.pieces(batches):
+            names, parts = [], []
+            for k, text in zip(batch.column("k").to_pylist(), rows.texts(batch.column("t")), strict=True):
+                words = folded(text)
+                step = max(1, len(words) * part_bytes // max(1, len(text)))
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, step):
+                    names.append(k)
+                    parts.append(b" ".join(words[at:at + step + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], names=["k", "t"])
+
+    return rows.map_arrow(items.filter("t IS NOT NULL"), cut, "k string, t binary").distinct()
+
+
+def _search(docs: DataFrame, text: str, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """All rows against parts of items, which are sent in blocks; the driver holds a block and a partition of parts."""
+    sent, block, size = [], [], 0
+    context = docs.sparkSession.sparkContext
+    for part in items.toLocalIterator():
+        block.append((part["k"], bytes(part["t"])))
+        size += len(part["t"])
+        if size >= block_bytes:
+            sent.append(context.broadcast(block))
+            block, size = [], 0
+    if block or not sent:
+        sent.append(context.broadcast(block))
 
     def start() -> Callable[[list[bytes]], list[list]]:
-        windows = Windows(sent.value, window)
+        only = Windows(sent[0].value, window) if len(sent) == 1 else None
 
         def work(batch: list[bytes]) -> list[list]:
-            found = [windows.find(x) for x in batch]
+            n_words, hits, names = [0] * len(batch), [[] for _ in batch], [set() for _ in batch]
+            for one in sent:
+                windows = only or Windows(one.value, window)
+                for k, x in enumerate(batch):
+                    n_words[k], ranges, owners = windows.find(x)
+                    if ranges:
+                        hits[k] = merged(hits[k] + ranges)
+                        names[k] |= owners
             return [
-                [n for n, _, _ in found], [sum(b - a for a, b in hits) for _, hits, _ in found],
-                [[{"first": a, "end": b} for a, b in hits] for _, hits, _ in found],
-                [sorted(names) for _, _, names in found],
-            ]
+                n_words, [sum(b - a for a, b in x) for x in hits], [[{"first": a, "end": b} for a, b in x] for x in hits],
+                [sorted(x) for x in names]]
 
         return work
 
-    return rows.map_texts(docs, text, start, _COLUMNS)
+    # several blocks: a batch as large as Spark hands it over, as the tables of each block are made anew for it
+    return rows.map_texts(docs, text, start, _COLUMNS, rows.STEP_ROWS if len(sent) == 1 else None)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:

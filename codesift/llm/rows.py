@@ -15,12 +15,19 @@ from pyspark.sql import types as T
 
 #: Rows of one step in Python: bounds what a task holds besides the batch that Spark hands over.
 STEP_ROWS = 256
+STEP_BYTES = 1 << 25
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of up to so many rows, fewer where they hold over STEP_BYTES; a row alone may be larger."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            piece = batch.slice(start, rows)
+            while piece.num_rows > 1 and piece.nbytes > STEP_BYTES:
+                piece = piece.slice(0, piece.num_rows // 2)
+            yield piece
+            start += piece.num_rows
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -30,10 +37,12 @@ def texts(column: pa.Array) -> list[bytes]:
 
 def map_texts(
     docs: DataFrame, text: str, start: Callable[[], Callable[[list[bytes]], list[list]]], columns: list[T.StructField],
+    step: int | None = STEP_ROWS,
 ) -> DataFrame:
     """row (struct of all columns of docs, so that no name can clash) and columns.
 
-    start() is called once per task and gives the function from texts, null as empty, to one list per column.
+    start() is called once per task and gives the function from texts, null as empty, to one list per column. It gets
+    step rows at a time, or, if step is None, as many as Spark hands over in a batch.
     """
     types = [T.StructField("row", docs.schema, False), *columns]
     arrow = [_arrow(c.dataType) for c in columns]
@@ -41,7 +50,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in pieces(batches):
+        for batch in batches if step is None else pieces(batches, step):
             row = batch.column("row")
             found = work(texts(row.field(place)))
             yield pa.RecordBatch.from_arrays(

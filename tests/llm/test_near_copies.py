@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from codesift.llm import decontamination, graph, simhash
+from codesift.llm import decontamination, graph, rows, simhash
 from tests.llm.conftest import TEXTS, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,25 +173,44 @@ def leaky():
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination(spark, make, none, block_bytes):
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 26), (200, 1 << 26), (200, 700), (8, 1 << 26)])
+def test_contamination(spark, make, none, sizes):
     texts = [(i, t) for i, t in leaky() if t is None or len(t) < 5000]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = make(texts)
-    got = decontamination.contamination(docs, items, block_bytes=block_bytes).select(
+    sizes = {"block_bytes": sizes[0], "pass_bytes": sizes[1]}
+    got = decontamination.contamination(docs, items, **sizes).select(
         "row.text", "n_words", "n_hit", "hits", "items").collect()
     assert len(got) == len(texts)
     for r in got:
         assert (r["n_words"], r["n_hit"], r["items"]) == slow_hits(r["text"], ITEMS)
         assert sum(h["end"] - h["first"] for h in r["hits"]) == r["n_hit"]
     assert sum(r["n_hit"] > 0 for r in got) > 20
-    clean = decontamination.clean_documents(docs, items, block_bytes=block_bytes)
+    clean = decontamination.clean_documents(docs, items, **sizes)
     assert clean.columns == docs.columns and clean.count() == sum(r["n_hit"] == 0 for r in got)
-    assert decontamination.contamination(none, items, block_bytes=block_bytes).count() == 0
+    assert decontamination.contamination(none, items, **sizes).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.clean_documents(docs, empty).count() == len(texts)
 
 
+def test_repeated_and_long_items_in_blocks(spark):
+    """A repeated item is sent once; a long one in parts that lose no window."""
+    long, often = prose(40, 3000), prose(41, 40)
+    items = spark.createDataFrame([("long", long)] + [("often", often)] * 500, "k string, t string")
+    parts = decontamination._parts(items, 10, 256).collect()
+    assert sum(p["k"] == "often" for p in parts) <= 2 and max(len(p["t"]) for p in parts) < 600
+    whole = decontamination.Windows([("long", long.encode()), ("often", often.encode())], 10)
+    cut = decontamination.Windows([(p["k"], bytes(p["t"])) for p in parts], 10)
+    assert cut.owners == whole.owners and cut.width == whole.width
+
+
+def test_steps_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * (1 << 22)] * 20 + ["y"] * 300 + ["z" * (1 << 26)] * 2})
+    got = list(rows.pieces([batch]))
+    assert pa.Table.from_batches(got).column("t") == pa.Table.from_batches([batch]).column("t")
+    assert all(p.num_rows <= rows.STEP_ROWS and (p.num_rows == 1 or p.nbytes <= rows.STEP_BYTES) for p in got)
+
+
 def test_search_against_find():
     pick = random.Random(10)
     for _ in range(300):
