@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -19,9 +22,11 @@ from pyspark.sql import types as T
 
 from codesift.llm import rows
 
+_DECLARED = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
+_HEAD = r"|<(/?)([a-zA-Z][^\s/>]*+)"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+    _DECLARED + _HEAD + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""" + _HEAD + r"([^>]*+)>", re.S)
+_STARTS = re.compile(_DECLARED + _HEAD, re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _BLANKS = re.compile(r"\s+")
 
@@ -206,31 +211,74 @@ def _raw_end(tag: str) -> re.Pattern[str]:
     return re.compile(f"</{re.escape(tag)}[^>]*>", re.I)
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and of > in a page, and, for a tag that is outside of quotes there, where it ends (-1: nowhere)."""
+    places = [m.start() for m in re.finditer("[>\"']", page)]
+    ends = [-1] * (len(places) + 1)
+    following = {'"': len(places), "'": len(places)}
+    for k in range(len(places) - 1, -1, -1):
+        mark = page[places[k]]
+        if mark == ">":
+            ends[k] = places[k]
+        else:
+            ends[k] = ends[min(following[mark] + 1, len(places))]
+            following[mark] = k
+    return places, ends
+
+
 def blocks(page: str) -> list[Line]:
     """All blocks of text of a page in order, white space made single blanks, references decoded. Markup that ends
-    nowhere is read as far as it goes; a lone < is text."""
+    nowhere is read as far as it goes; a lone < is text.
+
+    A tag with a quote that is never closed ends at the next >. At the first of them the ends of all tags are looked up in
+    one pass, so that thousands take time in proportion to the page. Behind the last > there are no tags.
+    """
     out, at, n = _Page(), 0, len(page)
-    while at < n:
-        found = _MARKUP.search(page, at)
+    last, ends, endless = page.rfind(">") + 1, None, set()
+    while at < last:
+        found = (_MARKUP if ends is None else _STARTS).search(page, at, last)
         if found is None:
             break
         out.text(page[at:found.start()])
         at = found.end()
-        tag = found[2] or found[5]
+        if ends is not None:
+            slash, tag, rest = found[1], found[2], ""
+            if tag:
+                end = ends[1][bisect_left(ends[0], at)]
+                end = end if end >= 0 else page.find(">", at)
+                rest, at = page[at:end], end + 1
+        elif found[5]:
+            slash, tag, rest = found[4], found[5], found[6]
+            ends = _tag_ends(page)
+        else:
+            slash, tag, rest = found[1], found[2], found[3]
         if not tag:
-            if found[0].startswith("<![CDATA["):
-                out.parts.append(found[0][9:].removesuffix("]]>"))
+            start = found.start()
+            if page.startswith("<![CDATA[", start):
+                at = at if page.endswith("]]>", start + 9, at) else n
+                out.parts.append(page[start + 9:at].removesuffix("]]>"))
+            elif page.startswith("<!--", start) and not page.endswith("-->", start + 4, at):
+                at = n
             continue
         tag = tag.lower()
-        if found[1] or found[4]:
+        if slash:
             out.close(tag)
         elif tag in _RAW:
-            if not (found[3] or found[6] or "").endswith("/"):
+            if not rest.endswith("/") and tag not in endless:
                 end = _raw_end(tag).search(page, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else n if tag in ("script", "style") else at
         else:
-            out.open(tag, found[3] or found[6] or "")
-    out.text(page[at:])
+            out.open(tag, rest)
+    rest = page[at:]
+    start = re.search("<[!?]", rest)
+    if start is None:
+        out.text(rest)
+    else:
+        out.text(rest[:start.start()])
+        if rest.startswith("<![CDATA[", start.start()):
+            out.parts.append(rest[start.start() + 9:])
     out.flush()
     return out.lines
 
@@ -304,24 +352,26 @@ def _lengths(x: list[int], y: list[int]) -> np.ndarray:
     return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
 
 
-def main_text(lines: list[Line], shared: list[int]) -> str:
-    """The lines that stay, joined by line feeds. shared: places of the lines that the nearest page of the host has too.
+def main_text(lines: list[Line], shared: list[int], framed: list[int] = (), sure: bool = False) -> str:
+    """The lines that stay, joined by line feeds. shared: places of the lines that the nearest page of the host has too;
+    framed: those of them that the pages around it show to be of the frame of the host; sure: by many pages.
 
-    Shared lines go, except prose inside an article: there the structure proves what they are, and pages may repeat each
-    other's paragraphs. Without an article, shared lines stay if they are over half of what is left: such pages are
-    copies of each other. Of the rest, what the structure of the page drops goes, and, without an article, lines that
-    are mostly links. If all is gone that way, nothing is left.
+    Shared lines go, except prose inside an article, which goes only if it surely is of the frame: there the structure
+    proves what it is, and pages may repeat each other's paragraphs. Where shared lines are over half of what is left, the
+    nearest page may be a copy, and those of the frame go alone. Of the rest, what the structure of the page drops goes,
+    and, without an article, lines that are mostly links. If all is gone that way, nothing is left.
     """
     left = [(k, x) for k, x in enumerate(lines) if not x.dropped]
+    frame = set(framed)
     if any(x.inside for _, x in left):
         left = [(k, x) for k, x in left if x.inside]
-        gone = {k for k in shared if not lines[k].prose}
+        gone = {k for k in shared if not lines[k].prose or sure and k in frame}
     else:
         left = [(k, x) for k, x in left if 2 * x.linked <= len(x.text)]
         gone = set(shared)
     size = sum(len(x.text) for _, x in left)
     if 2 * sum(len(x.text) for k, x in left if k in gone) > size:
-        gone = set()
+        gone &= frame
     return "\n".join(x.text for k, x in left if k not in gone)
 
 
@@ -346,96 +396,127 @@ def _nearness(a: str, b: str) -> tuple[int, int]:
 
 
 _GROUP = 64
+#: Pages that must be at hand to tell the frame of a host, and to tell it surely.
+_SOME, _MANY = 4, 8
+
+
+def _frame(pages: list[list[int]]) -> tuple[set[int], Counter[int]]:
+    """Lines that at least 95 % of some different pages of a host have, and how many pages have each line."""
+    have = Counter(x for lines in pages for x in set(lines))
+    return {x for x, n in have.items() if 100 * n >= 95 * len(pages)} if len(pages) >= _SOME else set(), have
+
+
+def _is_text(rest: list[int], have: Counter[int], n: int) -> bool:
+    """Whether the lines of a page beside those of the frame are its own: on average (by characters) under a quarter of
+    the other pages have them. Of near copies most have what one of them has changed, so their common text is no frame."""
+    size = sum(x & 0xFFFFF for x in rest)
+    return size > 0 and 4 * sum((x & 0xFFFFF) * (have[x] - 1) for x in rest) < size * (n - 1)
+
+
+def _differences(cell: list[dict]) -> Iterator[dict]:
+    """cell: pages next to each other by pos. Each page whose own cell it is, against the nearer of its neighbours."""
+    for host, group in groupby(cell, key=lambda x: x["host"]):
+        near = list(group)
+        frame, have = _frame([x["lines"] for x in near])
+        for k, row in enumerate(near):
+            if row["cell"] != row["pos"] // _GROUP:
+                continue
+            others = [near[j] for j in (k - 1, k + 1) if 0 <= j < len(near)] if host else []
+            shared, framed, lines = [], [], row["lines"]
+            if others:
+                partner = max(others, key=lambda x: (_nearness(row["path"], x["path"]), -x["pos"]))
+                shared = common(lines, partner["lines"])
+                if _is_text([x for x in lines if x not in frame], have, len(near)):
+                    framed = [j for j in shared if lines[j] in frame]
+            yield {"content": row["content"], "shared": shared, "framed": framed, "sure": len(near) >= _MANY}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by cell and pos; every row whose own cell it is gets the nearer of the rows before and after it."""
-    held: list[dict] = []  # the last row is still to be judged
-
-    def judged(k: int) -> dict:
-        row = held[k]
-        near = [x for x in (held[k - 1] if k else None, held[k + 1] if k + 1 < len(held) else None)
-                if x and x["cell"] == row["cell"] and x["host"] == row["host"] and row["host"]
-                and abs(x["pos"] - row["pos"]) == 1]
-        if not near:
-            return {"digest": row["digest"], "shared": []}
-        partner = max(near, key=lambda x: (_nearness(row["path"], x["path"]), -x["pos"]))
-        return {"digest": row["digest"], "shared": common(row["lines"], partner["lines"])}
-
-    schema = pa.schema([("digest", pa.binary()), ("shared", pa.list_(pa.int32()))])
+    """Rows come by cell and pos; a cell, which is about _GROUP pages, is held until it is whole."""
+    schema = pa.schema([("content", pa.binary()), ("shared", pa.list_(pa.int32())), ("framed", pa.list_(pa.int32())),
+                        ("sure", pa.bool_())])
+    held: list[dict] = []
     for batch in rows.pieces(batches):
         out = []
         for row in batch.to_pylist():
+            if held and held[0]["cell"] != row["cell"]:
+                out += _differences(held)
+                held = []
             held.append(row)
-            if len(held) > 3:
-                held.pop(0)
-            if len(held) > 1 and held[-2]["cell"] == held[-2]["pos"] // _GROUP:
-                out.append(judged(len(held) - 2))
         yield pa.RecordBatch.from_pylist(out, schema)
-    if held and held[-1]["cell"] == held[-1]["pos"] // _GROUP:
-        yield pa.RecordBatch.from_pylist([judged(len(held) - 1)], schema)
+    yield pa.RecordBatch.from_pylist(list(_differences(held)), schema)
+
+
+def _content(host: str, lines: list[int]) -> bytes:
+    """Tells pages of a host with different lines apart."""
+    return hashlib.md5(host.encode() + b"\0" + np.array(lines, "<i8").tobytes()).digest()
 
 
 def extracted(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """row (struct of all columns of pages) and text: the main text of every page, empty for null and empty pages.
 
-    Pages are numbered in the order of host and path. Each is paired with the one before or after it that shares more of
-    its path, on the same host; the hashes of their lines are aligned, and lines in a longest common subsequence are
-    taken out as main_text() says. Only hashes of lines are sorted and paired, 64 pages to a group with the two next to
-    it, so that a host with many pages is spread evenly; each page is shuffled once, compressed, to its result. Rows that
-    are equal in url and html are paired as one. A page without a host or a neighbour has no shared lines.
+    Pages of a host with equal lines are taken as one, at the first of their paths, so that no page is compared with a
+    copy of itself. They are numbered in the order of host and path. Each is paired with the one before or after it that
+    shares more of its path, the one before if both share alike, on the same host; the hashes of their lines are aligned,
+    and lines in a longest common subsequence are taken out as main_text() says, with the pages of its group of 64 to tell
+    the frame of the host. Only hashes of lines are sorted and paired, 64 pages to a group with the two next to it, so
+    that a host with many pages is spread evenly; each page is shuffled once, compressed, to its result. Repeated rows
+    give equal results. A page without a host or a neighbour has no shared lines.
     """
     keyed = pages.select(
-        F.struct("*").alias("row"), F.col(url).alias("u"), F.coalesce(F.col(page), F.lit("")).alias("t"),
-        F.unhex(F.md5(F.concat_ws(" ", F.lit(""), F.col(url), F.md5(F.col(page))))).alias("digest"))
+        F.struct("*").alias("row"), F.col(url).alias("u"), F.coalesce(F.col(page), F.lit("")).alias("t"))
 
     def signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.pieces(batches):
             where = [_address(x) for x in batch.column("u").to_pylist()]
             lines = [_hashes(blocks(x.decode())) for x in rows.texts(batch.column("t"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), pa.array([h for h, _ in where], pa.string()),
-                 pa.array([p for _, p in where], pa.string()), pa.array(lines, pa.list_(pa.int64()))],
-                names=["digest", "host", "path", "lines"])
-
-    small = rows.map_arrow(
-        keyed.select("digest", "u", "t"), signature, "digest binary, host string, path string, lines array<long>")
-    one = small.filter(F.size("lines") > 0).groupBy("digest").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
-    numbered = rows.numbered(one, "host", "path", "digest")
+                [pa.array([_content(h, x) for (h, _), x in zip(where, lines, strict=True)], pa.binary()),
+                 pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()),
+                 pa.array(lines, pa.list_(pa.int64()))], names=["content", "host", "path", "lines"])
+
+    small = rows.map_arrow(keyed.select("u", "t"), signature, "content binary, host string, path string, lines array<long>")
+    one = small.filter(F.size("lines") > 0).groupBy("content").agg(
+        F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
+    numbered = rows.numbered(one, "host", "path", "content")
     cell = F.floor(F.col("pos") / _GROUP)
     spread = numbered.select("*", F.explode(F.array_distinct(F.array(
         cell, F.floor((F.col("pos") - 1) / _GROUP), F.floor((F.col("pos") + 1) / _GROUP)))).alias("cell"))
     shared = rows.map_arrow(
-        spread.repartition("cell").sortWithinPartitions("cell", "pos"), _shared, "digest binary, shared array<int>")
+        spread.repartition("cell").sortWithinPartitions("cell", "pos"), _shared,
+        "content binary, shared array<int>, framed array<int>, sure boolean")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.pieces(batches):
-            made = []
-            for x in rows.texts(batch.column("t")):
+            made, contents = [], []
+            for address, x in zip(batch.column("u").to_pylist(), rows.texts(batch.column("t")), strict=True):
                 lines = blocks(x.decode())
                 flags = bytes(k.inside | k.prose << 1 | k.dropped << 2 | (2 * k.linked > len(k.text)) << 3 for k in lines)
                 kept = "\n".join("" if k.dropped else k.text for k in lines).encode("utf-8", "surrogatepass")
                 made.append(zlib.compress(len(flags).to_bytes(8, "little") + flags + kept, 6))
+                contents.append(_content(_address(address)[0], _hashes(lines)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("digest"), pa.array(made, pa.binary())], names=["row", "digest", "pack"])
+                [batch.column("row"), pa.array(contents, pa.binary()), pa.array(made, pa.binary())],
+                names=["row", "content", "pack"])
 
     light = [c for c in pages.columns if c != page]
     row = F.struct(*[F.col("row")[c].alias(c) for c in light]).alias("row")
-    inner = keyed.select(row, "digest", "t")
+    inner = keyed.select(row, "u", "t")
     whole = rows.map_arrow(inner, packed, T.StructType([
-        inner.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("pack", T.BinaryType())]))
+        inner.schema["row"], T.StructField("content", T.BinaryType()), T.StructField("pack", T.BinaryType())]))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.pieces(batches):
             out = []
-            for pack, gone in zip(batch.column("pack").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            found = (batch.column(c).to_pylist() for c in ("pack", "shared", "framed", "sure"))
+            for pack, gone, framed, sure in zip(*found, strict=True):
                 raw = zlib.decompress(pack)
                 n = int.from_bytes(raw[:8], "little")
                 flags, kept = raw[8:8 + n], raw[8 + n:].decode("utf-8", "surrogatepass").split("\n")
                 lines = [Line(t, bool(f & 1), bool(f & 2), bool(f & 4), len(t) if f & 8 else 0)
                          for t, f in zip(kept, flags, strict=False)]
-                out.append(main_text(lines, gone or []))
+                out.append(main_text(lines, gone or [], framed or [], bool(sure)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
 
-    met = whole.join(shared, "digest", "left").select("row", "pack", "shared")
+    met = whole.join(shared, "content", "left").select("row", "pack", "shared", "framed", "sure")
     return rows.map_arrow(met, finished, T.StructType([inner.schema["row"], T.StructField("text", T.StringType())]))

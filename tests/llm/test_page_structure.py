@@ -38,3 +38,13 @@ def test_deep_pages():
         start = time.time()
         assert len(html_text.blocks(page)) >= 30_000
         assert time.time() - start < 5
+
+
+def test_markup_without_an_end():
+    for page in ('<a b="' * 40_000 + ">", '<a b="' * 40_000, "<a " * 40_000, "<svg>x" * 40_000, "<p a='x>\"" * 40_001, "<![CDATA[ x" * 40_000):
+        start = time.time()
+        html_text.blocks(page)
+        assert time.time() - start < 5
+    for page, text in (('<p a="1>one</p><p>two', "one\ntwo"), ("<p>one<!-- > two", "one"), ("<p>one <b two", "one <b two"),
+                       ("<p>one</p><![CDATA[ > two", "one\n> two"), ("<p title='a > b'>one", "one")):
+        assert html_text.main_text(html_text.blocks(page), []) == text
