@@ -184,8 +184,8 @@ q = "\\N{SPACE}SELECT * FROM some_table_@K@"
 SKIPPED_TEMPLATE = 11  # lives under node_modules
 
 
-def code_corpus(orders: DataFrame) -> DataFrame:
-    """source_files (repo, ref, path, sha, size, content) with one file per order row."""
+def code_corpus(orders: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """source_files (repo, ref, path, sha, size, content) with one file per order row, made in so many tasks."""
     key = F.col("o_orderkey")
     template = (key % len(TEMPLATES)).cast("int")
     suffix = F.element_at(F.array(*[F.lit(s) for s, _ in TEMPLATES]), template + 1)
@@ -194,7 +194,9 @@ def code_corpus(orders: DataFrame) -> DataFrame:
         template == SKIPPED_TEMPLATE, F.concat(F.lit("node_modules/f"), key, F.lit(".py"))
     ).otherwise(F.concat(F.lit("src/m"), key % 100, F.lit("/f"), key, suffix))
     # the keys are spread before the texts are made, as the table may be one small file
-    return orders.select("o_orderkey", "o_custkey").repartition("o_orderkey").select(
+    keys = orders.select("o_orderkey", "o_custkey")
+    keys = keys.repartition(num_partitions, "o_orderkey") if num_partitions else keys.repartition("o_orderkey")
+    return keys.select(
         F.concat(F.lit("repo_"), F.col("o_custkey") % 10).alias("repo"),
         F.lit("main").alias("ref"),
         path.alias("path"),

@@ -12,12 +12,16 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def partitions(self, table: str, growth: int = 8) -> int:
-        """Partitions for the files made from a table: one per 32 MB of text, taken as growth times the table's size in
-        its files, and one per core at least. The size is the optimizer's, from the listing; no job runs."""
+    def partitions(self, table: str, growth: int = 16, mb: int = 2) -> int:
+        """Partitions for the files made from a table: one per so many MB of text, taken as growth times the table's size in
+        its files, and one per core at least. The size is the optimizer's, from the listing; no job runs.
+
+        All sorts of a task are held at once, in about 150 bytes for each byte of text: beyond a few MB they spill, each
+        stage anew. An order of 18 bytes becomes a file of about 230.
+        """
         plan = getattr(self, table)._jdf.queryExecution().optimizedPlan()
         size = int(str(plan.stats().sizeInBytes()))
-        return max(self.spark.sparkContext.defaultParallelism, growth * size >> 25)
+        return max(self.spark.sparkContext.defaultParallelism, growth * size // (mb << 20))
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -31,7 +31,8 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 # --- corpus: rules ----------------------------------------------------------------------------
 
 def corpus(t: Tables) -> DataFrame:
-    return code_corpus(t.orders)
+    # a task that makes files writes the texts of eight that read them
+    return code_corpus(t.orders, max(t.spark.sparkContext.defaultParallelism, t.partitions("orders") // 8))
 
 
 def files(t: Tables) -> DataFrame:
@@ -179,7 +180,7 @@ def candidates_all(t):
 @query
 def candidates_on_text(t):
     """All rules over the texts of documents in comments and literals: only the statement behind them gives a hit."""
-    f = audit.scannable(text_corpus(t.documents), t.partitions("documents"))
+    f = audit.scannable(text_corpus(t.documents), t.partitions("documents", 8, 32))
     return with_path(rank.ranked(audit.raw_hits(f)), f).select("repo", "file_path", "rule_id", "start_line", "end_line")
 
 
@@ -329,6 +330,8 @@ def snippet_window(t):
 def token_lines(t):
     docs = t.documents.select(F.col("doc_id").alias("file_id"), F.lit(0).alias("unit_no"), F.lit("sql").alias("dialect"),
                               F.lit(1).alias("start_line"), F.col("text").alias("sql"))
+    # texts are dealt out, not their tokens
+    docs = docs.repartition(t.partitions("documents", 4, 8), "file_id")
     return sqlfacts.sql_tokens(docs).groupBy(F.col("file_id").alias("doc_id")).agg(
         F.max("eline").cast("bigint").alias("n_lines"))
 
