@@ -67,7 +67,10 @@ def lexed(sql: Column, dialect: Column) -> Column:
     slashed, marked, hashes = (F.contains(sql, F.lit("\\")), sql.rlike(TK.SQL_DOLLAR), F.contains(sql, F.lit("#")))
 
     def adds_up(tokens: Column) -> Column:
-        bodies = F.transform(tokens, body)
+        # computed once, else each hash of a text would make all its tokens anew
+        return X.let(F.transform(tokens, body), fits)
+
+    def fits(bodies: Column) -> Column:
         operand = r"^[\w\"'`$)\x{80}-\x{10FFFF}]"
         # a hash between two operands is an operator, any other one is left of a comment
         at = F.sequence(F.lit(0), F.size(bodies) - 1)
