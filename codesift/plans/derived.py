@@ -16,8 +16,8 @@ class Tables:
         """Partitions for the files made from a table: one per so many MB of text, taken as growth times the table's size in
         its files, and one per core at least. The size is the optimizer's, from the listing; no job runs.
 
-        All sorts of a task are held at once, in about 150 bytes for each byte of text: beyond a few MB they spill, each
-        stage anew. An order of 18 bytes becomes a file of about 230.
+        All sorts of a task are held at once, in 130 to 210 bytes for each byte of text: beyond a few MB they spill, each
+        stage anew. An order of 10 to 18 bytes becomes a file of about 136.
         """
         plan = getattr(self, table)._jdf.queryExecution().optimizedPlan()
         size = int(str(plan.stats().sizeInBytes()))

@@ -11,7 +11,7 @@ from codesift.plans.derived import Tables
 
 def test_partitions_by_text(spark, tmp_path):
     """A partition of the derived files has about 2 MB of text, however many cores there are."""
-    spark.range(150_000).select(
+    spark.range(400_000).select(
         F.col("id").alias("o_orderkey"), (F.rand(1) * 15000).cast("bigint").alias("o_custkey"),
         F.rand(2).alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
     t = Tables(spark, str(tmp_path))
