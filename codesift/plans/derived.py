@@ -12,7 +12,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def partitions(self, table: str, growth: int = 16, mb: int = 2) -> int:
+    def partitions(self, table: str, growth: int = 16, mb: int = 4) -> int:
         """Partitions for the files made from a table: one per so many MB of text, taken as growth times the table's size in
         its files, and one per core at least. The size is the optimizer's, from the listing; no job runs.
 
