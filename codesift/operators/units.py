@@ -87,7 +87,7 @@ def scala_literals(files: DataFrame) -> DataFrame:
     single = tok.startswith('"') & ~tok.startswith('"""') & (F.length(tok) >= 2) & tok.rlike(TK.SCALA_SINGLE)
     breaks = F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))
     return (
-        files.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TK.SCALA_TOKEN), F.lit(0)))
+        TK.one_per_text(files).select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TK.SCALA_TOKEN), F.lit(0)))
                      .alias("pos", "tok"))
         .withColumn("start_line", (1 + F.sum(breaks).over(order) - breaks).cast("int"))
         .where(triple | single)
@@ -104,6 +104,7 @@ def sql_units(files: DataFrame) -> DataFrame:
 
     Unit 0 is a whole .sql file; a literal is a unit when it looks like SQL.
     """
+    files = TK.one_per_text(files)
     whole = files.where(F.col("suffix") == ".sql").select(
         "file_id", F.lit(0).alias("unit_no"), F.lit("sql").alias("dialect"), F.lit(1).alias("start_line"),
         F.col("content").alias("sql"))

@@ -35,18 +35,18 @@ def corpus(t: Tables) -> DataFrame:
     return code_corpus(t.orders, max(t.spark.sparkContext.defaultParallelism, t.partitions("orders") // 8))
 
 
-def files(t: Tables) -> DataFrame:
-    return audit.scannable(corpus(t), t.partitions("orders"))
+def files(t: Tables, lines_only: bool = False) -> DataFrame:
+    return audit.scannable(corpus(t), t.partitions("orders"), lines_only)
 
 
 def with_path(rows: DataFrame, f: DataFrame) -> DataFrame:
-    """The path of each row's file. Both sides lie by file_id; the rows, not the files, become the hash table."""
+    """The path of each row's files. Both sides lie by file_id; the rows, not the files, become the hash table."""
     return f.select("file_id", "repo", F.col("path").alias("file_path")).join(rows.hint("shuffle_hash"), "file_id").drop("file_id")
 
 
 def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = files(Tables(spark, sf_dir))
+        f = files(Tables(spark, sf_dir), lines_only=True)
         hits = (audit.sql_hits if rule_id.startswith("sql.") else audit.python_hits)(f, [rule_id])
         hits = rank.ranked(hits)
         return with_path(hits, f).select("repo", "file_path", "start_line", "end_line")
@@ -61,8 +61,8 @@ for _rule, _, _ in S.RULES:
 
 # --- corpus: tokens and facts -----------------------------------------------------------------
 
-def py_files(t: Tables) -> DataFrame:
-    return files(t).where(F.col("suffix") == ".py")
+def py_files(t: Tables, lines_only: bool = False) -> DataFrame:
+    return files(t, lines_only).where(F.col("suffix") == ".py")
 
 
 def line_int(name: str = "line"):
@@ -89,7 +89,7 @@ def sql_units(t):
 
 @query
 def sql_statements(t):
-    f = files(t)
+    f = files(t, lines_only=True)
     tokens = sqlfacts.sql_tokens(units.sql_units(f).withColumn("unit_line", F.col("start_line")))
     first = units.sql_units(f).select("file_id", "unit_no", "start_line")
     n = (tokens.where((F.col("kind") != "end") & ~F.col("ends")).groupBy("file_id", "unit_no")
@@ -100,7 +100,7 @@ def sql_statements(t):
 @query
 def comment_mask(t):
     """Words seen by the rules: those in comments and strings are not counted."""
-    f = files(t)
+    f = files(t, lines_only=True)
     sql = sqlfacts.sql_tokens(units.sql_units(f)).where(F.col("u") == "SELECT").select("file_id", F.col("u").alias("word"))
     py = TK.readable(TK.python_tokens(f.where(F.col("suffix") == ".py"))).where(
         (F.col("kind") == "name") & F.col("tok").isin("collect", "toPandas") & (F.col("p1") == ".")
@@ -111,7 +111,7 @@ def comment_mask(t):
 
 @query
 def sql_clause_context(t):
-    f = files(t)
+    f = files(t, lines_only=True)
     return with_path(sqlfacts.clause_context(units.sql_units(f)), f).select("file_path", "line", "op", "in_filter")
 
 
@@ -130,7 +130,7 @@ def py_bindings(t):
 
 @query
 def py_scopes(t):
-    f = py_files(t)
+    f = py_files(t, lines_only=True)
     n = F.size(F.filter("blocks", lambda b: b["head"] == "def"))
     return with_path(rules_py.python_lines(f).withColumn("n_defs", n).where("n_defs > 0"), f).select(
         "file_path", line_int(), "n_defs")
@@ -138,7 +138,7 @@ def py_scopes(t):
 
 @query
 def py_loop_depth(t):
-    f = py_files(t)
+    f = py_files(t, lines_only=True)
     return with_path(rules_py.python_lines(f).where("loop_depth > 0"), f).select("file_path", line_int(), "loop_depth")
 
 
@@ -160,12 +160,12 @@ def py_chain_roots(t):
 
 @query
 def py_calls(t):
-    return methods(py_files(t)).where("int_arg IS NOT NULL").select("file_path", line_int(), "method", "int_arg")
+    return methods(py_files(t, lines_only=True)).where("int_arg IS NOT NULL").select("file_path", line_int(), "method", "int_arg")
 
 
 @query
 def lex_status(t):
-    f = files(t)
+    f = files(t, lines_only=True)
     return with_path(audit.unreadable(f), f).select("file_path", "unit_no", "open_brackets", "bad_quote")
 
 
@@ -173,7 +173,7 @@ def lex_status(t):
 
 @query
 def candidates_all(t):
-    f = files(t)
+    f = files(t, lines_only=True)
     return with_path(rank.ranked(audit.raw_hits(f)), f).select("repo", "file_path", "rule_id", "start_line", "end_line")
 
 
