@@ -93,14 +93,16 @@ def text_id(*parts: Column | str) -> Column:
         "\u0001", *[F.when(c.isNull(), "-").otherwise(F.concat(F.lit("+"), c)) for c in columns]), 256)), 1, 16)
 
 
-def without_number(text: Column) -> Column:
-    """The text with zeros for the one number that ends words in it, such as the 2024 of sales_2024 and region_2024.
+def split_number(text: Column) -> Column:
+    """text and number of a struct: the text with zeros for the one number that ends words in it, such as the 2024 of sales_2024 and region_2024.
 
     Other texts stay as they are: those with several such numbers, and those where the number or as many zeros stand anywhere
     else. So words of a text are equal after it if and only if they were before, and every place stays. Words behind a
     backslash or a decimal point are none, they may be part of an escape or a number; nor are numbers below three digits, and
-    texts with a number in the name of a character (\\N{...}) stay too.
+    texts with a number in the name of a character (\\N{...}) stay too, and have no number then. with_number() undoes it.
     """
+    none = F.lit(None).cast("string")
+    parts = lambda t, n: F.struct(t.alias("text"), n.alias("number"))
     ends = r"[0-9]{3,}+(?!\w)(?<=(?<![\\\w])(?<![0-9]\.)[A-Za-z_]{1,60}[0-9]{3,18})"  # digits are looked for first
 
     def replaced(runs: Column, found: Column) -> Column:
@@ -108,12 +110,23 @@ def without_number(text: Column) -> Column:
         zeros = F.repeat(F.lit("0"), F.length(number))
         alone = ((F.size(F.array_distinct(found)) == 1) & ~F.array_contains(runs, zeros)
                  & (F.size(F.array_remove(runs, number)) == F.size(runs) - F.size(found)))
-        return F.when(alone, F.regexp_replace(text, F.lit(ends), zeros)).otherwise(text)
+        return F.when(alone, parts(F.regexp_replace(text, F.lit(ends), zeros), number)).otherwise(parts(text, none))
 
     runs = F.regexp_extract_all(text, F.lit("[0-9]{3,}+"), F.lit(0))
     return let(runs, lambda r: F.when(
         (F.size(r) > 0) & ~text.rlike(r"\\N\{[^}]*[0-9]"),
-        let(F.regexp_extract_all(text, F.lit(ends), F.lit(0)), lambda f: replaced(r, f))).otherwise(text))
+        let(F.regexp_extract_all(text, F.lit(ends), F.lit(0)), lambda f: replaced(r, f))).otherwise(parts(text, none)))
+
+
+def without_number(text: Column) -> Column:
+    """The text of split_number()."""
+    return split_number(text)["text"]
+
+
+def with_number(text: Column, number: Column) -> Column:
+    """A text of split_number(), or whole tokens or lines of one, with its number again."""
+    zeros = F.concat(F.lit("(?<![0-9])0{"), F.length(number).cast("string"), F.lit("}(?![0-9])"))
+    return F.when(number.isNotNull() & F.contains(text, F.lit("000")), F.regexp_replace(text, zeros, number)).otherwise(text)
 
 
 def finding_id(job_id: Column, file_path: Column, rule_id: Column, start_line: Column) -> Column:

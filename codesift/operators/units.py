@@ -99,13 +99,13 @@ def scala_literals(files: DataFrame) -> DataFrame:
     )
 
 
-def sql_units(files: DataFrame) -> DataFrame:
+def sql_units(files: DataFrame, words: str = "") -> DataFrame:
     """Every SQL text of the files: file_id, unit_no, dialect, start_line, sql.
 
-    Unit 0 is a whole .sql file; a literal is a unit when it looks like SQL.
+    Unit 0 is a whole .sql file, of those that match words; a literal is a unit when it looks like SQL.
     """
-    files = TK.one_per_text(files)
-    whole = files.where(F.col("suffix") == ".sql").select(
+    texts = lambda suffix: TK.one_per_text(files.where(F.col("suffix") == suffix))
+    whole = texts(".sql").where(F.col("content").rlike(words) if words else F.lit(True)).select(
         "file_id", F.lit(0).alias("unit_no"), F.lit("sql").alias("dialect"), F.lit(1).alias("start_line"),
         F.col("content").alias("sql"))
     columns = ["file_id", "unit_no", "dialect", "start_line", F.col("text").alias("sql")]
@@ -117,9 +117,9 @@ def sql_units(files: DataFrame) -> DataFrame:
     # literals, or is spelled with an escape
     joint = r"(?:[\"']\s*[rbufRBUF]{0,2}[\"'])?"
     verbs = r"(?i)[\"'}](?:[\s(]|\\\n|[rbuf]{0,2}[\"'])*(?:" + "|".join(joint.join(v) for v in S.SQL_VERBS) + r")|\\[xuUN0-7]"
-    python = files.where((F.col("suffix") == ".py") & F.col("content").rlike(verbs))
+    python = texts(".py").where(F.col("content").rlike(verbs))
     in_python = looking_like_sql(python_literals(python)).withColumn(
         "dialect", F.when(F.col("is_spark"), "spark").otherwise("sql")).select(*columns)
-    in_scala = looking_like_sql(scala_literals(files.where(F.col("suffix") == ".scala"))).withColumn(
+    in_scala = looking_like_sql(scala_literals(texts(".scala"))).withColumn(
         "dialect", F.lit("spark")).select(*columns)
     return whole.unionByName(in_python).unionByName(in_scala)

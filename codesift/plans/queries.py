@@ -35,13 +35,20 @@ def corpus(t: Tables) -> DataFrame:
     return code_corpus(t.orders, max(t.spark.sparkContext.defaultParallelism, t.partitions("orders") // 8))
 
 
+def shared_partitions(t: Tables) -> int:
+    """Partitions where texts that differ by a number are read once: a task holds the tokens of the templates, however many
+    files it has, and much of its time goes into its many small sorts."""
+    return t.partitions("orders", mb=32)
+
+
 def files(t: Tables, lines_only: bool = False) -> DataFrame:
-    return audit.scannable(corpus(t), t.partitions("orders"), lines_only)
+    return audit.scannable(corpus(t), shared_partitions(t) if lines_only else t.partitions("orders"), lines_only)
 
 
 def with_path(rows: DataFrame, f: DataFrame) -> DataFrame:
-    """The path of each row's files. Both sides lie by file_id; the rows, not the files, become the hash table."""
-    return f.select("file_id", "repo", F.col("path").alias("file_path")).join(rows.hint("shuffle_hash"), "file_id").drop("file_id")
+    """The path of each row's files, and the number of their texts. Both sides lie by file_id; the rows, not the files, become
+    the hash table."""
+    return f.select("file_id", "repo", F.col("path").alias("file_path"), "number").join(rows.hint("shuffle_hash"), "file_id").drop("file_id")
 
 
 def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -65,6 +72,11 @@ def py_files(t: Tables, lines_only: bool = False) -> DataFrame:
     return files(t, lines_only).where(F.col("suffix") == ".py")
 
 
+def named(name: str):
+    """A name as it stands in the file: texts that differ by a number in their names are read once."""
+    return X.with_number(F.col(name), F.col("number"))
+
+
 def line_int(name: str = "line"):
     return F.col(name).cast("int").alias("line")
 
@@ -117,15 +129,15 @@ def sql_clause_context(t):
 
 @query
 def py_imports(t):
-    f = py_files(t)
+    f = py_files(t, lines_only=True)
     rows = P.name_rows(P.nested_pairs(rules_py.python_lines(f))).where(F.col("etype") == "import")
-    return with_path(rows, f).select("file_path", "name", "module")
+    return with_path(rows, f).select("file_path", named("name").alias("name"), named("module").alias("module"))
 
 
 @query
 def py_bindings(t):
-    f = py_files(t)
-    return with_path(P.tagged_bindings(rules_py.python_names(f)), f).select("file_path", "line", "name", "tag")
+    f = py_files(t, lines_only=True)
+    return with_path(P.tagged_bindings(rules_py.python_names(f)), f).select("file_path", "line", named("name").alias("name"), "tag")
 
 
 @query
@@ -144,18 +156,18 @@ def py_loop_depth(t):
 
 def methods(f: DataFrame) -> DataFrame:
     uses = P.resolved_uses(rules_py.python_names(f)).where(F.col("etype") == "method")
-    return with_path(uses, f).withColumn("method", F.col("name")).withColumn("root", F.col("asked"))
+    return with_path(uses, f).withColumn("method", F.col("name")).withColumn("root", named("asked"))
 
 
 @query
 def py_file_handles(t):
-    return methods(py_files(t)).where((F.col("method") == "read") & F.col("is_handle")).select(
+    return methods(py_files(t, lines_only=True)).where((F.col("method") == "read") & F.col("is_handle")).select(
         "file_path", line_int(), F.col("root").alias("name"))
 
 
 @query
 def py_chain_roots(t):
-    return methods(py_files(t)).select("file_path", line_int(), "method", "root")
+    return methods(py_files(t, lines_only=True)).select("file_path", line_int(), "method", "root")
 
 
 @query
@@ -186,11 +198,11 @@ def candidates_on_text(t):
 
 @query
 def candidates_enriched(t):
-    return audit.candidates(corpus(t), t.partitions("orders")).drop("unit_no")
+    return audit.candidates(corpus(t), shared_partitions(t)).drop("unit_no")
 
 
 def corpus_findings(t: Tables) -> DataFrame:
-    return N.default_findings(N.with_ids(audit.candidates(corpus(t), t.partitions("orders")), F.lit("job1")))
+    return N.default_findings(N.with_ids(audit.candidates(corpus(t), shared_partitions(t)), F.lit("job1")))
 
 
 @query
@@ -202,7 +214,7 @@ def default_findings(t):
 
 @query
 def job_summary(t):
-    return audit.summary(corpus(t), t.partitions("orders"))
+    return audit.summary(corpus(t), shared_partitions(t))
 
 
 @query
@@ -215,7 +227,7 @@ def job_rows(t):
 
 @query
 def scan_report(t):
-    return audit.scan_report(corpus(t), t.partitions("orders")).select("repo", "path", "position", "total", "engine", "n_candidates", "detail")
+    return audit.scan_report(corpus(t), shared_partitions(t)).select("repo", "path", "position", "total", "engine", "n_candidates", "detail")
 
 
 @query

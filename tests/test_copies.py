@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from codesift.functions import text as X
 from codesift.operators import tokens as TK
 from codesift.plans import audit
-from codesift.plans.queries import with_path
+from codesift.plans.derived import Tables
+from codesift.plans.queries import methods, shared_partitions, with_path
 
 SCHEMA = "repo string, ref string, path string, sha string, size bigint, content string"
 
@@ -54,3 +55,25 @@ def test_texts_alike_but_for_a_number(spark):
                        "1.e123", "1e123", r"\N{HIEROGLYPH A001} t555", "t12 t45", "", None]]])
 def test_without_number(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(X.without_number(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("text", ["SELECT * FROM t123 JOIN u123", "o.take(1000) o77777", "a1b234 c777", "t100000 = 1\n\nu100000()", "t123 t124", "", None])
+def test_a_number_is_put_back(spark, text):
+    s = X.split_number(F.col("t"))
+    assert spark.createDataFrame([(text,)], "t string").select(X.with_number(s["text"], s["number"])).first()[0] == text
+
+
+def test_names_with_a_number_are_read_once(spark, tmp_path):
+    """Names queries tokenize texts that differ by a number once a partition, and give each file its own names."""
+    f = audit.scannable(source(spark, [(f"a{k}.py", f"import m{k}\nwith open(p{k}) as h{k}:\n    h{k}.read()\n") for k in (123, 456, 789)]), 1, True)
+    assert TK.python_tokens(f).select("file_id").distinct().count() == 1
+    assert {tuple(r) for r in methods(f).select("file_path", "line", "root").collect()} == {
+        (f"a{k}.py", 3, f"h{k}") for k in (123, 456, 789)}
+
+
+def test_few_large_partitions_where_texts_are_shared(spark, tmp_path):
+    """Rows that repeat are counted, not weighed; queries that read equal texts once take an eighth of the partitions."""
+    spark.range(9_000_000).selectExpr("0L AS o_orderkey", "0L AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert t.partitions("orders") == 9_000_000 * 136 // (4 << 20)
+    assert shared_partitions(t) == 9_000_000 * 136 // (32 << 20)
